@@ -1,0 +1,82 @@
+"""Row-level joins and groupings that stay balanced when one key is hot.
+
+Aggregates need none of this: map-side combining reduces a hot key to one row per
+task before the shuffle. A join that keeps every row, or an array per key, does
+not shrink; there the rows of a hot key are dealt to several numbered splits.
+Which keys are hot only decides where rows go; the result is the same.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Sequence
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+SPLIT_ROWS = 1_000_000
+MAX_HOT_KEYS = 10_000
+
+
+def hot_keys(
+    df: DataFrame, keys: Sequence[str], split_rows: int = SPLIT_ROWS, max_hot: int = MAX_HOT_KEYS
+) -> DataFrame:
+    """(keys, ``splits``) of the most frequent keys above ``split_rows`` rows.
+
+    At most ``max_hot`` rows, so safe to broadcast; any key left out holds less than
+    one ``max_hot``-th of the rows. Counts are exact, so a recomputed task deals the
+    same splits.
+    """
+    return (
+        df.groupBy(*keys)
+        .agg(F.count(F.lit(1)).alias("n"))
+        .filter(F.col("n") > split_rows)
+        .orderBy(F.col("n").desc(), *keys)
+        .limit(max_hot)
+        .select(*keys, F.ceil(F.col("n") / split_rows).cast("int").alias("splits"))
+    )
+
+
+def _with_splits(df: DataFrame, hot: DataFrame, keys: Sequence[str]) -> DataFrame:
+    named = hot.select(*[F.col(k).alias(f"_hot_{k}") for k in keys], F.col("splits").alias("_splits"))
+    condition = F.lit(True)
+    for k in keys:
+        condition = condition & F.col(k).eqNullSafe(F.col(f"_hot_{k}"))
+    return df.join(F.broadcast(named), condition, "left").drop(*[f"_hot_{k}" for k in keys])
+
+
+def _row_split(columns: Sequence[str]):
+    dealt = F.pmod(F.xxhash64(*columns), F.col("_splits")).cast("int")
+    return F.when(F.col("_splits").isNull(), F.lit(0)).otherwise(dealt)
+
+
+def lookup_join(
+    facts: DataFrame,
+    lookup: DataFrame,
+    on: Sequence[str],
+    how: str = "left",
+    split_rows: int = SPLIT_ROWS,
+    max_hot: int = MAX_HOT_KEYS,
+) -> DataFrame:
+    """Join many rows to a keyed table: ``inner``, ``left``, ``left_semi`` or ``left_anti``.
+
+    Rows of a hot key get one of its splits by a hash of the whole row; the lookup
+    row is copied once per split. Other keys join as usual, on split 0.
+    """
+    hot = hot_keys(facts, on, split_rows, max_hot)
+    left = (
+        _with_splits(facts, hot, on)
+        .withColumn("_split", _row_split(facts.columns))
+        .drop("_splits")
+    )
+    copies = F.sequence(F.lit(0), F.coalesce("_splits", F.lit(1)) - 1)
+    right = _with_splits(lookup, hot, on).withColumn("_split", F.explode(copies)).drop("_splits")
+    return left.join(right, [*on, "_split"], how).drop("_split")
+
+
+def chunked(
+    df: DataFrame, keys: Sequence[str], row_key: str, chunk_rows: int, max_hot: int = MAX_HOT_KEYS
+) -> DataFrame:
+    """``df`` with a ``chunk`` number: 0 for ordinary keys, dealt by ``row_key`` for keys
+    above ``chunk_rows`` rows, so that (keys, chunk) groups stay small."""
+    hot = hot_keys(df, keys, chunk_rows, max_hot)
+    return _with_splits(df, hot, keys).withColumn("chunk", _row_split([row_key])).drop("_splits")
