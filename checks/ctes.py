@@ -89,7 +89,7 @@ CTES = {
                event_type AS case_title, CAST(ts AS DATE) AS opened_date,
                CASE WHEN ts < TIMESTAMP '2024-01-24'
                     THEN CAST(ts AS DATE) + CAST(1 + event_id % 5 AS INTEGER) END AS resolved_date,
-               CAST(CAST(value / 10 AS DECIMAL(18,2)) AS DOUBLE) AS support_hours
+               CAST(ROUND(CAST(value AS DECIMAL(18,2)) * CAST(0.1 AS DECIMAL(2,1)), 2) AS DOUBLE) AS support_hours
         FROM events
         WHERE event_type = 'error' AND CAST(user_id AS VARCHAR) IN (SELECT subscription_id FROM terms)""",
     "cost_sums": f"""

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import datetime as dt
 from collections.abc import Callable, Sequence
+from functools import cache
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -25,7 +26,7 @@ Query = Callable[[StarSource], DataFrame]
 QUERIES: dict[str, Query] = {}
 
 FACTS = (
-    "customers", "subscriptions:lean", "invoices", "payments", "usage_monthly", "support_cases",
+    "customers:lean", "subscriptions:lean", "invoices", "payments", "usage_monthly", "support_cases",
     "cloud_costs", "renewal_forecasts",
 )
 MODEL_KEYS = ("profile_id", "customer_id", "customer_name")
@@ -37,12 +38,13 @@ def query(build: Query) -> Query:
     return build
 
 
+@cache
 def _summary(s: StarSource, wanted: Sequence[str] | None = None) -> DataFrame:
     return summary.customer_summary(s.tables(*FACTS), wanted)
 
 
 def _model(s: StarSource, wanted: Sequence[str] | None = MODEL_KEYS) -> dict[str, DataFrame]:
-    return summary.with_summary(s.tables(), wanted)
+    return {**s.tables(), "customer_finance_summary": _summary(s, wanted)}
 
 
 # --- sources and sinks -------------------------------------------------------
@@ -149,13 +151,13 @@ def csv_round_trip(s):
 @query
 def billing_schedule(s):
     return billing.billing_schedule(
-        s.subscriptions(with_product=False), dt.date(2001, 2, 1), dt.date(2001, 7, 1)
+        s.lean_subscriptions(), dt.date(2001, 2, 1), dt.date(2001, 7, 1)
     )
 
 
 @query
 def mrr_by_subscription(s):
-    return billing.with_mrr(s.subscriptions(with_product=False)).select("subscription_id", "arr", "mrr")
+    return billing.with_mrr(s.lean_subscriptions()).select("subscription_id", "arr", "mrr")
 
 
 @query
@@ -239,13 +241,13 @@ def period_keys(s):
 
 @query
 def support_load_tier(s):
-    loads = costs.with_support_load(s.subscriptions(with_product=False), CARD)
+    loads = costs.with_support_load(s.lean_subscriptions(), CARD)
     return loads.select("subscription_id", "contract_tier", "support_load")
 
 
 @query
 def cost_allocation(s):
-    loads = costs.with_support_load(s.subscriptions(with_product=False), CARD)
+    loads = costs.with_support_load(s.lean_subscriptions(), CARD)
     index = F.floor(F.datediff("usage_month", F.lit(EPOCH)) / PERIOD_DAYS)
     return costs.cost_allocation(s.usage_monthly(), loads, CARD, index)
 
@@ -327,12 +329,12 @@ def portfolio_totals(s):
 
 @query
 def portfolio_counts(s):
-    return summary.portfolio_counts(s.subscriptions(with_product=False))
+    return summary.portfolio_counts(s.lean_subscriptions())
 
 
 @query
 def active_arr(s):
-    return summary.active_arr(s.subscriptions(with_product=False))
+    return summary.active_arr(s.lean_subscriptions())
 
 
 @query
@@ -356,13 +358,13 @@ def invoices_nested(s):
 
 @query
 def forecast_lookup(s):
-    found = customer.forecast_lookup(s.customers(), s.renewal_forecasts())
+    found = customer.forecast_lookup(s.lean_customers(), s.renewal_forecasts())
     return found.select("customer_id", "customer_name", "renewal_date", "renewal_probability", "has_forecast")
 
 
 @query
 def customer_ar_zero_fill(s):
-    return customer.customer_ar_zero_fill(s.customers(), s.invoices())
+    return customer.customer_ar_zero_fill(s.lean_customers(), s.invoices())
 
 
 @query
@@ -459,13 +461,13 @@ def table_rows(s):
 
 @query
 def reconcile_billed(s):
-    dfs = s.tables("customers", "invoices")
+    dfs = s.tables("customers:lean", "invoices")
     return quality.reconcile_billed(summary.with_summary(dfs, ("billed_revenue_6m",)))
 
 
 @query
 def reconcile_outstanding(s):
-    dfs = s.tables("customers", "invoices")
+    dfs = s.tables("customers:lean", "invoices")
     return quality.reconcile_outstanding(summary.with_summary(dfs, ("ar_outstanding",)))
 
 
@@ -619,7 +621,7 @@ def traverse_group_by(s):
 @query
 def customer_context(s):
     dfs = s.tables(*FACTS, "subscriptions")
-    nested = semantic.customer_context(summary.with_summary(dfs))
+    nested = semantic.customer_context({**dfs, "customer_finance_summary": _summary(s)})
     measures = F.transform("records", lambda r: r["measure"].cast("decimal(18,4)"))
     added = F.aggregate(measures, F.lit(0).cast("decimal(28,4)"), lambda a, x: (a + x).cast("decimal(28,4)"))
     return nested.select(
@@ -642,8 +644,8 @@ def q_at_risk(s):
 
 @query
 def q_declining_critical(s):
-    wanted = (*EVIDENCE, "latest_adoption_rate")
-    return questions.declining_critical(_summary(s, wanted).drop("overdue_ar"), TERMS)
+    wanted = (*(c for c in EVIDENCE if c != "overdue_ar"), "latest_adoption_rate")
+    return questions.declining_critical(_summary(s, wanted), TERMS)
 
 
 @query
@@ -653,17 +655,17 @@ def q_profitability(s):
 
 @query
 def q_overdue_forecast(s):
-    return questions.overdue_with_forecast(s.tables("customers", "invoices", "renewal_forecasts"))
+    return questions.overdue_with_forecast(s.tables("customers:lean", "invoices", "renewal_forecasts"))
 
 
 @query
 def q_overdue_at_risk(s):
-    return questions.overdue_at_risk(s.tables("customers", "invoices", "renewal_forecasts"), TERMS)
+    return questions.overdue_at_risk(s.tables("customers:lean", "invoices", "renewal_forecasts"), TERMS)
 
 
 @query
 def q_urgent_renewals(s):
-    wanted = [c for c in EVIDENCE if c != "overdue_ar"]
+    wanted = tuple(c for c in EVIDENCE if c != "overdue_ar")
     return questions.urgent_renewals(_summary(s, wanted), TERMS)
 
 
@@ -696,7 +698,7 @@ def q_expansion(s):
 @query
 def q_usage_down_cost_up(s):
     trend = _summary(s, ("customer_id", "latest_adoption_rate", "usage_trend_pct"))
-    return questions.usage_down_cost_up(trend, s.subscriptions(with_product=False), _paired(s), TERMS)
+    return questions.usage_down_cost_up(trend, s.lean_subscriptions(), _paired(s), TERMS)
 
 
 @query
@@ -715,7 +717,9 @@ def q_segment_rollup(s):
 def queries() -> dict[str, Callable]:
     """Name to ``(spark, directory) -> DataFrame``."""
 
+    source = cache(StarSource)
+
     def bind(build: Query) -> Callable:
-        return lambda spark, path: build(StarSource(spark, path))
+        return lambda spark, path: build(source(spark, path))
 
     return {name: bind(build) for name, build in QUERIES.items()}

@@ -8,6 +8,7 @@ runs on its own clock, in six five-day periods.
 from __future__ import annotations
 
 import datetime as dt
+from functools import cache
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -48,38 +49,47 @@ def _key(name: str) -> Column:
 
 
 class StarSource:
-    """The finance tables of one star-schema directory, each a lazy DataFrame."""
+    """The finance tables of one star-schema directory, each a lazy DataFrame.
+
+    ``cache`` keeps plans, not data: a table asked for again is the same DataFrame.
+    """
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
 
+    @cache
     def read(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.path}/{name}.parquet")
 
     def tables(self, *names: str) -> dict[str, DataFrame]:
         """The named tables, or all that are not computed from others. ``subscriptions:lean``
-        stands for subscriptions without their product, which costs a pass over line items."""
+        stands for subscriptions without their product, which costs a pass over line items,
+        ``customers:lean`` for customers without country and segment."""
         chosen = names or tuple(t for t in TABLES if t != "customer_finance_summary")
         found = {}
         for name in chosen:
             table, _, variant = name.partition(":")
-            found[table] = self.subscriptions(with_product=not variant) if table == "subscriptions" else getattr(self, table)()
+            found[table] = getattr(self, f"{variant}_{table}" if variant else table)()
         return found
 
     # --- orders ---------------------------------------------------------------
 
+    @cache
     def _orders_before_end(self) -> DataFrame:
         return self.read("orders").filter(F.col("o_orderdate") < _instant(WINDOW_END))
 
+    @cache
     def _orders_in_window(self) -> DataFrame:
         return self._orders_before_end().filter(F.col("o_orderdate") >= _instant(WINDOW_START))
 
+    @cache
     def _subscription_keys(self) -> DataFrame:
         keys = self._orders_before_end().select("o_custkey").distinct()
         return keys.select(_key("o_custkey").alias("subscription_id"))
 
     # --- dimensions -----------------------------------------------------------
 
+    @cache
     def customers(self) -> DataFrame:
         nation = self.read("nation").join(
             self.read("region"), F.col("n_regionkey") == F.col("r_regionkey"), "left"
@@ -97,6 +107,13 @@ class StarSource:
             )
         )
 
+    @cache
+    def lean_customers(self) -> DataFrame:
+        return self.read("customer").select(
+            _key("c_custkey").alias("customer_id"), F.col("c_name").alias("customer_name")
+        )
+
+    @cache
     def products(self) -> DataFrame:
         return self.read("part").select(
             _key("p_partkey").alias("product_id"),
@@ -105,6 +122,7 @@ class StarSource:
             number(_cents("p_retailprice") * 12).alias("list_price_arr"),
         )
 
+    @cache
     def _subscription_terms(self) -> DataFrame:
         """One row per ordering customer: dates, annual revenue, tier, status."""
         in_year = F.col("o_orderdate") >= _instant(YEAR_START)
@@ -126,6 +144,7 @@ class StarSource:
             F.when(F.col("last_order") >= _instant(YEAR_START), "Active").otherwise("Lapsed").alias("status"),
         )
 
+    @cache
     def _main_product(self) -> DataFrame:
         """The part each customer spent most on, ties by the smaller key.
 
@@ -144,13 +163,17 @@ class StarSource:
             F.col("o_custkey").alias("p_custkey"), F.col("best.l_partkey").cast("string").alias("product_id")
         )
 
-    def subscriptions(self, with_product: bool = True) -> DataFrame:
-        terms = self._subscription_terms()
-        if not with_product:
-            return terms.select(*[c for c in columns("subscriptions") if c != "product_id"])
+    @cache
+    def subscriptions(self) -> DataFrame:
         product = self._main_product()
-        return terms.join(product, F.col("o_custkey") == F.col("p_custkey"), "left").select(*columns("subscriptions"))
+        found = self._subscription_terms().join(product, F.col("o_custkey") == F.col("p_custkey"), "left")
+        return found.select(*columns("subscriptions"))
+
+    @cache
+    def lean_subscriptions(self) -> DataFrame:
+        return self._subscription_terms().select(*[c for c in columns("subscriptions") if c != "product_id"])
 
+    @cache
     def renewal_forecasts(self) -> DataFrame:
         probability = F.floor((F.col("c_acctbal") + 1000) / 11000 * 100).cast("double") / 100
         category = (
@@ -185,6 +208,7 @@ class StarSource:
 
     # --- facts ----------------------------------------------------------------
 
+    @cache
     def invoices(self) -> DataFrame:
         due = F.date_add(F.col("o_orderdate").cast("date"), TERMS.due_days)
         days_early = (8 - F.col("o_orderkey") % 6).cast("int")
@@ -200,9 +224,11 @@ class StarSource:
             F.when(F.col("o_orderstatus") == "F", F.date_sub(due, days_early)).alias("paid_date"),
         )
 
+    @cache
     def payments(self) -> DataFrame:
         return payments_from_invoices(self.invoices(), F.col("customer_id").cast("bigint"))
 
+    @cache
     def metered(self) -> DataFrame:
         """Telemetry of every user per five-day period, known as a subscription or not."""
         day = F.datediff(F.col("ts").cast("date"), F.lit(EPOCH))
@@ -211,6 +237,7 @@ class StarSource:
             self.read("events"), F.col("user_id"), period, F.date_trunc("hour", F.col("ts")), F.col("value")
         ).withColumn("subscription_id", _key("subscription_id"))
 
+    @cache
     def usage_monthly(self) -> DataFrame:
         """Metered usage of known subscriptions; events are added up before the lookup."""
         licensed = F.lit(HOURS_PER_PERIOD).cast("bigint")
@@ -227,6 +254,7 @@ class StarSource:
             "production_jobs",
         )
 
+    @cache
     def support_cases(self) -> DataFrame:
         errors = (
             self.read("events")
@@ -247,9 +275,10 @@ class StarSource:
             F.col("event_type").alias("case_title"),
             F.col("ts").cast("date").alias("opened_date"),
             F.when(resolved, F.date_add(F.col("ts").cast("date"), days)).alias("resolved_date"),
-            number((F.col("value") / 10).cast("decimal(18,2)")).alias("support_hours"),
+            number(F.round(_cents("value") / 10, 2)).alias("support_hours"),
         )
 
+    @cache
     def cloud_costs(self) -> DataFrame:
         """Line items priced per customer and month.
 
