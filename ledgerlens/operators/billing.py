@@ -7,7 +7,7 @@ import datetime as dt
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerlens.functions.amounts import money, monthly, number
+from ledgerlens.functions.amounts import exact, exact_sum, monthly, number, units
 from ledgerlens.functions.identifiers import cyclic
 from ledgerlens.functions.rules import PAID, ar_class
 
@@ -61,9 +61,9 @@ def match_payments(invoices: DataFrame, payments: DataFrame) -> DataFrame:
     Payments are added up per invoice first, so several for one invoice show as
     ``several_payments`` and do not multiply rows.
     """
-    billed = invoices.select("invoice_id", "status", money("amount").alias("billed"))
+    billed = invoices.select("invoice_id", "status", exact("amount").alias("billed"))
     paid = payments.groupBy("invoice_id").agg(
-        F.sum(money("amount")).alias("paid"), F.count(F.lit(1)).alias("payments")
+        exact_sum(units("amount")).alias("paid"), F.count(F.lit(1)).alias("payments")
     )
     is_paid = F.col("status").eqNullSafe(PAID)
     match = (

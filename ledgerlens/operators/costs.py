@@ -7,7 +7,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerlens.functions.amounts import change_pct, divide, money, number
+from ledgerlens.functions.amounts import change_pct, divide, exact, exact_sum, number, units
 
 
 @dataclass(frozen=True)
@@ -48,7 +48,7 @@ def cost_allocation(usage: DataFrame, loads: DataFrame, card: RateCard, period_i
     def price(text: str) -> Column:
         return F.lit(text).cast("decimal(12,2)")
 
-    compute = F.round(money("compute_hours") * price(card.compute_rate), 2)
+    compute = F.round(exact("compute_hours") * price(card.compute_rate), 2)
     storage = price(card.storage_base) + price(card.storage_step) * index
     load = F.col("support_load").cast("decimal(6,2)")
     support = F.round(price(card.support_base) * load + price(card.support_step) * index, 2)
@@ -82,10 +82,10 @@ def paired_periods(costs: DataFrame, usage: DataFrame, calendars_differ: bool =
     periods without a partner drop out either way.
     """
     cost = costs.groupBy("subscription_id", F.col("cost_month").alias("month")).agg(
-        F.sum(money("total_cost")).alias("cost")
+        exact_sum(units("total_cost")).alias("cost")
     )
     hours = usage.groupBy("subscription_id", F.col("usage_month").alias("month")).agg(
-        F.sum(money("compute_hours")).alias("hours")
+        exact_sum(units("compute_hours")).alias("hours")
     )
     by_month = Window.partitionBy("subscription_id").orderBy("month")
     if calendars_differ:

@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerlens.functions import rules
+from ledgerlens.functions.amounts import number, total, units
 from ledgerlens.operators.skew import SPLIT_ROWS, lookup_join
 from ledgerlens.schema import Terms
 
@@ -26,7 +27,7 @@ def invoice_360(dfs: dict[str, DataFrame], split_rows: int = SPLIT_ROWS) -> Data
     )
     customer = dfs["customers"].select("customer_id", "customer_name", "segment")
     paid = dfs["payments"].groupBy("invoice_id").agg(
-        F.sum("amount").alias("paid_amount"), F.max("payment_date").alias("last_payment_date")
+        number(total(units("amount"))).alias("paid_amount"), F.max("payment_date").alias("last_payment_date")
     )
     wide = lookup_join(dfs["invoices"], subscription, ["subscription_id"], split_rows=split_rows)
     wide = lookup_join(wide, customer, ["customer_id"], split_rows=split_rows)

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerlens.functions import rules
-from ledgerlens.functions.amounts import money, number, total
+from ledgerlens.functions.amounts import number, total, units
 from ledgerlens.operators.skew import lookup_join
 from ledgerlens.schema import (
     ENTITIES,
@@ -199,8 +199,8 @@ def reconcile_billed(dfs: dict[str, DataFrame]) -> DataFrame:
     """Invoice total against the billed revenue of the summary."""
     return _reconcile(
         "billed",
-        _side(dfs["invoices"], "left", money("amount")),
-        _side(dfs["customer_finance_summary"], "right", money("billed_revenue_6m")),
+        _side(dfs["invoices"], "left", units("amount")),
+        _side(dfs["customer_finance_summary"], "right", units("billed_revenue_6m")),
     )
 
 
@@ -209,22 +209,22 @@ def reconcile_outstanding(dfs: dict[str, DataFrame]) -> DataFrame:
     unpaid = dfs["invoices"].filter(rules.outstanding(F.col("status")))
     return _reconcile(
         "outstanding",
-        _side(unpaid, "left", money("amount")),
-        _side(dfs["customer_finance_summary"], "right", money("ar_outstanding")),
+        _side(unpaid, "left", units("amount")),
+        _side(dfs["customer_finance_summary"], "right", units("ar_outstanding")),
     )
 
 
 def reconcile_cash(dfs: dict[str, DataFrame]) -> DataFrame:
     """Billed minus collected against outstanding."""
     unpaid = dfs["invoices"].filter(rules.outstanding(F.col("status")))
-    billed = _side(dfs["invoices"], "left", money("amount"))
-    collected = _side(dfs["payments"], "left", -money("amount"))
-    return _reconcile("cash", billed.unionByName(collected), _side(unpaid, "right", money("amount")))
+    billed = _side(dfs["invoices"], "left", units("amount"))
+    collected = _side(dfs["payments"], "left", -units("amount"))
+    return _reconcile("cash", billed.unionByName(collected), _side(unpaid, "right", units("amount")))
 
 
 def reconcile_cash_by_customer(dfs: dict[str, DataFrame]) -> DataFrame:
     """The cash check per customer, which shows where a difference sits."""
-    amount = money("amount")
+    amount = units("amount")
     unpaid = F.when(rules.outstanding(F.col("status")), amount)
     billed = dfs["invoices"].select("customer_id", amount.alias("billed"), unpaid.alias("open"))
     paid = dfs["payments"].select("customer_id", amount.alias("paid"))
@@ -253,7 +253,7 @@ def quality_report(dfs: dict[str, DataFrame], terms: Terms) -> DataFrame:
         return df.agg(number(total(amount)).alias("value")).select(F.lit(name).alias("metric"), "value")
 
     invoices, forecasts = dfs["invoices"], dfs["renewal_forecasts"]
-    amount = money("amount")
+    amount = units("amount")
     totals = [
         one("billed_revenue_6m", invoices, amount),
         one("cash_collected_6m", dfs["payments"], amount),
@@ -261,7 +261,7 @@ def quality_report(dfs: dict[str, DataFrame], terms: Terms) -> DataFrame:
         one(
             "at_risk_arr",
             forecasts,
-            F.when(rules.at_risk(F.col("renewal_probability"), terms), money("renewal_arr")),
+            F.when(rules.at_risk(F.col("renewal_probability"), terms), units("renewal_arr")),
         ),
     ]
     checks = [

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerlens.functions.amounts import change_pct, divide, money, number
+from ledgerlens.functions.amounts import change_pct, divide, exact_sum, number, units
 
 
 def usage_metering(events: DataFrame, subscription: Column, period: Column, unit: Column, hours: Column) -> DataFrame:
@@ -20,7 +20,7 @@ def usage_metering(events: DataFrame, subscription: Column, period: Column, unit
     """
     return events.groupBy(subscription.alias("subscription_id"), period.alias("usage_month")).agg(
         F.count_distinct(unit).alias("active_users"),
-        number(F.sum(money(hours))).alias("compute_hours"),
+        number(exact_sum(units(hours))).alias("compute_hours"),
         F.count(F.lit(1)).alias("production_jobs"),
     )
 

@@ -10,10 +10,10 @@ import datetime as dt
 from collections.abc import Callable, Sequence
 from functools import cache
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerlens.functions.amounts import money, number, total
+from ledgerlens.functions.amounts import exact, number, total, units
 from ledgerlens.functions.identifiers import period_key
 from ledgerlens.operators import billing, costs, customer, facts, ordering, quality, semantic, usage
 from ledgerlens.plans import questions, summary
@@ -47,6 +47,11 @@ def _model(s: StarSource, wanted: Sequence[str] | None = MODEL_KEYS) -> dict[str
     return {**s.tables(), "customer_finance_summary": _summary(s, wanted)}
 
 
+def _array_total(amounts: Column) -> Column:
+    wide = "decimal(28,4)"
+    return number(F.aggregate(amounts, F.lit(0).cast(wide), lambda a, x: (a + x).cast(wide)))
+
+
 # --- sources and sinks -------------------------------------------------------
 
 
@@ -177,7 +182,7 @@ def invoice_settlement(s):
 def invoice_ar_class(s):
     classed = billing.with_ar_class(s.invoices())
     return classed.groupBy("ar_class").agg(
-        F.count(F.lit(1)).alias("invoices"), number(total(money("amount"))).alias("amount")
+        F.count(F.lit(1)).alias("invoices"), number(total(units("amount"))).alias("amount")
     )
 
 
@@ -197,7 +202,7 @@ def payments_from_invoices(s):
 @query
 def payment_method_mix(s):
     return s.payments().groupBy("payment_method").agg(
-        F.count(F.lit(1)).alias("payments"), number(total(money("amount"))).alias("amount")
+        F.count(F.lit(1)).alias("payments"), number(total(units("amount"))).alias("amount")
     )
 
 
@@ -211,8 +216,8 @@ def invoice_payment_match(s):
     matched = billing.match_payments(s.invoices(), s.payments())
     return matched.groupBy("match").agg(
         F.count(F.lit(1)).alias("invoices"),
-        number(total(money("billed"))).alias("billed"),
-        number(total(money("paid"))).alias("paid"),
+        number(total(units("billed"))).alias("billed"),
+        number(total(units("paid"))).alias("paid"),
     )
 
 
@@ -340,14 +345,12 @@ def active_arr(s):
 @query
 def invoices_nested(s):
     nested = customer.invoices_nested(s.invoices())
-    amounts = F.transform("invoices", lambda i: i["amount"].cast("decimal(18,2)"))
+    amounts = F.transform("invoices", lambda i: exact(i["amount"]))
     return nested.select(
         "customer_id",
         "chunk",
         F.size("invoices").cast("bigint").alias("invoices"),
-        number(F.aggregate(amounts, F.lit(0).cast("decimal(28,2)"), lambda a, x: (a + x).cast("decimal(28,2)"))).alias(
-            "amount"
-        ),
+        _array_total(amounts).alias("amount"),
         F.element_at("invoices", 1)["invoice_id"].alias("first_invoice"),
         F.element_at("invoices", -1)["invoice_id"].alias("last_invoice"),
     )
@@ -614,7 +617,7 @@ def traverse_group_by(s):
         {"Customer": ["segment"], "Invoice": ["amount", "status"]},
     )
     return walked.groupBy("Customer_segment", "Invoice_status").agg(
-        F.count(F.lit(1)).alias("invoices"), number(total(money("Invoice_amount"))).alias("amount")
+        F.count(F.lit(1)).alias("invoices"), number(total(units("Invoice_amount"))).alias("amount")
     )
 
 
@@ -622,14 +625,13 @@ def traverse_group_by(s):
 def customer_context(s):
     dfs = s.tables(*FACTS, "subscriptions")
     nested = semantic.customer_context({**dfs, "customer_finance_summary": _summary(s)})
-    measures = F.transform("records", lambda r: r["measure"].cast("decimal(18,4)"))
-    added = F.aggregate(measures, F.lit(0).cast("decimal(28,4)"), lambda a, x: (a + x).cast("decimal(28,4)"))
+    measures = F.transform("records", lambda r: exact(r["measure"]))
     return nested.select(
         "customer_id",
         "section",
         "chunk",
         F.size("records").cast("bigint").alias("records"),
-        number(added).alias("measure"),
+        _array_total(measures).alias("measure"),
         F.element_at("records", 1)["key"].alias("first_key"),
     )
 

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerlens.functions import rules
-from ledgerlens.functions.amounts import change_pct, margin_pct, money, monthly, number, total
+from ledgerlens.functions.amounts import change_pct, margin_pct, monthly, number, total, units
 from ledgerlens.operators.customer import next_forecast
 from ledgerlens.operators.usage import adoption_by_customer
 from ledgerlens.schema import Terms, columns
@@ -39,9 +39,9 @@ _FORECASTS = "renewal_forecasts"
 
 def _measure_rows(dfs: dict[str, DataFrame], table: str) -> DataFrame:
     """The rows of one fact table as (customer_id, measures)."""
-    amount, status, df = money("amount"), F.col("status"), dfs[table]
+    amount, status, df = units("amount"), F.col("status"), dfs[table]
     if table == "subscriptions":
-        return df.filter(status == "Active").select("customer_id", money("arr").alias("arr"))
+        return df.filter(status == "Active").select("customer_id", units("arr").alias("arr"))
     if table == "invoices":
         return df.select(
             "customer_id",
@@ -52,7 +52,7 @@ def _measure_rows(dfs: dict[str, DataFrame], table: str) -> DataFrame:
     if table == "payments":
         return df.select("customer_id", amount.alias("collected"))
     if table == "cloud_costs":
-        return df.select("customer_id", money("total_cost").alias("cost"))
+        return df.select("customer_id", units("total_cost").alias("cost"))
     if table == "support_cases":
         critical = rules.open_critical(status, F.col("severity"))
         return df.filter(critical).select("customer_id", F.lit(1).cast("bigint").alias("critical"))
@@ -127,11 +127,11 @@ def with_summary(dfs: dict[str, DataFrame], wanted: Sequence[str] | None = None)
 
 
 def portfolio_totals(summary: DataFrame, terms: Terms) -> DataFrame:
-    at_risk = F.when(rules.at_risk(F.col("renewal_probability"), terms), money("arr"))
+    at_risk = F.when(rules.at_risk(F.col("renewal_probability"), terms), units("arr"))
     return summary.agg(
-        number(total(money("billed_revenue_6m"))).alias("billed_revenue_6m"),
-        number(total(money("cash_collected_6m"))).alias("cash_collected_6m"),
-        number(total(money("ar_outstanding"))).alias("ar_outstanding"),
+        number(total(units("billed_revenue_6m"))).alias("billed_revenue_6m"),
+        number(total(units("cash_collected_6m"))).alias("cash_collected_6m"),
+        number(total(units("ar_outstanding"))).alias("ar_outstanding"),
         number(total(at_risk)).alias("at_risk_arr"),
     )
 
@@ -139,7 +139,7 @@ def portfolio_totals(summary: DataFrame, terms: Terms) -> DataFrame:
 def active_arr(subscriptions: DataFrame) -> DataFrame:
     """Recurring revenue of active subscriptions."""
     return subscriptions.filter(F.col("status") == "Active").agg(
-        number(total(money("arr"))).alias("active_arr"), F.count(F.lit(1)).alias("subscriptions")
+        number(total(units("arr"))).alias("active_arr"), F.count(F.lit(1)).alias("subscriptions")
     )
 
 
@@ -151,7 +151,7 @@ def portfolio_counts(subscriptions: DataFrame) -> DataFrame:
     per_customer = (
         subscriptions.filter(F.col("status") == "Active")
         .groupBy("customer_id")
-        .agg(F.count(F.lit(1)).alias("n"), F.sum(money("arr")).alias("arr"))
+        .agg(F.count(F.lit(1)).alias("n"), F.sum(units("arr")).alias("arr"))
     )
     return per_customer.agg(
         F.count("customer_id").alias("active_customers"),

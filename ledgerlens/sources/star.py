@@ -13,7 +13,7 @@ from functools import cache
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlens.functions.amounts import divide, number
+from ledgerlens.functions.amounts import cents, divide, exact_sum, number, total, units
 from ledgerlens.functions.identifiers import cyclic, period_key
 from ledgerlens.operators.billing import payments_from_invoices
 from ledgerlens.operators.skew import lookup_join
@@ -40,8 +40,8 @@ def _instant(text: str) -> Column:
     return F.lit(text).cast("timestamp_ntz")
 
 
-def _cents(name: str) -> Column:
-    return F.col(name).cast("decimal(18,2)")
+def _hundredths(name: str) -> Column:
+    return F.rint(F.col(name) * 100).cast("bigint")
 
 
 def _key(name: str) -> Column:
@@ -119,7 +119,7 @@ class StarSource:
             _key("p_partkey").alias("product_id"),
             F.col("p_name").alias("product_name"),
             F.col("p_type").alias("product_family"),
-            number(_cents("p_retailprice") * 12).alias("list_price_arr"),
+            cents(F.col("p_retailprice") * 12).alias("list_price_arr"),
         )
 
     @cache
@@ -129,7 +129,7 @@ class StarSource:
         orders = self._orders_before_end().groupBy("o_custkey").agg(
             F.min("o_orderdate").cast("date").alias("start_date"),
             F.max("o_orderdate").alias("last_order"),
-            F.coalesce(F.sum(F.when(in_year, _cents("o_totalprice"))), F.lit(0)).alias("arr"),
+            total(F.when(in_year, units("o_totalprice"))).alias("arr"),
         )
         return orders.join(self.read("customer"), F.col("o_custkey") == F.col("c_custkey")).select(
             "o_custkey",
@@ -156,7 +156,7 @@ class StarSource:
         spend = (
             lookup_join(lines, orders, ["o_orderkey"], "inner")
             .groupBy("o_custkey", "l_partkey")
-            .agg(F.sum(_cents("l_extendedprice")).alias("spend"))
+            .agg(F.sum(units("l_extendedprice")).alias("spend"))
         )
         best = F.max(F.struct("spend", (-F.col("l_partkey")).alias("tie"), "l_partkey")).alias("best")
         return spend.groupBy("o_custkey").agg(best).select(
@@ -219,7 +219,7 @@ class StarSource:
             _key("o_custkey").alias("subscription_id"),
             F.col("o_orderdate").cast("date").alias("invoice_date"),
             due.alias("due_date"),
-            number(_cents("o_totalprice")).alias("amount"),
+            cents("o_totalprice").alias("amount"),
             status.otherwise("Open").alias("status"),
             F.when(F.col("o_orderstatus") == "F", F.date_sub(due, days_early)).alias("paid_date"),
         )
@@ -275,21 +275,22 @@ class StarSource:
             F.col("event_type").alias("case_title"),
             F.col("ts").cast("date").alias("opened_date"),
             F.when(resolved, F.date_add(F.col("ts").cast("date"), days)).alias("resolved_date"),
-            number(F.round(_cents("value") / 10, 2)).alias("support_hours"),
+            (F.floor((_hundredths("value") + 5) / 10) / 100).alias("support_hours"),
         )
 
     @cache
     def cloud_costs(self) -> DataFrame:
-        """Line items priced per customer and month.
+        """Line items priced per customer and month. A price in cents times a rate in
+        hundredths is a whole number of units.
 
         Line items are added up per order before they meet the orders, so an order with
         very many lines is one row on both sides of that join.
         """
-        price, hundredths = _cents("l_extendedprice"), "decimal(4,2)"
+        price, wide = _hundredths("l_extendedprice"), "decimal(18,0)"
         per_order = self.read("lineitem").groupBy("l_orderkey").agg(
-            F.sum(price * F.col("l_discount").cast(hundredths)).alias("compute"),
-            F.sum(price * F.col("l_tax").cast(hundredths)).alias("storage"),
-            F.sum(_cents("l_quantity") * 1000).alias("support"),
+            F.sum((price * _hundredths("l_discount")).cast(wide)).alias("compute"),
+            F.sum((price * _hundredths("l_tax")).cast(wide)).alias("storage"),
+            F.sum((_hundredths("l_quantity") * 100_000).cast(wide)).alias("support"),
         )
         orders = self._orders_in_window().select(
             "o_orderkey", "o_custkey", F.trunc("o_orderdate", "month").alias("cost_month")
@@ -297,7 +298,7 @@ class StarSource:
         sums = (
             orders.join(per_order, F.col("o_orderkey") == F.col("l_orderkey"))
             .groupBy("o_custkey", "cost_month")
-            .agg(*[F.sum(c).alias(c) for c in ("compute", "storage", "support")])
+            .agg(*[exact_sum(F.col(c)).alias(c) for c in ("compute", "storage", "support")])
             .withColumn("customer_id", _key("o_custkey"))
         )
         return sums.select(
