@@ -66,8 +66,8 @@ def differences(df, connection: duckdb.DuckDBPyConnection, sql: str) -> list[str
     return out + [f"type of {n}" for n in sorted(types)]
 
 
-def session(cpus: int = 8, partitions: int = 8) -> SparkSession:
-    spark = (
+def session(cpus: int = 8, partitions: int = 8, **settings: str) -> SparkSession:
+    builder = (
         SparkSession.builder.master(f"local[{cpus}]")
         .appName("ledgerlens")
         .config("spark.sql.shuffle.partitions", str(partitions))
@@ -76,8 +76,10 @@ def session(cpus: int = 8, partitions: int = 8) -> SparkSession:
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", "8g")
         .config("spark.python.sql.dataFrameDebugging.enabled", "false")
-        .getOrCreate()
     )
+    for name, value in settings.items():
+        builder = builder.config(name.replace("_", "."), value)
+    spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     return spark
 

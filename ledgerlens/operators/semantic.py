@@ -89,7 +89,7 @@ def traverse(
     """Walk ``steps`` from every instance of ``start``.
 
     ``properties`` names the columns wanted of each entity; they come out as
-    ``Entity.column`` with the dot written as ``_``. Every join reads those columns and
+    ``Entity_column``. Every join reads those columns and
     the keys it needs, nothing else. Walking to the many side, the rows reached look up
     where they came from, so hot sources are split.
     """
@@ -97,7 +97,9 @@ def traverse(
     visited = [start]
     for r, forward in path:
         visited.append(r.target if forward else r.source)
-    wanted = [(e, c) for e in dict.fromkeys(visited) for c in properties.get(e, ())]
+    if len(set(visited)) < len(visited):
+        raise ValueError(f"the path visits an entity twice: {', '.join(visited)}")
+    wanted = [(e, c) for e in visited for c in properties.get(e, ())]
 
     needed: dict[str, list[str]] = {e: [ENTITY[e].key, *properties.get(e, ())] for e in visited}
     for r, _ in path:
