@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ledgerlens.functions import rules
 from ledgerlens.functions.amounts import number, total, units
-from ledgerlens.operators.skew import SPLIT_ROWS, lookup_join
+from ledgerlens.operators.skew import SPLIT_ROWS, hot_keys, lookup_join
 from ledgerlens.schema import Terms
 
 
@@ -30,7 +30,8 @@ def invoice_360(dfs: dict[str, DataFrame], split_rows: int = SPLIT_ROWS) -> Data
         number(total(units("amount"))).alias("paid_amount"), F.max("payment_date").alias("last_payment_date")
     )
     wide = lookup_join(dfs["invoices"], subscription, ["subscription_id"], split_rows=split_rows)
-    wide = lookup_join(wide, customer, ["customer_id"], split_rows=split_rows)
+    hot = hot_keys(dfs["invoices"], ["customer_id"], split_rows)
+    wide = lookup_join(wide, customer, ["customer_id"], hot=hot)
     return wide.join(paid, "invoice_id", "left").select(
         "invoice_id", "customer_id", "customer_name", "segment", "subscription_id", "contract_tier",
         "product_id", "product_name", "product_family", "invoice_date", "due_date", "amount", "status",
@@ -59,7 +60,8 @@ def overdue_forecast(dfs: dict[str, DataFrame], split_rows: int = SPLIT_ROWS) ->
     named = lookup_join(
         overdue, dfs["customers"].select("customer_id", "customer_name"), ["customer_id"], "inner", split_rows
     )
-    return lookup_join(named, forecast, ["subscription_id"], "inner", split_rows).select(
+    hot = hot_keys(overdue, ["subscription_id"], split_rows)
+    return lookup_join(named, forecast, ["subscription_id"], "inner", hot=hot).select(
         "customer_name", "invoice_id", "amount", "due_date", "renewal_date", "renewal_probability",
         "forecast_category",
     )

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerlens.functions import rules
@@ -242,45 +242,69 @@ def reconcile_cash_by_customer(dfs: dict[str, DataFrame]) -> DataFrame:
     )
 
 
+def _ledger_rows(dfs: dict[str, DataFrame], table: str, terms: Terms) -> DataFrame:
+    """One row per row of a table: which table, and the amounts the report adds up."""
+    unpaid = F.when(rules.outstanding(F.col("status")), units("amount"))
+    risky = F.when(rules.at_risk(F.col("renewal_probability"), terms), units("renewal_arr"))
+    amounts = {
+        "invoices": [units("amount").alias("billed"), unpaid.alias("unpaid")],
+        "payments": [units("amount").alias("collected")],
+        "renewal_forecasts": [risky.alias("at_risk")],
+        "customer_finance_summary": [
+            units("billed_revenue_6m").alias("summary_billed"),
+            units("ar_outstanding").alias("summary_unpaid"),
+        ],
+    }
+    return dfs[table].select(F.lit(table).alias("table_name"), *amounts.get(table, []))
+
+
 def quality_report(dfs: dict[str, DataFrame], terms: Terms) -> DataFrame:
     """Long form (metric, value, text, holds): the as-of date, rows of every table, the
-    four totals, then each check with the size of its failure."""
-    rows = table_rows(dfs).select(
-        F.concat(F.lit("rows:"), "table_name").alias("metric"), F.col("row_count").cast("double").alias("value")
-    )
+    four totals, then each check with the size of its failure.
 
-    def one(name: str, df: DataFrame, amount) -> DataFrame:
-        return df.agg(number(total(amount)).alias("value")).select(F.lit(name).alias("metric"), "value")
-
-    invoices, forecasts = dfs["invoices"], dfs["renewal_forecasts"]
-    amount = units("amount")
-    totals = [
-        one("billed_revenue_6m", invoices, amount),
-        one("cash_collected_6m", dfs["payments"], amount),
-        one("ar_outstanding", invoices, F.when(rules.outstanding(F.col("status")), amount)),
-        one(
-            "at_risk_arr",
-            forecasts,
-            F.when(rules.at_risk(F.col("renewal_probability"), terms), units("renewal_arr")),
-        ),
-    ]
-    checks = [
-        f(dfs).select(
-            F.concat(F.lit("check:"), "check_name").alias("metric"),
-            (F.col("left_total") - F.col("right_total")).alias("value"),
-            "holds",
+    Every table is read once for its rows and amounts, which one grouping by table adds
+    up; foreign keys are one further grouping.
+    """
+    names = ("billed", "unpaid", "collected", "at_risk", "summary_billed", "summary_unpaid")
+    per_table = (
+        _stack([_ledger_rows(dfs, t, terms) for t in dfs])
+        .groupBy("table_name")
+        .agg(F.count(F.lit(1)).alias("n"), *[total(F.col(n)).alias(n) for n in names])
+    )
+    counts = [F.coalesce(F.sum(F.when(F.col("table_name") == t, F.col("n"))), F.lit(0)).alias(f"rows:{t}") for t in dfs]
+    zero = F.lit(0).cast("decimal(30,2)")
+    sums = per_table.agg(*counts, *[F.coalesce(F.sum(n), zero).alias(n) for n in names])
+
+    def metric(name: str, value: Column, holds: Column | None = None, text: str | None = None) -> Column:
+        return F.struct(
+            F.lit(name).alias("metric"),
+            number(value).alias("value"),
+            F.lit(text).cast("string").alias("text"),
+            (F.lit(None).cast("boolean") if holds is None else holds).alias("holds"),
         )
-        for f in (reconcile_billed, reconcile_outstanding, reconcile_cash)
+
+    def check(name: str, difference: Column) -> Column:
+        return metric(f"check:{name}", difference, difference == 0)
+
+    c = F.col
+    lines = [
+        metric("as_of_date", F.lit(None), text=terms.as_of.isoformat()),
+        *[metric(f"rows:{t}", c(f"rows:{t}")) for t in dfs],
+        metric("billed_revenue_6m", c("billed")),
+        metric("cash_collected_6m", c("collected")),
+        metric("ar_outstanding", c("unpaid")),
+        metric("at_risk_arr", c("at_risk")),
+        check("billed", c("billed") - c("summary_billed")),
+        check("outstanding", c("unpaid") - c("summary_unpaid")),
+        check("cash", c("billed") - c("collected") - c("unpaid")),
     ]
     orphans = fk_report(dfs).select(
         F.concat_ws(":", F.lit("check:orphans"), "child", "column").alias("metric"),
-        F.col("orphans").cast("double").alias("value"),
+        number(F.col("orphans")).alias("value"),
+        F.lit(None).cast("string").alias("text"),
         (F.col("orphans") == 0).alias("holds"),
     )
-    as_of = dfs["customers"].sparkSession.range(1).select(
-        F.lit("as_of_date").alias("metric"), F.lit(terms.as_of.isoformat()).alias("text")
-    )
-    return _stack([rows, *totals, *checks, orphans, as_of]).select("metric", "value", "text", "holds")
+    return sums.select(F.explode(F.array(*lines)).alias("line")).select("line.*").unionByName(orphans)
 
 
 def assert_quality(report: DataFrame) -> DataFrame:

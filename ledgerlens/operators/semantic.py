@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerlens.functions.identifiers import DEFAULT_BASE, stable_id, stable_uuid
-from ledgerlens.operators.skew import SPLIT_ROWS, chunked, lookup_join
+from ledgerlens.operators.skew import SPLIT_ROWS, chunked, hot_keys, lookup_join
 from ledgerlens.schema import ENTITIES, ENTITY, RELATIONSHIPS, SCHEMAS, Relationship
 
 
@@ -120,7 +120,8 @@ def traverse(
             frame = lookup_join(reached, frame.withColumn("_via", F.col(at_source)), ["_via"], "inner", split_rows)
         else:
             reached = instances(r.source).withColumn("_via", F.col(at_source))
-            frame = lookup_join(frame.withColumn("_via", F.col(at_target)), reached, ["_via"], "inner", split_rows)
+            hot = hot_keys(dfs[r.binding].select(F.col(r.source_key).alias("_via")), ["_via"], split_rows)
+            frame = lookup_join(frame.withColumn("_via", F.col(at_target)), reached, ["_via"], "inner", hot=hot)
         frame = frame.drop("_via")
     return frame.select(*[f"{e}_{c}" for e, c in wanted])
 

@@ -26,10 +26,15 @@ def hot_keys(
     one ``max_hot``-th of the rows. Counts are exact, so a recomputed task deals the
     same splits.
     """
+    return hot_of_counts(df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")), keys, split_rows, max_hot)
+
+
+def hot_of_counts(
+    counts: DataFrame, keys: Sequence[str], split_rows: int = SPLIT_ROWS, max_hot: int = MAX_HOT_KEYS
+) -> DataFrame:
+    """``hot_keys`` where the rows per key, ``n``, are already known."""
     return (
-        df.groupBy(*keys)
-        .agg(F.count(F.lit(1)).alias("n"))
-        .filter(F.col("n") > split_rows)
+        counts.filter(F.col("n") > split_rows)
         .orderBy(F.col("n").desc(), *keys)
         .limit(max_hot)
         .select(*keys, F.ceil(F.col("n") / split_rows).cast("int").alias("splits"))
@@ -55,14 +60,16 @@ def lookup_join(
     on: Sequence[str],
     how: str = "left",
     split_rows: int = SPLIT_ROWS,
-    max_hot: int = MAX_HOT_KEYS,
+    hot: DataFrame | None = None,
 ) -> DataFrame:
     """Join many rows to a keyed table: ``inner``, ``left``, ``left_semi`` or ``left_anti``.
 
     Rows of a hot key get one of its splits by a hash of the whole row; the lookup
-    row is copied once per split. Other keys join as usual, on split 0.
+    row is copied once per split. Other keys join as usual, on split 0. Keys are
+    counted in ``facts`` unless the ``hot`` ones are given; where ``facts`` is itself a
+    join, counting in its largest input saves computing the join twice.
     """
-    hot = hot_keys(facts, on, split_rows, max_hot)
+    hot = hot_keys(facts, on, split_rows) if hot is None else hot
     left = (
         _with_splits(facts, hot, on)
         .withColumn("_split", _row_split(facts.columns))

@@ -6,12 +6,16 @@ bounds a window, however many events a subscription sends.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from ledgerlens.functions.amounts import change_pct, divide, exact_sum, number, units
 
 
+def _by_month() -> WindowSpec:
+    return Window.partitionBy("subscription_id").orderBy("usage_month")
+
+
 def usage_metering(events: DataFrame, subscription: Column, period: Column, unit: Column, hours: Column) -> DataFrame:
     """Telemetry to one row per subscription and period: distinct active units, hours, jobs.
 
@@ -58,16 +62,18 @@ def usage_trend(usage: DataFrame) -> DataFrame:
     return adoption_by_customer(usage).withColumn("usage_trend_pct", trend)
 
 
-def _by_month(usage: DataFrame):
-    return Window.partitionBy("subscription_id").orderBy("usage_month")
-
-
 def usage_change(usage: DataFrame) -> DataFrame:
-    """Adoption of each month beside the month before."""
-    previous = F.lag("adoption_rate").over(_by_month(usage))
-    return usage.select(
-        "subscription_id", "customer_id", "usage_month", "adoption_rate", previous.alias("previous_rate")
-    ).withColumn("rate_change", F.col("adoption_rate") - F.col("previous_rate"))
+    """Adoption of each month beside the month before.
+
+    Rows are reduced to one per subscription and month (the highest rate, should a month
+    be there twice), so that a window holds no more rows than there are months.
+    """
+    monthly = usage.groupBy("subscription_id", "customer_id", "usage_month").agg(
+        F.max("adoption_rate").alias("adoption_rate")
+    )
+    return monthly.withColumn("previous_rate", F.lag("adoption_rate").over(_by_month())).withColumn(
+        "rate_change", F.col("adoption_rate") - F.col("previous_rate")
+    )
 
 
 def decline_streak(usage: DataFrame) -> DataFrame:
@@ -78,7 +84,7 @@ def decline_streak(usage: DataFrame) -> DataFrame:
     """
     falls = F.col("adoption_rate") < F.col("previous_rate")
     marked = usage_change(usage).withColumn("fall", F.coalesce(falls, F.lit(False)).cast("int"))
-    run = F.sum(1 - F.col("fall")).over(_by_month(usage))
+    run = F.sum(1 - F.col("fall")).over(_by_month())
     return (
         marked.withColumn("run", run)
         .groupBy("subscription_id", "customer_id", "run")

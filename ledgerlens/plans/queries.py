@@ -108,13 +108,13 @@ def ingest_accepted(s):
 
 @query
 def load_audit(s):
-    return tables.write_tables(_model(s, None), staging_path(s.spark, "tables"))
+    return summary.load_with_summary(s.tables(), staging_path(s.spark, "tables"))
 
 
 @query
 def load_check(s):
     root = staging_path(s.spark, "tables")
-    return tables.check_load(tables.write_tables(_model(s, None), root), root)
+    return tables.check_load(summary.load_with_summary(s.tables(), root), root)
 
 
 @query
@@ -136,9 +136,11 @@ def stored_portfolio(s):
 @query
 def csv_round_trip(s):
     """Rows of each table exported as CSV, read back and typed; none may be rejected."""
+    dfs, root = _model(s, None), staging_path(s.spark, "csv")
+    files.export_tables(dfs, root)
     frames = []
-    for table, df in _model(s, None).items():
-        back = files.typed(_landed(s, table, df), table)
+    for table in dfs:
+        back = files.typed(files.read_csv(s.spark, f"{root}/{table}", table), table)
         frames.append(
             back.agg(
                 F.count(F.lit(1)).alias("row_count"), F.count_if(F.size(files.BAD_COLUMNS) > 0).alias("rejected")
@@ -716,12 +718,13 @@ def q_segment_rollup(s):
     return questions.rollup_by(_summary(s, wanted), s.customers(), "segment")
 
 
+_source = cache(StarSource)
+
+
 def queries() -> dict[str, Callable]:
     """Name to ``(spark, directory) -> DataFrame``."""
 
-    source = cache(StarSource)
-
     def bind(build: Query) -> Callable:
-        return lambda spark, path: build(source(spark, path))
+        return lambda spark, path: build(_source(spark, path))
 
     return {name: bind(build) for name, build in QUERIES.items()}

@@ -128,20 +128,14 @@ def overdue_at_risk(dfs: dict[str, DataFrame], terms: Terms) -> DataFrame:
 def margin_drivers(summary: DataFrame, costs: DataFrame, k: int = 3) -> DataFrame:
     """The ``k`` lowest margins with billed revenue, cost and each component's share.
 
-    ``k`` rows are broadcast to the costs, so only those customers' costs are added up.
+    Costs meet the summary at customer grain, both partitioned by customer; each task
+    then keeps its ``k`` lowest.
     """
-    lowest = extreme_rows(
-        summary.filter(F.col("gross_margin_pct").isNotNull()).select(
-            "customer_id", "customer_name", "billed_revenue_6m", "cost_6m", "gross_margin_pct"
-        ),
-        "gross_margin_pct",
-        "customer_id",
-        k,
-    )
-    theirs = costs.join(F.broadcast(lowest.select("customer_id")), "customer_id", "left_semi")
-    parts = cost_by_customer(theirs).drop("cost_6m")
+    billed = summary.filter(F.col("gross_margin_pct").isNotNull())
+    parts = cost_by_customer(costs).drop("cost_6m")
+    lowest = extreme_rows(billed.join(parts, "customer_id", "left"), "gross_margin_pct", "customer_id", k)
     shares = [divide(F.col(c), F.col("cost_6m")).alias(c.replace("_cost", "_share")) for c in COST_PARTS]
-    return lowest.join(parts, "customer_id", "left").select(
+    return lowest.select(
         "customer_id", "customer_name", "billed_revenue_6m", "cost_6m", "gross_margin_pct", *shares
     )
 

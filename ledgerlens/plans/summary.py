@@ -9,10 +9,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerlens.functions import rules
-from ledgerlens.functions.amounts import change_pct, margin_pct, monthly, number, total, units
+from ledgerlens.functions.amounts import change_pct, exact_sum, margin_pct, monthly, number, total, units
 from ledgerlens.operators.customer import next_forecast
 from ledgerlens.operators.usage import adoption_by_customer
 from ledgerlens.schema import Terms, columns
+from ledgerlens.sources.tables import read_tables, write_tables
 
 
 # Where the measures behind each summary column come from.
@@ -126,6 +127,14 @@ def with_summary(dfs: dict[str, DataFrame], wanted: Sequence[str] | None = None)
     return {**dfs, "customer_finance_summary": customer_summary(dfs, wanted)}
 
 
+def load_with_summary(dfs: dict[str, DataFrame], root: str) -> DataFrame:
+    """Store the base tables, then the summary worked out from the stored ones; the audit
+    of both. The facts are derived once, and the summary reads columnar files."""
+    audit = write_tables(dfs, root)
+    stored = read_tables(audit.sparkSession, root, tuple(dfs))
+    return audit.unionByName(write_tables({"customer_finance_summary": customer_summary(stored)}, root))
+
+
 def portfolio_totals(summary: DataFrame, terms: Terms) -> DataFrame:
     at_risk = F.when(rules.at_risk(F.col("renewal_probability"), terms), units("arr"))
     return summary.agg(
@@ -151,10 +160,10 @@ def portfolio_counts(subscriptions: DataFrame) -> DataFrame:
     per_customer = (
         subscriptions.filter(F.col("status") == "Active")
         .groupBy("customer_id")
-        .agg(F.count(F.lit(1)).alias("n"), F.sum(units("arr")).alias("arr"))
+        .agg(F.count(F.lit(1)).alias("n"), exact_sum(units("arr")).alias("arr"))
     )
     return per_customer.agg(
         F.count("customer_id").alias("active_customers"),
         F.coalesce(F.sum("n"), F.lit(0)).alias("active_subscriptions"),
-        number(total(F.col("arr"))).alias("total_arr"),
+        number(F.coalesce(F.round(F.sum("arr"), 2), F.lit(0))).alias("total_arr"),
     )

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping
+from concurrent.futures import ThreadPoolExecutor
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -83,6 +86,12 @@ def export_csv(df: DataFrame, table: str, path: str) -> None:
     )
 
 
+def export_tables(dfs: Mapping[str, DataFrame], root: str, parallel: int = 4) -> None:
+    """Every table as CSV below ``root``, a few at a time."""
+    with ThreadPoolExecutor(parallel) as pool:
+        list(pool.map(lambda t: export_csv(dfs[t], t, f"{root.rstrip('/')}/{t}"), dfs))
+
+
 def export_report(report: DataFrame, path: str) -> None:
     """A quality report as JSON lines."""
     report.write.mode("overwrite").json(path)

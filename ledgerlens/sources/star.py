@@ -156,7 +156,7 @@ class StarSource:
         spend = (
             lookup_join(lines, orders, ["o_orderkey"], "inner")
             .groupBy("o_custkey", "l_partkey")
-            .agg(F.sum(units("l_extendedprice")).alias("spend"))
+            .agg(exact_sum(units("l_extendedprice")).alias("spend"))
         )
         best = F.max(F.struct("spend", (-F.col("l_partkey")).alias("tie"), "l_partkey")).alias("best")
         return spend.groupBy("o_custkey").agg(best).select(
@@ -286,11 +286,11 @@ class StarSource:
         Line items are added up per order before they meet the orders, so an order with
         very many lines is one row on both sides of that join.
         """
-        price, wide = _hundredths("l_extendedprice"), "decimal(18,0)"
+        price = _hundredths("l_extendedprice")
         per_order = self.read("lineitem").groupBy("l_orderkey").agg(
-            F.sum((price * _hundredths("l_discount")).cast(wide)).alias("compute"),
-            F.sum((price * _hundredths("l_tax")).cast(wide)).alias("storage"),
-            F.sum((_hundredths("l_quantity") * 100_000).cast(wide)).alias("support"),
+            exact_sum(price * _hundredths("l_discount")).alias("compute"),
+            exact_sum(price * _hundredths("l_tax")).alias("storage"),
+            exact_sum(_hundredths("l_quantity") * 100_000).alias("support"),
         )
         orders = self._orders_in_window().select(
             "o_orderkey", "o_custkey", F.trunc("o_orderdate", "month").alias("cost_month")
@@ -298,7 +298,7 @@ class StarSource:
         sums = (
             orders.join(per_order, F.col("o_orderkey") == F.col("l_orderkey"))
             .groupBy("o_custkey", "cost_month")
-            .agg(*[exact_sum(F.col(c)).alias(c) for c in ("compute", "storage", "support")])
+            .agg(*[F.sum(c).alias(c) for c in ("compute", "storage", "support")])
             .withColumn("customer_id", _key("o_custkey"))
         )
         return sums.select(
