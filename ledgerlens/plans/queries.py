@@ -52,6 +52,14 @@ def _array_total(amounts: Column) -> Column:
     return number(F.aggregate(amounts, F.lit(0).cast(wide), lambda a, x: (a + x).cast(wide)))
 
 
+@cache
+def _keyed(s: StarSource) -> dict[str, DataFrame]:
+    """All tables for queries that read keys and display columns only: subscriptions
+    without their product, which line items would have to be read for."""
+    tables_ = s.tables("products", *FACTS)
+    return {**tables_, "customer_finance_summary": _summary(s, MODEL_KEYS)}
+
+
 # --- sources and sinks -------------------------------------------------------
 
 
@@ -461,7 +469,7 @@ def fk_report(s):
 
 @query
 def table_rows(s):
-    return quality.table_rows(_model(s))
+    return quality.table_rows(_keyed(s))
 
 
 @query
@@ -493,12 +501,12 @@ def quality_report(s):
 
 @query
 def duplicate_keys(s):
-    return quality.duplicate_keys(_model(s))
+    return quality.duplicate_keys(_keyed(s))
 
 
 @query
 def key_report(s):
-    return quality.key_report(_model(s))
+    return quality.key_report(_keyed(s))
 
 
 @query
@@ -527,7 +535,7 @@ def unexplained_risk(s):
 
 @query
 def entity_instances(s):
-    return semantic.entity_instances(_model(s))
+    return semantic.entity_instances(_keyed(s))
 
 
 @query
@@ -537,12 +545,12 @@ def relationship_edges(s):
 
 @query
 def stable_ids(s):
-    return semantic.with_stable_ids(semantic.entity_instances(_model(s))).select("entity", "key", "id")
+    return semantic.with_stable_ids(semantic.entity_instances(_keyed(s))).select("entity", "key", "id")
 
 
 @query
 def stable_uuids(s):
-    return semantic.with_stable_uuids(semantic.entity_instances(_model(s))).select("entity", "key", "uuid")
+    return semantic.with_stable_uuids(semantic.entity_instances(_keyed(s))).select("entity", "key", "uuid")
 
 
 @query
