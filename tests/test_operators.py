@@ -91,6 +91,16 @@ def test_metering(spark):
     assert rows(metered) == [("S1", 1, 2, 0.6, 3), ("S1", 2, 1, 1.0, 1)]
 
 
+def test_metering_of_numbered_units_equals_the_distinct_count(spark):
+    events = spark.range(0, 4000, 1, 5).select(
+        (F.col("id") % 7).alias("sub"), (F.col("id") % 3).alias("period"), (F.col("id") * F.col("id") % 130).alias("unit")
+    )
+    hours = F.lit(1.0)
+    columns = [F.col(c) for c in ("sub", "period", "unit")]
+    plain = usage.usage_metering(events, *columns, hours)
+    assert rows(usage.usage_metering(events, *columns, hours, unit_bound=130)) == rows(plain)
+
+
 def test_adoption_without_licences_is_null(make):
     usage_rows = make("usage_monthly", {"active_users": 5, "licensed_users": 0}, {"active_users": 1, "licensed_users": 4})
     assert rows(usage.with_adoption_rate(usage_rows), "adoption_rate") == [(0.25,), (None,)]
