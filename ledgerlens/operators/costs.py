@@ -89,8 +89,9 @@ def paired_periods(costs: DataFrame, usage: DataFrame, calendars_differ: bool =
     )
     by_month = Window.partitionBy("subscription_id").orderBy("month")
     if calendars_differ:
-        cost = cost.withColumn("period", F.row_number().over(by_month)).drop("month")
-        hours = hours.withColumn("period", F.row_number().over(by_month)).drop("month")
+        place = F.row_number().over(by_month).cast("bigint")
+        cost = cost.withColumn("period", place).drop("month")
+        hours = hours.withColumn("period", place).drop("month")
     else:
         cost = cost.withColumnRenamed("month", "period")
         hours = hours.withColumnRenamed("month", "period")
