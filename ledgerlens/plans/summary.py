@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -127,10 +127,12 @@ def with_summary(dfs: dict[str, DataFrame], wanted: Sequence[str] | None = None)
     return {**dfs, "customer_finance_summary": customer_summary(dfs, wanted)}
 
 
-def load_with_summary(dfs: dict[str, DataFrame], root: str) -> DataFrame:
+def load_with_summary(
+    dfs: dict[str, DataFrame], root: str, partition_by: Mapping[str, str] | None = None
+) -> DataFrame:
     """Store the base tables, then the summary worked out from the stored ones; the audit
     of both. The facts are derived once, and the summary reads columnar files."""
-    audit = write_tables(dfs, root)
+    audit = write_tables(dfs, root, partition_by=partition_by)
     stored = read_tables(audit.sparkSession, root, tuple(dfs))
     return audit.unionByName(write_tables({"customer_finance_summary": customer_summary(stored)}, root))
 

@@ -9,10 +9,13 @@ from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerlens.operators.quality import schema_differences
-from ledgerlens.schema import SCHEMAS
+from ledgerlens.schema import SCHEMAS, columns
 
 _AUDIT = "table_name string, row_count bigint"
 
+# Monthly facts by their month, so that a query over some months reads only those.
+BY_MONTH = {"invoices": "invoice_date", "usage_monthly": "usage_month", "cloud_costs": "cost_month"}
+
 
 def table_path(root: str, table: str) -> str:
     return f"{root.rstrip('/')}/{table}"
@@ -21,8 +24,15 @@ def table_path(root: str, table: str) -> str:
 def write_table(
     df: DataFrame, path: str, fmt: str = "parquet", partition_by: str | None = None
 ) -> int:
-    """Replace the table at ``path`` and return its rows, counted while they are written."""
+    """Replace the table at ``path`` and return its rows, counted while they are written.
+
+    For a partitioned table rows are first rebalanced by that column: without it every
+    task would write a file per month, and with a plain repartition one task a whole
+    month. Adaptive execution splits the large months and merges the small ones.
+    """
     seen = Observation()
+    if partition_by:
+        df = df.hint("rebalance", F.col(partition_by))
     writer = df.observe(seen, F.count(F.lit(1)).alias("rows")).write.mode("overwrite").format(fmt)
     if fmt == "delta":
         writer = writer.option("overwriteSchema", "true")
@@ -55,10 +65,18 @@ def write_tables(
     return spark.createDataFrame(audit, _AUDIT)
 
 
+def read_table(spark: SparkSession, root: str, table: str, fmt: str = "parquet") -> DataFrame:
+    """A stored table. The column a table is partitioned by comes back last, and typed
+    by guess from the folder names; a complete table gets its declared shape again."""
+    stored = spark.read.format(fmt).load(table_path(root, table))
+    if sorted(stored.columns) != sorted(columns(table)):
+        return stored
+    moved = stored.columns != columns(table)
+    return stored.select(*[F.col(f.name).cast(f.dataType) for f in SCHEMAS[table]]) if moved else stored
+
+
 def read_tables(spark: SparkSession, root: str, tables=tuple(SCHEMAS), fmt: str = "parquet") -> dict[str, DataFrame]:
-    """Stored tables, with the registry's schema where the format needs one."""
-    reader = spark.read.format(fmt)
-    return {t: reader.load(table_path(root, t)) for t in tables}
+    return {t: read_table(spark, root, t, fmt) for t in tables}
 
 
 def check_load(audit: DataFrame, root: str, fmt: str = "parquet") -> DataFrame:
@@ -70,7 +88,7 @@ def check_load(audit: DataFrame, root: str, fmt: str = "parquet") -> DataFrame:
     expected = {r.table_name: r.row_count for r in audit.collect()}
     rows = []
     for table, count in expected.items():
-        stored = spark.read.format(fmt).load(table_path(root, table))
+        stored = read_table(spark, root, table, fmt)
         found, same = stored.count(), not schema_differences(stored, table)
         rows.append((table, count, found, same, same and found == count))
     return spark.createDataFrame(

@@ -5,7 +5,7 @@ import pytest
 from conftest import TERMS, rows
 
 from ledgerlens.operators import quality
-from ledgerlens.plans.summary import with_summary
+from ledgerlens.plans.summary import load_with_summary, with_summary
 from ledgerlens.session import checkpointed, shared_folder, staging_path
 from ledgerlens.sources import files, tables
 
@@ -88,6 +88,19 @@ def test_partitioned_write_and_views(spark, complete, tmp_path):
     assert spark.sql("SELECT count(*) FROM invoices WHERE status = 'Paid'").first()[0] == 2
 
 
+def test_load_by_month_prunes_and_keeps_the_declared_shape(spark, company, complete, tmp_path):
+    root = str(tmp_path)
+    audit = load_with_summary(company, root, partition_by=tables.BY_MONTH)
+    assert {r.complete for r in tables.check_load(audit, root).collect()} == {True}
+    stored = tables.read_tables(spark, root)
+    for table, df in complete.items():
+        assert rows(stored[table]) == rows(df), table
+    one = stored["usage_monthly"].filter("usage_month = date '2026-07-01'")
+    plan = one._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(usage_month" in plan
+    assert one.count() == 3
+
+
 def test_report_as_json(complete, tmp_path):
     path = str(tmp_path / "report")
     files.export_report(quality.quality_report(complete, TERMS), path)
