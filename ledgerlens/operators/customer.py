@@ -113,7 +113,7 @@ def invoices_nested(invoices: DataFrame, chunk_rows: int = 10_000) -> DataFrame:
     """
     record = F.struct("invoice_date", "invoice_id", "due_date", "amount", "status", "paid_date")
     return (
-        chunked(invoices, ["customer_id"], "invoice_id", chunk_rows)
+        chunked(invoices, ["customer_id"], chunk_rows)
         .groupBy("customer_id", "chunk")
         .agg(F.array_sort(F.collect_list(record)).alias("invoices"))
     )

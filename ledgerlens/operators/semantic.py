@@ -166,7 +166,7 @@ def customer_context(
         )
     stacked = reduce(DataFrame.unionByName, frames)
     return (
-        chunked(stacked, ["customer_id", "section"], "key", chunk_rows)
+        chunked(stacked, ["customer_id", "section"], chunk_rows)
         .groupBy("customer_id", "section", "chunk")
         .agg(F.array_sort(F.collect_list(F.struct("key", "measure", "record"))).alias("records"))
     )

@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 SPLIT_ROWS = 1_000_000
@@ -49,9 +49,10 @@ def _with_splits(df: DataFrame, hot: DataFrame, keys: Sequence[str]) -> DataFram
     return df.join(F.broadcast(named), condition, "left").drop(*[f"_hot_{k}" for k in keys])
 
 
-def _row_split(columns: Sequence[str]):
-    dealt = F.pmod(F.xxhash64(*columns), F.col("_splits")).cast("int")
-    return F.when(F.col("_splits").isNull(), F.lit(0)).otherwise(dealt)
+def _dealt(columns: Sequence[str], parts: str) -> Column:
+    """One of the ``parts`` of a row's key, by a hash of the row; 0 where there are none."""
+    dealt = F.pmod(F.xxhash64(*columns), F.col(parts)).cast("int")
+    return F.when(F.col(parts).isNull(), F.lit(0)).otherwise(dealt)
 
 
 def lookup_join(
@@ -72,7 +73,7 @@ def lookup_join(
     hot = hot_keys(facts, on, split_rows) if hot is None else hot
     left = (
         _with_splits(facts, hot, on)
-        .withColumn("_split", _row_split(facts.columns))
+        .withColumn("_split", _dealt(facts.columns, "_splits"))
         .drop("_splits")
     )
     copies = F.sequence(F.lit(0), F.coalesce("_splits", F.lit(1)) - 1)
@@ -80,10 +81,17 @@ def lookup_join(
     return left.join(right, [*on, "_split"], how).drop("_split")
 
 
-def chunked(
-    df: DataFrame, keys: Sequence[str], row_key: str, chunk_rows: int, max_hot: int = MAX_HOT_KEYS
-) -> DataFrame:
-    """``df`` with a ``chunk`` number: 0 for ordinary keys, dealt by ``row_key`` for keys
-    above ``chunk_rows`` rows, so that (keys, chunk) groups stay small."""
-    hot = hot_keys(df, keys, chunk_rows, max_hot)
-    return _with_splits(df, hot, keys).withColumn("chunk", _row_split([row_key])).drop("_splits")
+def chunked(df: DataFrame, keys: Sequence[str], chunk_rows: int) -> DataFrame:
+    """``df`` with a ``chunk`` number, so that (keys, chunk) groups hold about ``chunk_rows``
+    rows at most: 0 for ordinary keys, dealt by a hash of the row for larger ones.
+
+    Every larger key is split, however many there are: their sizes are joined to the
+    rows, by a hash of the key so that a null key is one like any other.
+    """
+    grouped = df.withColumn("_group", F.xxhash64(*keys))
+    counts = grouped.groupBy("_group").agg(F.count(F.lit(1)).alias("n"))
+    larger = counts.filter(F.col("n") > chunk_rows).select(
+        "_group", F.ceil(F.col("n") / chunk_rows).cast("int").alias("_chunks")
+    )
+    sized = lookup_join(grouped, larger, ["_group"], hot=hot_of_counts(counts, ["_group"]))
+    return sized.select(*df.columns, _dealt(df.columns, "_chunks").alias("chunk"))

@@ -56,8 +56,7 @@ def _array_total(amounts: Column) -> Column:
 def _keyed(s: StarSource) -> dict[str, DataFrame]:
     """All tables for queries that read keys and display columns only: subscriptions
     without their product, which line items would have to be read for."""
-    tables_ = s.tables("products", *FACTS)
-    return {**tables_, "customer_finance_summary": _summary(s, MODEL_KEYS)}
+    return {**s.tables("products", *FACTS), "customer_finance_summary": _summary(s, MODEL_KEYS)}
 
 
 # --- sources and sinks -------------------------------------------------------

@@ -246,13 +246,20 @@ def test_split_join_equals_plain_join(spark, skewed, how):
 
 
 def test_rows_of_a_hot_key_are_spread(skewed):
-    spread = skew.chunked(skewed, ["key"], "id", chunk_rows=100)
+    spread = skew.chunked(skewed, ["key"], chunk_rows=100)
     per_chunk = spread.filter("key = 7").groupBy("chunk").count().collect()
     assert len(per_chunk) == 11
     assert max(r["count"] for r in per_chunk) < 200
     assert spread.filter("key <> 7").agg(F.max("chunk")).first()[0] == 0
 
 
+def test_rows_without_a_key_are_spread_too(skewed):
+    unknown = skewed.withColumn("key", F.when(F.col("key") != 7, F.col("key")))
+    spread = skew.chunked(unknown, ["key"], chunk_rows=100)
+    assert spread.count() == 3000
+    assert spread.filter("key IS NULL").select("chunk").distinct().count() == 11
+
+
 def test_nested_invoices_are_whole(make):
     many = make(
         "invoices",
