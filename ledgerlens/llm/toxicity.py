@@ -6,6 +6,7 @@ sparse text features, here words and word beginnings a document contains.
 
 from __future__ import annotations
 
+import math
 import re
 from collections import Counter
 from collections.abc import Iterable
@@ -19,11 +20,13 @@ from pyspark.sql import functions as F
 from ledgerlens.llm.common import held_out, whole
 
 #: Bounds of the fit: labelled documents read, features kept.
-SAMPLE_DOCS, MAX_FEATURES = 3_000, 2_000
+SAMPLE_DOCS, MAX_FEATURES = 4_000, 2_000
+#: Least likelihood ratio of a feature: chance gives it to one token in ten million.
+LEAST_RATIO = 30.0
 GRADES = 4
 PREFIXES = (4, 5, 6)
-#: Shares of a toxic document's words that are telling, from which on it has the next grade.
-GRADE_SHARES = (0.01, 0.04)
+#: Distinct telling words of a toxic document from which on it has the next grade.
+GRADE_HITS = (2, 4)
 
 _WORDS = re.compile(r"[^\W\d_]+")
 
@@ -58,8 +61,8 @@ class Ordinal:
 
 
 def _telling(rows: list[tuple[Counter[str], int]], most: int) -> list[str]:
-    """Tokens that are much more frequent in toxic documents, most telling first, ties by
-    the token."""
+    """Tokens more frequent in toxic documents by a likelihood ratio that chance does not
+    reach, highest first, ties by the token."""
     toxic = sum(y > 0 for _, y in rows)
     clean = len(rows) - toxic
     inside, outside = Counter(), Counter()
@@ -67,16 +70,18 @@ def _telling(rows: list[tuple[Counter[str], int]], most: int) -> list[str]:
         (inside if y else outside).update(tokens(counts))
     ranked = []
     for token, n in inside.items():
-        if n >= max(3, toxic // 200):
-            odds = np.log((n + 0.5) / (toxic + 1) * (clean + 1) / (outside[token] + 0.5))
-            if odds > 1.5:
-                ranked.append((-n * odds, token))
+        m = outside[token]
+        if n * clean > m * toxic:
+            total = n + m
+            ratio = n * math.log(n * len(rows) / (total * toxic)) + (m * math.log(m * len(rows) / (total * clean)) if m else 0.0)
+            if 2 * ratio >= LEAST_RATIO:
+                ranked.append((-ratio, token))
     return [token for _, token in sorted(ranked)[:most]]
 
 
-def fit(documents: list[tuple[Counter[str], int]], steps: int = 400, rate: float = 0.1, penalty: float = 2e-4) -> Ordinal:
+def fit(documents: list[tuple[Counter[str], int]], steps: int = 600, rate: float = 0.1, penalty: float = 1e-5) -> Ordinal:
     """Fits on word counts with labels 0 or 1. Toxic documents get grades 1 to 3 by
-    their share of telling words. Without both labels nothing is toxic."""
+    their distinct telling words. Without both labels nothing is toxic."""
     rows = documents
     vocabulary = _telling(rows, MAX_FEATURES)
     if not vocabulary or all(y for _, y in rows):
@@ -88,8 +93,8 @@ def fit(documents: list[tuple[Counter[str], int]], steps: int = 400, rate: float
         where += [i] * len(active)
         what += active
         if y:
-            hits = sum(n for t, n in own.items() if t in index or any(t[:k] + "*" in index for k in PREFIXES if len(t) > k))
-            grade[i] = 1 + int(np.searchsorted(GRADE_SHARES, hits / max(1, sum(own.values())), side="right"))
+            hits = sum(1 for t in own if t in index or any(t[:k] + "*" in index for k in PREFIXES if len(t) > k))
+            grade[i] = 1 + int(np.searchsorted(GRADE_HITS, hits, side="right"))
     where, what = np.array(where, dtype=int), np.array(what, dtype=int)
     weights, gaps = np.zeros(len(vocabulary)), np.array([1.0, 0.0, 0.0])
     moment = [np.zeros(len(vocabulary) + 3), np.zeros(len(vocabulary) + 3)]
