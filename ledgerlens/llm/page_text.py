@@ -216,7 +216,7 @@ def _grams(hashed: np.ndarray, length: int) -> np.ndarray:
     return out
 
 
-def repeated(pages: list[list[str]], share: float, least: int = 1) -> np.ndarray:
+def repeated(pages: list[list[str]], share: float) -> np.ndarray:
     """Hashes of the substrings of ``MIN_TOKENS`` tokens that at least this share of the pages
     have, by the suffix array of their concatenation."""
     ids, hashed, owner = _stream(pages)
@@ -232,12 +232,16 @@ def repeated(pages: list[list[str]], share: float, least: int = 1) -> np.ndarray
     fresh[1:] |= pages_in_order[1:] != pages_in_order[:-1]
     counts = np.add.reduceat(fresh.astype(np.int64), np.flatnonzero(begins))
     at = order[np.flatnonzero(begins)]
-    enough = (counts >= max(least, share * len(pages))) & (at <= len(ids) - MIN_TOKENS)
-    return _grams(hashed, MIN_TOKENS)[at[enough]]
+    # No page's end may be inside.
+    last = np.flatnonzero(np.append(owner[1:] != owner[:-1], True))
+    ends = last[owner]
+    at = at[(counts >= share * len(pages)) & (at + MIN_TOKENS <= ends[at])]
+    return _grams(hashed, MIN_TOKENS)[at]
 
 
 def unique_runs(texts: list[str], boilerplate: np.ndarray) -> list[str]:
-    """The blocks without the tokens that boilerplate substrings cover."""
+    """The blocks without the tokens that boilerplate substrings cover. Where a substring goes
+    on into the next block, fewer than ``MIN_TOKENS`` covered tokens of a longer one stay."""
     if not len(boilerplate) or not texts:
         return texts
     ids, hashed, _ = _stream([texts])
@@ -250,8 +254,14 @@ def unique_runs(texts: list[str], boilerplate: np.ndarray) -> list[str]:
     out, at = [], 0
     for text in texts:
         tokens = text.split(" ")
-        kept = [t for t, gone in zip(tokens, covered[at : at + len(tokens)], strict=True) if not gone]
+        gone = covered[at : at + len(tokens)]
         at += len(tokens)
+        if not gone.all():
+            edges = np.flatnonzero(np.diff(np.concatenate([[0], gone.astype(np.int8), [0]])))
+            for start, stop in edges.reshape(-1, 2).tolist():
+                if stop - start < MIN_TOKENS:
+                    gone[start:stop] = False
+        kept = [t for t, out_of in zip(tokens, gone, strict=True) if not out_of]
         if kept:
             out.append(" ".join(kept))
     return out

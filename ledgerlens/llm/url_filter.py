@@ -19,7 +19,7 @@ from ledgerlens.llm.common import lower_ascii
 SAMPLE_URLS = 4_000
 FEATURES = (
     "url_length", "host_length", "path_length", "depth", "labels", "digit_ratio", "host_digit_ratio", "hyphens",
-    "parameters", "entropy", "host_entropy", "has_fragment", "secure", "suffix_length", "suffix_block_rate", "suffix_share",
+    "parameters", "entropy", "host_entropy", "has_fragment", "secure", "suffix_length", "suffix_block_rate", "suffix_share", "segment_block_rate", "segment_share",
 )
 
 
@@ -95,7 +95,7 @@ def suffix_of(host: Column) -> Column:
 
 
 def lexical(urls: DataFrame) -> DataFrame:
-    """``urls`` (columns url, host, path, ...) with the features but those of the suffix."""
+    """``urls`` (columns url, host, path, ...) with the features but the statistics."""
     url = F.coalesce(F.col("url"), F.lit(""))
     host, path = F.col("host"), F.col("path")
     query = F.regexp_extract(url, r"(?s)\?([^#]*)", 1)
@@ -115,6 +115,7 @@ def lexical(urls: DataFrame) -> DataFrame:
             "has_fragment": F.contains(url, F.lit("#")).cast("double"),
             "secure": url.startswith("https://").cast("double"),
             "suffix": suffix_of(host),
+            "segment": F.regexp_extract(path, r"(?s)\A/([^/]*)/", 1),
             "suffix_length": F.length(F.substring_index(host, ".", -1)).cast("double"),
         }
     )
@@ -122,22 +123,30 @@ def lexical(urls: DataFrame) -> DataFrame:
 
 @dataclass(frozen=True)
 class Model:
-    """The trees and the suffix statistics they were fitted with; ``trees`` is None where no
-    URL was labelled or all had one verdict, which is then ``only``."""
+    """The trees and the statistics of suffixes and first path segments they were fitted with;
+    ``trees`` is None where no URL was labelled or all had one verdict, which is then
+    ``only``."""
 
     trees: GBTClassificationModel | None
-    suffixes: DataFrame
+    statistics: dict[str, DataFrame]
     only: str = "allow"
 
 
-def _with_suffixes(lexed: DataFrame, suffixes: DataFrame) -> DataFrame:
-    joined = lexed.join(suffixes, lexed["suffix"] == suffixes["known_suffix"], "left")
-    return joined.withColumns(
-        {
-            "suffix_block_rate": F.coalesce("known_rate", F.lit(0.5)),
-            "suffix_share": F.coalesce("known_share", F.lit(0.0)),
-        }
-    )
+def _statistics(lexed: DataFrame, part: str) -> DataFrame:
+    """Share of blocked URLs (smoothed towards one half) and of all, by suffix or segment. The
+    fit's sample bounds what is collected and joined later."""
+    counted = lexed.groupBy(part).agg(F.count("*").alias("n"), F.sum("blocked").alias("bad")).collect()
+    total = sum(r["n"] for r in counted) or 1
+    rows = [(r[part], (r["bad"] + 5.0) / (r["n"] + 10.0), r["n"] / total) for r in counted]
+    return lexed.sparkSession.createDataFrame(rows, f"known_{part} string, {part}_rate double, {part}_part double")
+
+
+def _with_statistics(lexed: DataFrame, statistics: dict[str, DataFrame]) -> DataFrame:
+    for part, known in statistics.items():
+        lexed = lexed.join(known, lexed[part] == known[f"known_{part}"], "left").withColumns(
+            {f"{part}_block_rate": F.coalesce(f"{part}_rate", F.lit(0.5)), f"{part}_share": F.coalesce(f"{part}_part", F.lit(0.0))}
+        )
+    return lexed
 
 
 def fit(labelled: DataFrame, sample_urls: int = SAMPLE_URLS, trees: int = 20, depth: int = 4) -> Model:
@@ -149,19 +158,14 @@ def fit(labelled: DataFrame, sample_urls: int = SAMPLE_URLS, trees: int = 20, de
         .orderBy(F.xxhash64("url"), "url").limit(sample_urls)
     )
     lexed = lexical(sample)
-    # At most sample_urls suffixes, so what is collected and joined is bounded; counts are
-    # smoothed towards one half.
-    counted = lexed.groupBy("suffix").agg(F.count("*").alias("n"), F.sum("blocked").alias("bad")).collect()
-    total = sum(r["n"] for r in counted) or 1
-    rows = [(r["suffix"], (r["bad"] + 5.0) / (r["n"] + 10.0), r["n"] / total) for r in counted]
-    suffixes = labelled.sparkSession.createDataFrame(rows, "known_suffix string, known_rate double, known_share double")
-    bad, n = sum(r["bad"] for r in counted), sum(r["n"] for r in counted)
-    if not 0 < bad < n:
-        return Model(None, suffixes, "block" if n and bad else "allow")
+    verdicts = {r["blocked"]: r["count"] for r in sample.groupBy("blocked").count().collect()}
+    statistics = {part: _statistics(lexed, part) for part in ("suffix", "segment")}
+    if len(verdicts) < 2:
+        return Model(None, statistics, "block" if 1.0 in verdicts else "allow")
     assembler = VectorAssembler(inputCols=list(FEATURES), outputCol="features")
-    ready = assembler.transform(_with_suffixes(lexed, suffixes)).select("features", "blocked").coalesce(1)
+    ready = assembler.transform(_with_statistics(lexed, statistics)).select("features", "blocked").coalesce(1)
     boosted = GBTClassifier(labelCol="blocked", featuresCol="features", maxIter=trees, maxDepth=depth, seed=17, maxBins=32)
-    return Model(boosted.fit(ready), suffixes)
+    return Model(boosted.fit(ready), statistics)
 
 
 def judge(urls: DataFrame, model: Model, rules: tuple[Rule, ...], key: str = "page_id") -> DataFrame:
@@ -176,7 +180,7 @@ def judge(urls: DataFrame, model: Model, rules: tuple[Rule, ...], key: str = "pa
         scored = split.withColumn("p", F.lit(1.0 if model.only == "block" else 0.0))
     else:
         assembler = VectorAssembler(inputCols=list(FEATURES), outputCol="features", handleInvalid="keep")
-        lexed = _with_suffixes(lexical(split), model.suffixes)
+        lexed = _with_statistics(lexical(split), model.statistics)
         scored = model.trees.transform(assembler.transform(lexed)).withColumn("p", vector_to_array("probability")[1])
     own = F.when(F.col("p") >= 0.5, "block").otherwise("allow")
     return scored.select(
