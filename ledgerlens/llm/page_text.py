@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ledgerlens.llm.common import lower_ascii, whole
+from ledgerlens.llm.common import lower_ascii, staged, whole
 
 MIN_TOKENS = 5
 #: Least share of a host's pages, and least pages, for a repeated substring to be boilerplate:
@@ -34,7 +34,7 @@ MIN_TOKENS = 5
 SHARE, PAGES = 0.25, 3
 ARTICLE_SHARE, ARTICLE_PAGES = 0.9, 50
 #: Characters of html in a block of pages.
-BLOCK_CHARS = 4_000_000
+BLOCK_CHARS = 1_500_000
 
 CHROME, PLAIN, MAIN, ARTICLE = range(4)
 
@@ -347,9 +347,10 @@ def extract(pages: DataFrame, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """
     own = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html", host_of(F.col("url")).alias("host"))
     chars = F.sum(F.coalesce(F.length("html"), F.lit(0)).cast("long"))
-    # Hosts of more than one block; Spark broadcasts them only if their size allows.
+    # Hosts of more than one block, stored: their size is known when the join is planned, and
+    # the pages need not be shuffled for it where it is small.
     large = own.groupBy("host").agg(F.ceil(chars / block_chars).cast("int").alias("n")).where("n > 1")
-    large = large.select(F.col("host").alias("large_host"), "n")
+    large = staged(large.select(F.col("host").alias("large_host"), "n"), "large")
     sized = own.join(large, F.col("host") == F.col("large_host"), "left").withColumn("blocks", F.coalesce("n", F.lit(1)))
     at = ("host", "blocks", "block")
     blocked = sized.select(
