@@ -184,9 +184,9 @@ CTES = {
     "streaks": """
         SELECT subscription_id, customer_id, MAX(falls) AS decline_streak FROM (
             SELECT subscription_id, customer_id, run, SUM(fall) AS falls FROM (
-                SELECT *, SUM(1 - fall) OVER (PARTITION BY subscription_id ORDER BY usage_month) AS run FROM (
+                SELECT *, SUM(1 - fall) OVER (PARTITION BY subscription_id, customer_id ORDER BY usage_month) AS run FROM (
                     SELECT *, CASE WHEN adoption_rate < LAG(adoption_rate) OVER (
-                        PARTITION BY subscription_id ORDER BY usage_month) THEN 1 ELSE 0 END AS fall
+                        PARTITION BY subscription_id, customer_id ORDER BY usage_month) THEN 1 ELSE 0 END AS fall
                     FROM usage_monthly)) GROUP BY 1, 2, 3) GROUP BY 1, 2""",
     "instances": """
         SELECT 'Customer' AS entity, customer_id AS key, customer_name AS display_name FROM customers

@@ -151,6 +151,15 @@ BODIES = {
                     WHEN amount = 'n/a' THEN 'amount' ELSE 'due_date' END AS bad_columns
         FROM ({_BROKEN}) WHERE amount = 'n/a' OR due_date = '2001-13-45'""",
     "ingest_accepted": "SELECT * FROM invoices WHERE invoice_id NOT LIKE '%7' AND status <> 'Overdue'",
+    "ingest_broken_rows": f"""
+        SELECT wrong, CAST(SUM(n) AS BIGINT) AS row_count, CAST(COALESCE(SUM(a), 0) AS DOUBLE) AS amount FROM (
+            SELECT CASE right(invoice_id, 1) WHEN '1' THEN 'broken_line' WHEN '2' THEN 'broken_line'
+                   WHEN '3' THEN 'broken_line' WHEN '4' THEN 'amount' WHEN '5' THEN 'amount'
+                   WHEN '6' THEN 'invoice_id' ELSE '' END AS wrong, 1 AS n,
+                   CASE WHEN right(invoice_id, 1) NOT IN ('1', '3', '4', '5') THEN CAST(amount AS DECIMAL(18,2)) END AS a
+            FROM invoices
+            UNION ALL SELECT 'invoice_date,broken_line', 1, NULL FROM invoices WHERE right(invoice_id, 1) = '3'
+            ) GROUP BY wrong""",
     "load_audit": _COUNTS,
     "load_check": f"""
         SELECT table_name, row_count AS expected_rows, row_count AS found_rows, TRUE AS schema_ok, TRUE AS complete
@@ -244,10 +253,9 @@ BODIES = {
     "active_arr": f"""
         SELECT {cents("arr")} AS active_arr, COUNT(*) AS subscriptions FROM terms WHERE status = 'Active'""",
     "invoices_nested": f"""
-        SELECT customer_id, 0 AS chunk, COUNT(*) AS invoices, {cents("amount")} AS amount,
-               first(invoice_id ORDER BY invoice_date, invoice_id) AS first_invoice,
-               last(invoice_id ORDER BY invoice_date, invoice_id) AS last_invoice
-        FROM invoices GROUP BY customer_id""",
+        SELECT customer_id, invoice_date, COUNT(*) AS invoices, {cents("amount")} AS amount,
+               MIN(invoice_id) AS first_invoice, MAX(invoice_id) AS last_invoice
+        FROM invoices GROUP BY customer_id, invoice_date""",
     # joins
     "forecast_lookup": """
         SELECT customer_id, customer_name, f.renewal_date, f.renewal_probability,
@@ -358,11 +366,20 @@ BODIES = {
                payment_id AS "Payment_payment_id", payment_date AS "Payment_payment_date"
         FROM payments p JOIN invoices i ON p.invoice_id = i.invoice_id
         JOIN customers c ON i.customer_id = c.customer_id""",
+    "traverse_cases": """
+        SELECT customer_name AS "Customer_customer_name", case_id AS "SupportCase_case_id", u.status AS "SupportCase_status"
+        FROM support_cases u JOIN customers c ON u.customer_id = c.customer_id""",
+    "traverse_profile": """
+        SELECT c.customer_name AS "Customer_customer_name", profile_id AS "CustomerFinanceProfile_profile_id"
+        FROM customer_finance_summary p JOIN customers c ON p.customer_id = c.customer_id""",
+    "traverse_product": """
+        SELECT product_name AS "Product_product_name", s.subscription_id AS "Subscription_subscription_id"
+        FROM products p JOIN subscriptions s ON p.product_id = s.product_id""",
     "traverse_group_by": f"""
         SELECT segment AS "Customer_segment", status AS "Invoice_status", COUNT(*) AS invoices, {cents("amount")} AS amount
         FROM invoices JOIN customers USING (customer_id) GROUP BY 1, 2""",
     "customer_context": " UNION ALL ".join(
-        f"""SELECT customer_id, '{section}' AS section, 0 AS chunk, COUNT(*) AS records,
+        f"""SELECT customer_id, '{section}' AS section, COUNT(*) AS records,
                CAST(SUM(CAST({measure} AS DECIMAL(18,4))) AS DOUBLE) AS measure, MIN({key}) AS first_key
             FROM {table} GROUP BY customer_id"""
         for section, (table, key, measure) in _CONTEXT.items()
@@ -414,12 +431,15 @@ BODIES = {
         WHERE s.usage_trend_pct < -10 AND e.unit_cost_change_pct > 0""",
     "q_decline_streak": """
         SELECT subscription_id, customer_id, CAST(decline_streak AS BIGINT) AS decline_streak FROM streaks""",
-    "q_segment_rollup": f"""
-        SELECT segment, COUNT(*) AS customers, {cents("s.arr")} AS arr,
+    **{
+        f"q_{by}_rollup": f"""
+        SELECT {by}, COUNT(*) AS customers, {cents("s.arr")} AS arr,
                {cents("billed_revenue_6m")} AS billed_revenue_6m, {cents("cost_6m")} AS cost_6m,
                {cents("ar_outstanding")} AS ar_outstanding,
                CAST(SUM(open_critical_cases) AS BIGINT) AS open_critical_cases
-        FROM customer_finance_summary s JOIN customers c ON c.customer_id = s.customer_id GROUP BY segment""",
+        FROM customer_finance_summary s JOIN customers c ON c.customer_id = s.customer_id GROUP BY {by}"""
+        for by in ("segment", "industry", "country")
+    },
 }
 
 

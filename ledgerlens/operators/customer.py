@@ -11,7 +11,6 @@ from pyspark.sql import functions as F
 
 from ledgerlens.functions import rules
 from ledgerlens.functions.amounts import margin_pct, number, total, units
-from ledgerlens.operators.skew import chunked
 
 COST_PARTS = ("compute_cost", "storage_cost", "support_cost")
 
@@ -105,15 +104,11 @@ def customer_ar_zero_fill(customers: DataFrame, invoices: DataFrame) -> DataFram
     )
 
 
-def invoices_nested(invoices: DataFrame, chunk_rows: int = 10_000) -> DataFrame:
-    """The invoices of each customer as arrays, in (customer_id, chunk) rows.
+def invoices_nested(invoices: DataFrame) -> DataFrame:
+    """The invoices of each customer and day as an array in the order of their ids.
 
-    Ordinary customers are chunk 0. A customer with more than ``chunk_rows`` invoices
-    is spread over several chunks, which together hold all of them.
+    The grouping is the data's own, so no size changes it; a day bounds an array, whatever a
+    customer has in all.
     """
-    record = F.struct("invoice_date", "invoice_id", "due_date", "amount", "status", "paid_date")
-    return (
-        chunked(invoices, ["customer_id"], chunk_rows)
-        .groupBy("customer_id", "chunk")
-        .agg(F.array_sort(F.collect_list(record)).alias("invoices"))
-    )
+    record = F.struct("invoice_id", "due_date", "amount", "status", "paid_date")
+    return invoices.groupBy("customer_id", "invoice_date").agg(F.array_sort(F.collect_list(record)).alias("invoices"))

@@ -1,5 +1,5 @@
-"""Row-level joins across the finance keys: they keep every fact row, so they go
-through ``lookup_join``, which splits hot customers."""
+"""Row-level joins across the finance keys. They keep every fact row; a hot key's partition
+is split by adaptive execution, so no key is counted and no input read twice."""
 
 from __future__ import annotations
 
@@ -8,30 +8,22 @@ from pyspark.sql import functions as F
 
 from ledgerlens.functions import rules
 from ledgerlens.functions.amounts import number, total, units
-from ledgerlens.operators.skew import SPLIT_ROWS, hot_keys, lookup_join
 from ledgerlens.schema import Terms
 
 
-def invoice_360(dfs: dict[str, DataFrame], split_rows: int = SPLIT_ROWS) -> DataFrame:
+def invoice_360(dfs: dict[str, DataFrame]) -> DataFrame:
     """Invoices with their customer, subscription, product and payment.
 
     The dimension side is put together first, one row per subscription, and joined to
     the invoices once.
     """
     product = dfs["products"].select("product_id", "product_name", "product_family")
-    subscription = lookup_join(
-        dfs["subscriptions"].select("subscription_id", "product_id", "contract_tier"),
-        product,
-        ["product_id"],
-        split_rows=split_rows,
-    )
+    subscription = dfs["subscriptions"].select("subscription_id", "product_id", "contract_tier").join(product, "product_id", "left")
     customer = dfs["customers"].select("customer_id", "customer_name", "segment")
     paid = dfs["payments"].groupBy("invoice_id").agg(
         number(total(units("amount"))).alias("paid_amount"), F.max("payment_date").alias("last_payment_date")
     )
-    wide = lookup_join(dfs["invoices"], subscription, ["subscription_id"], split_rows=split_rows)
-    hot = hot_keys(dfs["invoices"], ["customer_id"], split_rows)
-    wide = lookup_join(wide, customer, ["customer_id"], hot=hot)
+    wide = dfs["invoices"].join(subscription, "subscription_id", "left").join(customer, "customer_id", "left")
     return wide.join(paid, "invoice_id", "left").select(
         "invoice_id", "customer_id", "customer_name", "segment", "subscription_id", "contract_tier",
         "product_id", "product_name", "product_family", "invoice_date", "due_date", "amount", "status",
@@ -39,15 +31,13 @@ def invoice_360(dfs: dict[str, DataFrame], split_rows: int = SPLIT_ROWS) -> Data
     )
 
 
-def at_risk_invoices(
-    invoices: DataFrame, forecasts: DataFrame, terms: Terms, split_rows: int = SPLIT_ROWS
-) -> DataFrame:
+def at_risk_invoices(invoices: DataFrame, forecasts: DataFrame, terms: Terms) -> DataFrame:
     """Invoices of subscriptions with an at-risk renewal."""
     risky = forecasts.filter(rules.at_risk(F.col("renewal_probability"), terms)).select("subscription_id")
-    return lookup_join(invoices, risky, ["subscription_id"], "left_semi", split_rows)
+    return invoices.join(risky, "subscription_id", "left_semi")
 
 
-def overdue_forecast(dfs: dict[str, DataFrame], split_rows: int = SPLIT_ROWS) -> DataFrame:
+def overdue_forecast(dfs: dict[str, DataFrame]) -> DataFrame:
     """Overdue invoices with customer name and renewal forecast."""
     overdue = (
         dfs["invoices"]
@@ -57,11 +47,8 @@ def overdue_forecast(dfs: dict[str, DataFrame], split_rows: int = SPLIT_ROWS) ->
     forecast = dfs["renewal_forecasts"].select(
         "subscription_id", "renewal_date", "renewal_probability", "forecast_category"
     )
-    named = lookup_join(
-        overdue, dfs["customers"].select("customer_id", "customer_name"), ["customer_id"], "inner", split_rows
-    )
-    hot = hot_keys(overdue, ["subscription_id"], split_rows)
-    return lookup_join(named, forecast, ["subscription_id"], "inner", hot=hot).select(
+    named = overdue.join(dfs["customers"].select("customer_id", "customer_name"), "customer_id")
+    return named.join(forecast, "subscription_id").select(
         "customer_name", "invoice_id", "amount", "due_date", "renewal_date", "renewal_probability",
         "forecast_category",
     )

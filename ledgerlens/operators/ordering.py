@@ -8,7 +8,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerlens.functions.identifiers import padded
-from ledgerlens.operators.skew import SPLIT_ROWS, hot_of_counts, lookup_join
 from ledgerlens.session import checkpointed
 
 # monotonically_increasing_id keeps the partition number above the row number.
@@ -52,14 +51,12 @@ def dense_ids(df: DataFrame, order: Sequence[Column], prefix: str, name: str, wi
     return numbered.withColumn(name, padded(prefix, F.col("sequence"), width))
 
 
-def exact_rank(
-    df: DataFrame, column: str, ascending: bool = False, name: str = "rank", split_rows: int = SPLIT_ROWS
-) -> DataFrame:
+def exact_rank(df: DataFrame, column: str, ascending: bool = False, name: str = "rank") -> DataFrame:
     """SQL ``rank()`` over the whole table; null values get no rank.
 
     Ranks are worked out over the distinct values with their counts, so a value that
-    many rows share is one row here, and joined back to the rows, where such a value is
-    split like any hot key.
+    many rows share is one row here, and joined back to the rows, where adaptive
+    execution splits it.
     """
     order = F.col(column).asc() if ascending else F.col(column).desc()
     values = df.filter(F.col(column).isNotNull()).groupBy(column).agg(F.count(F.lit(1)).alias("_n"))
@@ -72,8 +69,7 @@ def exact_rank(
         .join(starts, "_range")
         .select(column, (F.col("_start") + F.col("_before") + 1).cast("bigint").alias(name))
     )
-    hot = hot_of_counts(ranges.withColumnRenamed("_n", "n"), [column], split_rows)
-    return lookup_join(df, ranks, [column], hot=hot).select(*df.columns, name)
+    return df.join(ranks, column, "left").select(*df.columns, name)
 
 
 def extreme_rows(df: DataFrame, column: str, key: str, k: int = 3, ascending: bool = True) -> DataFrame:

@@ -14,7 +14,6 @@ from pyspark.sql import functions as F
 
 from ledgerlens.functions import rules
 from ledgerlens.functions.amounts import number, total, units
-from ledgerlens.operators.skew import lookup_join
 from ledgerlens.schema import (
     ENTITIES,
     ENTITY_OF_TABLE,
@@ -41,7 +40,7 @@ def _stack(frames: list[DataFrame]) -> DataFrame:
 def fk_orphans(child: DataFrame, parent: DataFrame, key: ForeignKey) -> DataFrame:
     """Child rows whose key has no parent; a null key has none."""
     keys = parent.select(F.col(ENTITY_OF_TABLE[key.parent].key).alias(key.column)).distinct()
-    return lookup_join(child, keys, [key.column], "left_anti")
+    return child.join(keys, key.column, "left_anti")
 
 
 def fk_report(dfs: dict[str, DataFrame]) -> DataFrame:

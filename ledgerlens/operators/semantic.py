@@ -9,7 +9,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerlens.functions.identifiers import DEFAULT_BASE, stable_id, stable_uuid
-from ledgerlens.operators.skew import SPLIT_ROWS, chunked, hot_keys, lookup_join
 from ledgerlens.schema import ENTITIES, ENTITY, RELATIONSHIPS, SCHEMAS, Relationship
 
 
@@ -84,14 +83,13 @@ def traverse(
     start: str,
     steps: Sequence[str],
     properties: Mapping[str, Sequence[str]],
-    split_rows: int = SPLIT_ROWS,
 ) -> DataFrame:
     """Walk ``steps`` from every instance of ``start``.
 
     ``properties`` names the columns wanted of each entity; they come out as
     ``Entity_column``. Every join reads those columns and
-    the keys it needs, nothing else. Walking to the many side, the rows reached look up
-    where they came from, so hot sources are split.
+    the keys it needs, nothing else. A step is one join, in which adaptive execution splits
+    hot sources.
     """
     path = resolve(start, steps)
     visited = [start]
@@ -117,11 +115,10 @@ def traverse(
         at_source, at_target = f"{r.source}_{ENTITY[r.source].key}", f"{r.target}_{r.source_key}"
         if forward:
             reached = instances(r.target).withColumn("_via", F.col(at_target))
-            frame = lookup_join(reached, frame.withColumn("_via", F.col(at_source)), ["_via"], "inner", split_rows)
+            frame = reached.join(frame.withColumn("_via", F.col(at_source)), "_via")
         else:
             reached = instances(r.source).withColumn("_via", F.col(at_source))
-            hot = hot_keys(dfs[r.binding].select(F.col(r.source_key).alias("_via")), ["_via"], split_rows)
-            frame = lookup_join(frame.withColumn("_via", F.col(at_target)), reached, ["_via"], "inner", hot=hot)
+            frame = frame.withColumn("_via", F.col(at_target)).join(reached, "_via")
         frame = frame.drop("_via")
     return frame.select(*[f"{e}_{c}" for e, c in wanted])
 
@@ -140,14 +137,12 @@ CONTEXT_SECTIONS = {
 def customer_context(
     dfs: dict[str, DataFrame],
     customers: Iterable[str] | None = None,
-    chunk_rows: int = 10_000,
 ) -> DataFrame:
-    """Everything connected to a customer, nested: one row per (customer_id, section,
-    chunk) with ``records``, an array of (key, measure, record as JSON).
+    """Everything connected to a customer: one row per record with customer_id, section, key,
+    measure and the record as JSON.
 
-    Named customers are filtered in every table before anything is nested. The sections
-    are stacked and grouped once; a section with more than ``chunk_rows`` records is
-    spread over several chunks, which together hold all of them.
+    Named customers are filtered in every table. Records stay rows, however many a
+    customer has; nothing is shuffled.
     """
     chosen = None if customers is None else list(customers)
     frames = []
@@ -164,12 +159,7 @@ def customer_context(
                 F.to_json(F.struct(*SCHEMAS[table].fieldNames())).alias("record"),
             )
         )
-    stacked = reduce(DataFrame.unionByName, frames)
-    return (
-        chunked(stacked, ["customer_id", "section"], chunk_rows)
-        .groupBy("customer_id", "section", "chunk")
-        .agg(F.array_sort(F.collect_list(F.struct("key", "measure", "record"))).alias("records"))
-    )
+    return reduce(DataFrame.unionByName, frames)
 
 
 def catalog(spark: SparkSession, base: str = DEFAULT_BASE) -> DataFrame:

@@ -15,7 +15,7 @@ from ledgerlens.functions.amounts import change_pct, divide, exact_sum, number,
 
 
 def _by_month() -> WindowSpec:
-    return Window.partitionBy("subscription_id").orderBy("usage_month")
+    return Window.partitionBy("subscription_id", "customer_id").orderBy("usage_month")
 
 
 _WORD = 63
@@ -24,7 +24,11 @@ _WORD = 63
 def distinct_below(index: Column, bound: int) -> Column:
     """Distinct values of a whole number from 0 to ``bound`` - 1, counted as bits of a few
     longs. These combine before the shuffle, so the groups themselves are all that is
-    shuffled, where a distinct count shuffles every (group, value) pair."""
+    shuffled, where a distinct count shuffles every (group, value) pair. A value outside of
+    the range is an error; nulls do not count."""
+    index = F.when(index.isNull() | index.between(0, bound - 1), index).otherwise(
+        F.raise_error(F.lit(f"a unit is not from 0 to {bound - 1}")).cast("bigint")
+    )
     one, words = F.lit(1).cast("bigint"), []
     for start in range(0, bound, _WORD):
         bit = F.call_function("shiftleft", one, (index - start).cast("int"))

@@ -8,7 +8,6 @@ from __future__ import annotations
 
 import datetime as dt
 from collections.abc import Callable, Sequence
-from functools import cache
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -17,7 +16,7 @@ from ledgerlens.functions.amounts import exact, number, total, units
 from ledgerlens.functions.identifiers import period_key
 from ledgerlens.operators import billing, costs, customer, facts, ordering, quality, semantic, usage
 from ledgerlens.plans import questions, summary
-from ledgerlens.schema import FOREIGN_KEYS
+from ledgerlens.schema import FOREIGN_KEYS, columns
 from ledgerlens.session import staging_path
 from ledgerlens.sources import files, tables
 from ledgerlens.sources.star import EPOCH, PERIOD_DAYS, TERMS, StarSource
@@ -38,7 +37,6 @@ def query(build: Query) -> Query:
     return build
 
 
-@cache
 def _summary(s: StarSource, wanted: Sequence[str] | None = None) -> DataFrame:
     return summary.customer_summary(s.tables(*FACTS), wanted)
 
@@ -52,7 +50,6 @@ def _array_total(amounts: Column) -> Column:
     return number(F.aggregate(amounts, F.lit(0).cast(wide), lambda a, x: (a + x).cast(wide)))
 
 
-@cache
 def _keyed(s: StarSource) -> dict[str, DataFrame]:
     """All tables for queries that read keys and display columns only: subscriptions
     without their product, which line items would have to be read for."""
@@ -82,7 +79,7 @@ def _with_broken_text(invoices: DataFrame) -> DataFrame:
 
 @query
 def ingest_scan(s):
-    return _landed(s, "invoices", s.invoices())
+    return _landed(s, "invoices", s.invoices()).drop(files.BROKEN)
 
 
 @query
@@ -113,6 +110,29 @@ def ingest_accepted(s):
     return files.accepted(_landed(s, "invoices", _with_broken_text(s.invoices())), "invoices")
 
 
+@query
+def ingest_broken_rows(s):
+    """Lines with too few or too many fields, split records, numbers that are none and missing
+    keys, by what is wrong with them."""
+    i = s.invoices().select(*[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in columns("invoices")])
+    last, line = F.substring("invoice_id", -1, 1), F.concat_ws(",", *i.columns)
+    before, after = F.concat_ws(",", *i.columns[:3]), F.concat_ws(",", *i.columns[3:])
+    amounts = [F.when(last == "4", "NaN").when(last == "5", "Infinity").otherwise(F.col(c)) if c == "amount" else F.col(c) for c in i.columns]
+    keyless = [F.lit("") if c == "invoice_id" else F.col(c) for c in i.columns]
+    damaged = (
+        F.when(last == "1", F.concat_ws(",", *i.columns[:2]))
+        .when(last == "2", F.concat(line, F.lit(",more")))
+        .when(last == "3", F.concat(before, F.lit("\n"), after))
+        .when(last == "6", F.concat_ws(",", *keyless))
+        .otherwise(F.concat_ws(",", *amounts))
+    )
+    path = staging_path(s.spark, "broken")
+    i.select(damaged.alias("value")).write.text(path)
+    checked = files.typed(files.read_csv(s.spark, path, "invoices", header=False), "invoices")
+    wrong = F.concat_ws(",", files.BAD_COLUMNS)
+    return checked.groupBy(wrong.alias("wrong")).agg(F.count(F.lit(1)).alias("row_count"), number(total(units("amount"))).alias("amount"))
+
+
 @query
 def load_audit(s):
     return summary.load_with_summary(s.tables(), staging_path(s.spark, "tables"))
@@ -357,7 +377,7 @@ def invoices_nested(s):
     amounts = F.transform("invoices", lambda i: exact(i["amount"]))
     return nested.select(
         "customer_id",
-        "chunk",
+        "invoice_date",
         F.size("invoices").cast("bigint").alias("invoices"),
         _array_total(amounts).alias("amount"),
         F.element_at("invoices", 1)["invoice_id"].alias("first_invoice"),
@@ -617,6 +637,36 @@ def traverse_payment(s):
     )
 
 
+@query
+def traverse_cases(s):
+    return semantic.traverse(
+        s.tables("customers", "support_cases"),
+        "Customer",
+        ["opens"],
+        {"Customer": ["customer_name"], "SupportCase": ["case_id", "status"]},
+    )
+
+
+@query
+def traverse_profile(s):
+    return semantic.traverse(
+        {**s.tables("customers"), "customer_finance_summary": _summary(s, MODEL_KEYS)},
+        "Customer",
+        ["hasFinancialProfile"],
+        {"Customer": ["customer_name"], "CustomerFinanceProfile": ["profile_id"]},
+    )
+
+
+@query
+def traverse_product(s):
+    return semantic.traverse(
+        s.tables("products", "subscriptions"),
+        "Product",
+        ["isLicensedBy"],
+        {"Product": ["product_name"], "Subscription": ["subscription_id"]},
+    )
+
+
 @query
 def traverse_group_by(s):
     walked = semantic.traverse(
@@ -633,15 +683,9 @@ def traverse_group_by(s):
 @query
 def customer_context(s):
     dfs = s.tables(*FACTS, "subscriptions")
-    nested = semantic.customer_context({**dfs, "customer_finance_summary": _summary(s)})
-    measures = F.transform("records", lambda r: exact(r["measure"]))
-    return nested.select(
-        "customer_id",
-        "section",
-        "chunk",
-        F.size("records").cast("bigint").alias("records"),
-        _array_total(measures).alias("measure"),
-        F.element_at("records", 1)["key"].alias("first_key"),
+    records = semantic.customer_context({**dfs, "customer_finance_summary": _summary(s)})
+    return records.groupBy("customer_id", "section").agg(
+        F.count(F.lit(1)).alias("records"), number(total(units("measure"))).alias("measure"), F.min("key").alias("first_key")
     )
 
 
@@ -717,21 +761,32 @@ def q_decline_streak(s):
     return questions.long_decline_streaks(s.usage_monthly())
 
 
-@query
-def q_segment_rollup(s):
+def _rollup(s, by: str):
     wanted = (
         "customer_id", "arr", "billed_revenue_6m", "cost_6m", "ar_outstanding", "open_critical_cases",
     )
-    return questions.rollup_by(_summary(s, wanted), s.customers(), "segment")
+    return questions.rollup_by(_summary(s, wanted), s.customers(), by)
 
 
-_source = cache(StarSource)
+@query
+def q_segment_rollup(s):
+    return _rollup(s, "segment")
+
+
+@query
+def q_industry_rollup(s):
+    return _rollup(s, "industry")
+
+
+@query
+def q_country_rollup(s):
+    return _rollup(s, "country")
 
 
 def queries() -> dict[str, Callable]:
     """Name to ``(spark, directory) -> DataFrame``."""
 
     def bind(build: Query) -> Callable:
-        return lambda spark, path: build(_source(spark, path))
+        return lambda spark, path: build(StarSource(spark, path))
 
     return {name: bind(build) for name, build in QUERIES.items()}

@@ -9,22 +9,29 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ledgerlens.schema import SCHEMAS, columns
+from ledgerlens.schema import ENTITY_OF_TABLE, SCHEMAS, columns
 
 DATE_FORMAT = "yyyy-MM-dd"
 BAD_COLUMNS = "bad_columns"
+#: The text of a line that has too few or too many fields; it counts as a bad column.
+BROKEN = "broken_line"
 
 
-def read_csv(spark: SparkSession, path: str, table: str) -> DataFrame:
-    """All columns as text, blank as null. The registry gives the schema, so there is no
-    inference pass; a header in another order is an error, not shifted data."""
-    text = T.StructType([T.StructField(c, T.StringType()) for c in columns(table)])
+def read_csv(spark: SparkSession, path: str, table: str, header: bool = True) -> DataFrame:
+    """All columns as text, blank as null, and ``BROKEN``, the whole line where its fields are
+    not as many as the table's columns. The registry gives the schema, so there is no
+    inference pass; a header in another order is an error, not shifted data. A record is one
+    line: a line break within a quoted field gives broken lines, which are rejected."""
+    text = T.StructType([T.StructField(c, T.StringType()) for c in (*columns(table), BROKEN)])
     return (
         spark.read.schema(text)
-        .option("header", True)
-        .option("enforceSchema", False)
+        .option("header", header)
+        .option("enforceSchema", not header)
         .option("nullValue", "")
         .option("escape", '"')
+        .option("mode", "PERMISSIVE")
+        .option("columnNameOfCorruptRecord", BROKEN)
+        .option("columnPruning", False)  # fields are counted only if all are parsed
         .csv(path)
     )
 
@@ -35,23 +42,35 @@ def _typed(name: str, kind: T.DataType, timestamps: bool) -> Column:
     if isinstance(kind, T.DateType):
         parsed = F.try_to_timestamp(name, F.lit(DATE_FORMAT))
         return parsed if timestamps else parsed.cast("date")
-    return F.col(name).try_cast(kind)
+    number = F.col(name).try_cast(kind)
+    if isinstance(kind, (T.DoubleType, T.FloatType)):
+        # NaN and infinities parse, but no sum survives them.
+        return F.when(F.abs(number) < float("inf"), number)
+    return number
+
+
+def _bad_columns(raw: DataFrame, table: str, casts: dict[str, Column]) -> Column:
+    """Names of columns whose text did not parse, of a key that is missing, and of a line
+    with the wrong number of fields."""
+    key = ENTITY_OF_TABLE[table].key
+    bad = [
+        F.when(F.col(f.name).isNull(), f.name) if f.name == key
+        else F.when(F.col(f.name).isNotNull() & casts[f.name].isNull(), f.name)
+        for f in SCHEMAS[table]
+    ]
+    if BROKEN in raw.columns:
+        bad.append(F.when(F.col(BROKEN).isNotNull(), BROKEN))
+    return F.array_compact(F.array(*bad))
 
 
 def typed(raw: DataFrame, table: str, timestamps: bool = False) -> DataFrame:
     """Text columns cast by the registry in one projection, plus ``bad_columns``: the
-    columns whose text did not parse (empty for a good row).
+    columns whose text did not parse, a missing key, a broken line (empty for a good row).
 
     Dates are dates; ``timestamps=True`` gives them as midnight timestamps.
     """
     casts = {f.name: _typed(f.name, f.dataType, timestamps) for f in SCHEMAS[table]}
-    bad = [
-        F.when(F.col(f.name).isNotNull() & casts[f.name].isNull(), f.name)
-        for f in SCHEMAS[table]
-        if not isinstance(f.dataType, T.StringType)
-    ]
-    bad_columns = F.array_compact(F.array(*bad)) if bad else F.array().cast("array<string>")
-    return raw.select(*[c.alias(n) for n, c in casts.items()], bad_columns.alias(BAD_COLUMNS))
+    return raw.select(*[c.alias(n) for n, c in casts.items()], _bad_columns(raw, table, casts).alias(BAD_COLUMNS))
 
 
 def accepted(raw: DataFrame, table: str, timestamps: bool = False) -> DataFrame:
@@ -60,28 +79,27 @@ def accepted(raw: DataFrame, table: str, timestamps: bool = False) -> DataFrame:
 
 
 def rejected(raw: DataFrame, table: str) -> DataFrame:
-    """The quarantine: rows as text, as they came, with the columns that did not parse."""
-    kept = F.struct(*columns(table)).alias("_raw")
-    names = [f.name for f in SCHEMAS[table]]
-    checked = raw.select(kept, *names)
+    """The quarantine: rows as text, as they came, with their bad columns."""
     casts = {f.name: _typed(f.name, f.dataType, False) for f in SCHEMAS[table]}
-    bad = [F.when(F.col(n).isNotNull() & c.isNull(), n) for n, c in casts.items()]
-    return (
-        checked.withColumn(BAD_COLUMNS, F.array_compact(F.array(*bad)))
-        .filter(F.size(BAD_COLUMNS) > 0)
-        .select("_raw.*", BAD_COLUMNS)
-    )
+    kept = [c for c in (*columns(table), BROKEN) if c in raw.columns]
+    return raw.select(*kept, _bad_columns(raw, table, casts).alias(BAD_COLUMNS)).filter(F.size(BAD_COLUMNS) > 0)
 
 
 def export_csv(df: DataFrame, table: str, path: str) -> None:
-    """CSV with header, columns in registry order, dates as ISO text, null as blank."""
+    """CSV with header, columns in registry order, dates as ISO text, null as blank. White
+    space around a text stays; a line break in it becomes the two characters \\n, since a
+    record is one line."""
+    line_break = lambda c: F.regexp_replace(F.regexp_replace(c, "\r", "\\\\r"), "\n", "\\\\n")
+    texts = {f.name: line_break(F.col(f.name)).alias(f.name) for f in SCHEMAS[table] if isinstance(f.dataType, T.StringType)}
     (
-        df.select(*columns(table))
+        df.select(*[texts.get(c, F.col(c)) for c in columns(table)])
         .write.mode("overwrite")
         .option("header", True)
         .option("dateFormat", DATE_FORMAT)
         .option("escape", '"')
         .option("emptyValue", "")
+        .option("ignoreLeadingWhiteSpace", False)
+        .option("ignoreTrailingWhiteSpace", False)
         .csv(path)
     )
 

@@ -8,7 +8,7 @@ runs on its own clock, in six five-day periods.
 from __future__ import annotations
 
 import datetime as dt
-from functools import cache
+from functools import wraps
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,7 +16,6 @@ from pyspark.sql import functions as F
 from ledgerlens.functions.amounts import cents, divide, exact_sum, number, total, units
 from ledgerlens.functions.identifiers import cyclic, period_key
 from ledgerlens.operators.billing import payments_from_invoices
-from ledgerlens.operators.skew import lookup_join
 from ledgerlens.operators.usage import usage_metering
 from ledgerlens.schema import TABLES, Terms, columns
 
@@ -48,16 +47,29 @@ def _key(name: str) -> Column:
     return F.col(name).cast("string")
 
 
+def remembered(build):
+    """A method whose results its object keeps, for as long as the object lives."""
+
+    @wraps(build)
+    def kept(self, *args):
+        found = self.__dict__.setdefault("_remembered", {})
+        if (key := (build.__name__, *args)) not in found:
+            found[key] = build(self, *args)
+        return found[key]
+
+    return kept
+
+
 class StarSource:
     """The finance tables of one star-schema directory, each a lazy DataFrame.
 
-    ``cache`` keeps plans, not data: a table asked for again is the same DataFrame.
+    It keeps plans, not data: a table asked for again is the same DataFrame.
     """
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
 
-    @cache
+    @remembered
     def read(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.path}/{name}.parquet")
 
@@ -74,22 +86,22 @@ class StarSource:
 
     # --- orders ---------------------------------------------------------------
 
-    @cache
+    @remembered
     def _orders_before_end(self) -> DataFrame:
         return self.read("orders").filter(F.col("o_orderdate") < _instant(WINDOW_END))
 
-    @cache
+    @remembered
     def _orders_in_window(self) -> DataFrame:
         return self._orders_before_end().filter(F.col("o_orderdate") >= _instant(WINDOW_START))
 
-    @cache
+    @remembered
     def _subscription_keys(self) -> DataFrame:
         keys = self._orders_before_end().select("o_custkey").distinct()
         return keys.select(_key("o_custkey").alias("subscription_id"))
 
     # --- dimensions -----------------------------------------------------------
 
-    @cache
+    @remembered
     def customers(self) -> DataFrame:
         nation = self.read("nation").join(
             self.read("region"), F.col("n_regionkey") == F.col("r_regionkey"), "left"
@@ -107,13 +119,13 @@ class StarSource:
             )
         )
 
-    @cache
+    @remembered
     def lean_customers(self) -> DataFrame:
         return self.read("customer").select(
             _key("c_custkey").alias("customer_id"), F.col("c_name").alias("customer_name")
         )
 
-    @cache
+    @remembered
     def products(self) -> DataFrame:
         return self.read("part").select(
             _key("p_partkey").alias("product_id"),
@@ -122,7 +134,7 @@ class StarSource:
             cents(F.col("p_retailprice") * 12).alias("list_price_arr"),
         )
 
-    @cache
+    @remembered
     def _subscription_terms(self) -> DataFrame:
         """One row per ordering customer: dates, annual revenue, tier, status."""
         in_year = F.col("o_orderdate") >= _instant(YEAR_START)
@@ -144,17 +156,17 @@ class StarSource:
             F.when(F.col("last_order") >= _instant(YEAR_START), "Active").otherwise("Lapsed").alias("status"),
         )
 
-    @cache
+    @remembered
     def _main_product(self) -> DataFrame:
         """The part each customer spent most on, ties by the smaller key.
 
-        A line item looks its order up row by row, so a hot order is split; the choice per
+        A line item looks its order up row by row, so adaptive execution can split a hot order; the choice per
         customer is an aggregate over (spend, key).
         """
         lines = self.read("lineitem").select(F.col("l_orderkey").alias("o_orderkey"), "l_partkey", "l_extendedprice")
         orders = self._orders_before_end().select("o_orderkey", "o_custkey")
         spend = (
-            lookup_join(lines, orders, ["o_orderkey"], "inner")
+            lines.join(orders, "o_orderkey")
             .groupBy("o_custkey", "l_partkey")
             .agg(exact_sum(units("l_extendedprice")).alias("spend"))
         )
@@ -163,17 +175,17 @@ class StarSource:
             F.col("o_custkey").alias("p_custkey"), F.col("best.l_partkey").cast("string").alias("product_id")
         )
 
-    @cache
+    @remembered
     def subscriptions(self) -> DataFrame:
         product = self._main_product()
         found = self._subscription_terms().join(product, F.col("o_custkey") == F.col("p_custkey"), "left")
         return found.select(*columns("subscriptions"))
 
-    @cache
+    @remembered
     def lean_subscriptions(self) -> DataFrame:
         return self._subscription_terms().select(*[c for c in columns("subscriptions") if c != "product_id"])
 
-    @cache
+    @remembered
     def renewal_forecasts(self) -> DataFrame:
         probability = F.floor((F.col("c_acctbal") + 1000) / 11000 * 100).cast("double") / 100
         category = (
@@ -208,7 +220,7 @@ class StarSource:
 
     # --- facts ----------------------------------------------------------------
 
-    @cache
+    @remembered
     def invoices(self) -> DataFrame:
         due = F.date_add(F.col("o_orderdate").cast("date"), TERMS.due_days)
         days_early = (8 - F.col("o_orderkey") % 6).cast("int")
@@ -224,11 +236,11 @@ class StarSource:
             F.when(F.col("o_orderstatus") == "F", F.date_sub(due, days_early)).alias("paid_date"),
         )
 
-    @cache
+    @remembered
     def payments(self) -> DataFrame:
         return payments_from_invoices(self.invoices(), F.col("customer_id").cast("bigint"))
 
-    @cache
+    @remembered
     def metered(self) -> DataFrame:
         """Telemetry of every user per five-day period, known as a subscription or not. The
         active units are the hours of the period with an event."""
@@ -239,7 +251,7 @@ class StarSource:
             self.read("events"), F.col("user_id"), period, hour, F.col("value"), HOURS_PER_PERIOD
         ).withColumn("subscription_id", _key("subscription_id"))
 
-    @cache
+    @remembered
     def usage_monthly(self) -> DataFrame:
         """Metered usage of known subscriptions; events are added up before the lookup."""
         licensed = F.lit(HOURS_PER_PERIOD).cast("bigint")
@@ -256,7 +268,7 @@ class StarSource:
             "production_jobs",
         )
 
-    @cache
+    @remembered
     def support_cases(self) -> DataFrame:
         errors = (
             self.read("events")
@@ -268,7 +280,7 @@ class StarSource:
         )
         resolved = F.col("ts") < _instant(CASES_OPEN_SINCE)
         days = (F.col("event_id") % 5 + 1).cast("int")
-        return lookup_join(errors, self._subscription_keys(), ["subscription_id"], "left_semi").select(
+        return errors.join(self._subscription_keys(), "subscription_id", "left_semi").select(
             _key("event_id").alias("case_id"),
             F.col("subscription_id").alias("customer_id"),
             "subscription_id",
@@ -280,16 +292,18 @@ class StarSource:
             (F.floor((_hundredths("value") + 5) / 10) / 100).alias("support_hours"),
         )
 
-    @cache
+    @remembered
     def cloud_costs(self) -> DataFrame:
         """Line items priced per customer and month. A price in cents times a rate in
         hundredths is a whole number of units.
 
-        Line items are added up per order before they meet the orders, so an order with
-        very many lines is one row on both sides of that join.
+        Only line items of the window's orders are added up: the orders' keys are joined to
+        the lines first, by broadcast where they are small enough for it, else with a runtime
+        filter of their keys or as a join whose hot orders can be split.
         """
         price = _hundredths("l_extendedprice")
-        per_order = self.read("lineitem").groupBy("l_orderkey").agg(
+        wanted = self._orders_in_window().select(F.col("o_orderkey").alias("l_orderkey"))
+        per_order = self.read("lineitem").join(wanted, "l_orderkey", "left_semi").groupBy("l_orderkey").agg(
             exact_sum(price * _hundredths("l_discount")).alias("compute"),
             exact_sum(price * _hundredths("l_tax")).alias("storage"),
             exact_sum(_hundredths("l_quantity") * 100_000).alias("support"),

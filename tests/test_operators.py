@@ -6,7 +6,7 @@ from conftest import TERMS, day, rows
 from pyspark.sql import functions as F
 
 from ledgerlens.functions.identifiers import cyclic, padded, period_key
-from ledgerlens.operators import billing, costs, customer, facts, ordering, skew, usage
+from ledgerlens.operators import billing, costs, customer, facts, ordering, usage
 
 
 # --- billing -----------------------------------------------------------------
@@ -208,8 +208,8 @@ def test_dense_numbers_follow_the_order(skewed):
 
 def test_rank_equals_brute_force(skewed):
     with_null = skewed.withColumn("value", F.when(F.col("id") % 50 != 0, F.col("value")))
-    for ascending, split_rows in ((True, 1_000_000), (False, 50)):
-        ranked = ordering.exact_rank(with_null, "value", ascending, split_rows=split_rows).collect()
+    for ascending in (True, False):
+        ranked = ordering.exact_rank(with_null, "value", ascending).collect()
         values = sorted(r.value for r in ranked if r.value is not None)
         assert len(ranked) == 3000
         for r in ranked:
@@ -225,54 +225,49 @@ def test_bottom_rows_break_ties_by_key_and_put_null_last(spark):
     assert [r.key for r in ordering.extreme_rows(df, "value", "key", 3).collect()] == ["d", "a", "b"]
 
 
-# --- skew --------------------------------------------------------------------
+# --- results that no size changes ---------------------------------------------
 
 
-def test_hot_keys_are_bounded_and_counted(skewed):
-    hot = skew.hot_keys(skewed, ["key"], split_rows=100)
-    assert rows(hot) == [(7, 11)]
-    assert skew.hot_keys(skewed, ["key"], split_rows=1, max_hot=5).count() == 5
-
-
-@pytest.mark.parametrize("how", ["inner", "left", "left_semi", "left_anti"])
-def test_split_join_equals_plain_join(spark, skewed, how):
-    lookup = spark.createDataFrame(
-        [(k, f"name {k}") for k in range(0, 60)] + [(7, "second name 7"), (None, "null")], "key int, name string"
+def test_nested_invoices_are_whole_and_in_order(make):
+    dates = [dt.date(2026, 1, 1), dt.date(2026, 1, 2)]
+    many = make(
+        "invoices",
+        *[
+            {"invoice_id": f"I{i:05d}", "customer_id": "hot" if i % 3 else "C", "invoice_date": dates[i % 2], "amount": 1.0}
+            for i in range(25_000)
+        ],
     )
-    facts_ = skewed.withColumn("key", F.when(F.col("id") % 9 != 0, F.col("key")))
-    plain = facts_.join(lookup, "key", how)
-    split = skew.lookup_join(facts_, lookup, ["key"], how, split_rows=50)
-    assert rows(split.select(*plain.columns)) == rows(plain)
-
-
-def test_rows_of_a_hot_key_are_spread(skewed):
-    spread = skew.chunked(skewed, ["key"], chunk_rows=100)
-    per_chunk = spread.filter("key = 7").groupBy("chunk").count().collect()
-    assert len(per_chunk) == 11
-    assert max(r["count"] for r in per_chunk) < 200
-    assert spread.filter("key <> 7").agg(F.max("chunk")).first()[0] == 0
+    nested = customer.invoices_nested(many)
+    assert nested.count() == 4
+    flat = nested.select("customer_id", "invoice_date", F.explode("invoices.invoice_id").alias("invoice_id"))
+    assert rows(flat) == rows(many, "customer_id", "invoice_date", "invoice_id")
+    for row in nested.collect():
+        assert [i.invoice_id for i in row.invoices] == sorted(i.invoice_id for i in row.invoices)
 
 
-def test_rows_without_a_key_are_spread_too(skewed):
-    unknown = skewed.withColumn("key", F.when(F.col("key") != 7, F.col("key")))
-    spread = skew.chunked(unknown, ["key"], chunk_rows=100)
-    assert spread.count() == 3000
-    assert spread.filter("key IS NULL").select("chunk").distinct().count() == 11
+def test_units_outside_the_bound_are_an_error(spark):
+    events = spark.range(200).select(F.lit(1).alias("sub"), F.lit(1).alias("period"), F.col("id").alias("unit"))
+    columns = [F.col(c) for c in ("sub", "period", "unit")]
+    with pytest.raises(Exception, match="0 to 119"):
+        usage.usage_metering(events, *columns, F.lit(1.0), unit_bound=120).collect()
 
 
-def test_nested_invoices_are_whole(make):
-    many = make(
-        "invoices",
-        *[{"invoice_id": f"I{i:03d}", "customer_id": "hot" if i % 3 else f"C{i}", "amount": float(i)} for i in range(90)],
+def test_customers_without_subscription_have_their_own_history(make):
+    months = [dt.date(2026, 1, 1), dt.date(2026, 2, 1)]
+    table = make(
+        "usage_monthly",
+        *[{"customer_id": c, "usage_month": m, "adoption_rate": r} for c, r in (("A", 0.9), ("B", 0.1)) for m in months],
     )
-    nested = customer.invoices_nested(many, chunk_rows=10)
-    assert nested.filter("customer_id = 'hot'").count() > 1
-    flat = nested.select("customer_id", F.explode("invoices.invoice_id").alias("invoice_id"))
-    assert rows(flat) == rows(many, "customer_id", "invoice_id")
+    changes = usage.usage_change(table).filter("previous_rate IS NOT NULL")
+    assert rows(changes, "customer_id", "previous_rate") == [("A", 0.9), ("B", 0.1)]
+    assert rows(usage.decline_streak(table), "decline_streak") == [(0,), (0,)]
 
 
-def test_fact_joins_give_the_same_with_splits(company):
-    assert rows(facts.invoice_360(company, split_rows=1)) == rows(facts.invoice_360(company))
-    assert rows(facts.overdue_forecast(company, split_rows=1)) == rows(facts.overdue_forecast(company))
-    risky = facts.at_risk_invoices(company["invoices"], company["renewal_forecasts"], TERMS, split_rows=1)
+def test_invoices_of_risky_subscriptions(company):
+    risky = facts.at_risk_invoices(company["invoices"], company["renewal_forecasts"], TERMS)
     assert rows(risky, "invoice_id") == [("I3",)]
+
+
+def test_joins_read_each_table_once(company):
+    plan = facts.invoice_360(company)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join") == 4

@@ -1,6 +1,7 @@
 import hashlib
 import json
 import uuid
+from collections import Counter
 
 import pytest
 from conftest import rows
@@ -68,12 +69,6 @@ def test_traversal_forward_and_back(complete):
     assert from_product.count() == 6
 
 
-def test_traversal_with_splits_is_the_same(complete):
-    wanted = {"Customer": ["customer_id"], "UsageMetric": ["usage_id"]}
-    plain = semantic.traverse(complete, "Customer", ["owns", "records"], wanted)
-    assert rows(semantic.traverse(complete, "Customer", ["owns", "records"], wanted, split_rows=1)) == rows(plain)
-
-
 def test_unknown_steps_are_refused_before_any_job(complete):
     with pytest.raises(semantic.UnknownRelationship, match="no relationship pays"):
         semantic.traverse(complete, "Customer", ["pays"], {})
@@ -87,19 +82,6 @@ def test_unknown_steps_are_refused_before_any_job(complete):
 
 def test_context_of_one_customer(complete):
     found = semantic.customer_context(complete, ["C2"]).collect()
-    sections = {r.section: r.records for r in found}
-    assert {s: len(r) for s, r in sections.items()} == {
-        "subscription": 1, "invoice": 1, "case": 3, "usage": 3, "forecast": 1, "profile": 1,
-    }
-    assert json.loads(sections["invoice"][0].record)["status"] == "Overdue"
-
-
-def test_context_in_chunks_is_whole(complete):
-    whole = semantic.customer_context(complete)
-    chunks = semantic.customer_context(complete, chunk_rows=1)
-    assert chunks.filter("chunk > 0").count() > 0
-
-    def records(df):
-        return rows(df.select("customer_id", "section", F.explode("records.key").alias("key")))
-
-    assert records(chunks) == records(whole)
+    sizes = Counter(r.section for r in found)
+    assert sizes == {"subscription": 1, "invoice": 1, "case": 3, "usage": 3, "forecast": 1, "profile": 1}
+    assert json.loads(next(r.record for r in found if r.section == "invoice"))["status"] == "Overdue"

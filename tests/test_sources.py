@@ -6,6 +6,7 @@ from conftest import TERMS, rows
 
 from ledgerlens.operators import quality
 from ledgerlens.plans.summary import load_with_summary, with_summary
+from ledgerlens.schema import columns
 from ledgerlens.session import checkpointed, shared_folder, staging_path
 from ledgerlens.sources import files, tables
 
@@ -114,3 +115,20 @@ def test_shared_folder_is_the_configured_one(spark):
     assert staging_path(spark, "x").startswith(named)
     assert checkpointed(spark.range(3)).count() == 3
     assert os.listdir(named), "checkpoints go there"
+
+
+def test_damaged_lines_are_rejected(spark, tmp_path):
+    names = ",".join(columns("products"))
+    lines = [names, "P1,A,F,10.0", "P2,B", "P3,C,F,1,extra", '"P4","two', 'lines",F,1', "P5,E,F,NaN", "P6,G,F,Infinity", ",H,F,2"]
+    (tmp_path / "p.csv").write_text("\n".join(lines) + "\n")
+    raw = files.read_csv(spark, str(tmp_path / "p.csv"), "products")
+    assert rows(files.accepted(raw, "products"), "product_id") == [("P1",)]
+    wrong = {r[files.BROKEN] or r["product_id"]: r[files.BAD_COLUMNS] for r in files.rejected(raw, "products").collect()}
+    assert len(wrong) == 7 and wrong["P5"] == ["list_price_arr"] and wrong["P2,B"] == [files.BROKEN]
+
+
+def test_export_keeps_white_space(spark, make, tmp_path):
+    table = make("products", {"product_id": "  P1 ", "product_name": "line1\nline2", "product_family": 'a "b", c'})
+    files.export_csv(table, "products", str(tmp_path / "out"))
+    back = files.accepted(files.read_csv(spark, str(tmp_path / "out"), "products"), "products").first()
+    assert (back.product_id, back.product_name, back.product_family) == ("  P1 ", "line1\\nline2", 'a "b", c')
