@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ledgerlens.llm.common import lower_ascii, staged
+from ledgerlens.llm.common import bounded, lower_ascii, staged
 
 LENGTH = 13
 
@@ -42,9 +42,7 @@ def windows(items: DataFrame, length: int = LENGTH) -> DataFrame:
 
 
 def _bounded(df: DataFrame) -> DataFrame:
-    """``df`` with a broadcast hint if it has few rows; else Spark joins by shuffling, and
-    splits hot keys at run time."""
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+    return bounded(df, BROADCAST_ROWS)
 
 
 def term_counts(docs: DataFrame, terms: DataFrame, text: str = "text") -> DataFrame:
@@ -150,4 +148,4 @@ def decontaminated(docs: DataFrame, items: DataFrame, key: str = "doc_id", text:
     bad = _same(size, hit).where(20 * F.col("n_hit") >= F.col("n_words")).select(
         size["doc_id"].alias("bad_id"), size["digest"].alias("bad_digest")
     )
-    return docs.join(staged(bad, "contaminated"), F.col(key).eqNullSafe(F.col("bad_id")) & (digest == F.col("bad_digest")), "left_anti")
+    return docs.join(_bounded(staged(bad, "contaminated")), F.col(key).eqNullSafe(F.col("bad_id")) & (digest == F.col("bad_digest")), "left_anti")

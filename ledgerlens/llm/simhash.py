@@ -20,13 +20,15 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerlens.llm.common import batches, staged, whole
+from ledgerlens.llm.common import batches, bounded, staged, whole
 from ledgerlens.session import checkpointed
 
 SHINGLE, DISTANCE, SEED = 3, 3, 42
 
 #: Bound of the sample the trees are built from; fingerprints a shard should hold.
 SAMPLE, SHARD = 20_000, 4_096
+#: Keys to drop up to which they are broadcast to the texts; about 30 MB.
+BROADCAST_KEYS = 1_000_000
 HALVES = (np.uint64(0xFFFFFFFF00000000), np.uint64(0x00000000FFFFFFFF))
 
 _CHUNK = 100_000
@@ -293,7 +295,7 @@ def deduplicated(docs: DataFrame, key: str = "doc_id", text: str = "text", **set
     kept = F.max(F.col("doc_id").eqNullSafe(F.col("component_id")))
     keys = staged(found.groupBy("doc_id").agg(kept.alias("kept"), F.count("*").alias("n")), "keys")
     gone = keys.where("NOT kept").select(F.col("doc_id").alias("gone_id"))
-    left = docs.join(gone, F.col(key).eqNullSafe(F.col("gone_id")), "left_anti")
+    left = docs.join(bounded(gone, BROADCAST_KEYS), F.col(key).eqNullSafe(F.col("gone_id")), "left_anti")
     return _one_of_each(left, keys.where("kept AND n > 1").select(F.col("doc_id").alias("k")), key, text)
 
 
