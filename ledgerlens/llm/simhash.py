@@ -214,7 +214,8 @@ def links(distinct: DataFrame, distance: int = DISTANCE, sample: int = SAMPLE, s
     """Links a, b that span the classes of distinct fingerprints (column fingerprint).
 
     A leaf that holds more than two shards' worth, such as one of many fingerprints with the
-    same half, is cut into blocks by hash; whoever asks there asks in every block.
+    same half, is cut into blocks by hash, and so are those who ask there; every block of
+    these meets every block of the stored ones, so that no task holds more than two blocks.
     """
     n = distinct.count()
     rows = distinct.orderBy(F.xxhash64("fingerprint"), "fingerprint").limit(sample).collect()
@@ -222,14 +223,21 @@ def links(distinct: DataFrame, distance: int = DISTANCE, sample: int = SAMPLE, s
     trees = [build(points, mask, shard * len(points) / max(1, n)) for mask in HALVES]
     routed = distinct.select("fingerprint").mapInPandas(_routes(trees, distance // 2), "tree int, leaf long, fingerprint long, home boolean")
     routed = staged(routed, "routes")
-    size = routed.where("home").groupBy("tree", "leaf").agg(F.ceil(F.count("*") / F.lit(2 * shard)).cast("int").alias("blocks"))
-    sized = routed.join(size, ["tree", "leaf"])  # a leaf without a home has no one to find
-    own = F.pmod(F.xxhash64("fingerprint"), F.col("blocks")).cast("int")
-    placed = sized.select(
-        "tree", "leaf", "fingerprint", "home", own.alias("own"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block")
-    )
-    asked = placed.select("tree", "leaf", "block", "fingerprint", (F.col("home") & (F.col("own") == F.col("block"))).alias("stored"), F.lit(True).alias("asks"))
-    return asked.groupBy("tree", "leaf", "block").applyInPandas(_shard(distance), "a long, b long")
+    # A leaf without a home has no one to find.
+    size = routed.groupBy("tree", "leaf").agg(
+        F.ceil(F.count_if("home") / F.lit(2 * shard)).cast("int").alias("blocks"), F.ceil(F.count("*") / F.lit(4 * shard)).cast("int").alias("sides")
+    ).where("blocks > 0")
+    number = F.xxhash64("fingerprint")
+    own, side = F.pmod(number, F.col("blocks")).cast("int"), F.pmod(F.xxhash64(number), F.col("sides")).cast("int")
+    up_to = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
+    at = lambda block, side, stored, asks: F.struct(block.alias("block"), side.alias("side"), stored.alias("stored"), asks.alias("asks"))
+    # Those who ask do so once in each block of the stored ones; these stand in each other side's.
+    asking = F.transform(up_to("blocks"), lambda n: at(n, side, F.col("home") & (n == own), F.lit(True)))
+    storing = F.transform(F.filter(up_to("sides"), lambda n: n != side), lambda n: at(own, n, F.lit(True), F.lit(False)))
+    places = F.concat(asking, F.when(F.col("home"), storing).otherwise(F.slice(storing, 1, 0)))
+    placed = routed.join(size, ["tree", "leaf"]).select("tree", "leaf", "fingerprint", F.explode(places).alias("at"))
+    asked = placed.select("tree", "leaf", "at.block", "at.side", "fingerprint", "at.stored", "at.asks")
+    return asked.groupBy("tree", "leaf", "block", "side").applyInPandas(_shard(distance), "a long, b long")
 
 
 def components(edges: DataFrame) -> DataFrame:
