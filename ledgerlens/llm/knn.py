@@ -20,11 +20,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ledgerlens.llm.common import batches, staged
+from ledgerlens.llm.common import batches, bounded, staged
 
 SCALE = 64
 #: Pivots (a bounded sample); vectors of a block; queries of a group.
 PIVOTS, BLOCK, GROUP = 64, 8_192, 4_096
+#: Pairs of a block and a group that asks there up to which they are broadcast; about 2 MB.
+BROADCAST_ROWS = 100_000
 
 #: Components must fit here, so that products and their sums are exact as doubles.
 LARGEST = float(1 << 53)
@@ -193,19 +195,18 @@ def top_k(
     asking = placed.where("asks").groupBy("id").agg(F.min("v").alias("v"))
     groups = max(1, -(-asking.count() // group))
     asking = asking.select("id", "v", F.lit(-(1 << 62)).cast("long").alias("least"), F.pmod(F.xxhash64("id"), F.lit(groups)).cast("int").alias("grp"))
-    data = placed.select(
-        "id", "v", "cell", F.pmod(F.xxhash64("id"), counts[F.col("cell")]).cast("int").alias("block"),
-        F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("grp"),
-    )
+    data = placed.select("id", "v", "cell", F.pmod(F.xxhash64("id"), counts[F.col("cell")]).cast("int").alias("block"))
     sent_type = "cell int, block int, id long, v array<long>, least long, grp int"
 
     def hits(sent: DataFrame) -> DataFrame:
         at = ("cell", "block", "grp")
-        return sent.groupBy(*at).cogroup(data.groupBy(*at)).applyInPandas(_solved(k), _HIT)
+        # A block is replicated to those groups only that ask there.
+        needed = bounded(staged(sent.select(*at).distinct(), "needed"), BROADCAST_ROWS)
+        return sent.groupBy(*at).cogroup(data.join(needed, ["cell", "block"]).groupBy(*at)).applyInPandas(_solved(k), _HIT)
 
     early = staged(_best(hits(asking.mapInPandas(_blocks_of(cells, k, True), sent_type)), k), "early")
     least = early.where(F.col("rank") == k).select(F.col("query_id").alias("q"), F.col("score").alias("reached"))
-    bounded = asking.join(least, F.col("id") == F.col("q"), "left").select("id", "v", F.coalesce("reached", "least").alias("least"), "grp")
-    late = hits(bounded.mapInPandas(_blocks_of(cells, k, False), sent_type))
+    known = asking.join(least, F.col("id") == F.col("q"), "left").select("id", "v", F.coalesce("reached", "least").alias("least"), "grp")
+    late = hits(known.mapInPandas(_blocks_of(cells, k, False), sent_type))
     best = _best(early.select("query_id", "vec_id", "score").union(late), k)
     return best.select("query_id", "rank", "vec_id", "score")
