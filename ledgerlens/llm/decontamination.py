@@ -73,12 +73,19 @@ def postings(docs: DataFrame, anchored: DataFrame, length: int = LENGTH) -> Data
     ``span`` being the document's words at the adjusted offset. Repeated rows count once."""
     split = docs.select("doc_id", "digest", words(F.col("text")).alias("w"))
     placed = split.select("doc_id", "digest", "w", F.posexplode("w").alias("position", "term"))
-    # Anchors are joined before anything is shuffled; what passes is a few words wide.
-    met = placed.join(_bounded(anchored), "term").withColumn("start", F.col("position") - F.col("offset"))
-    inside = met.where(F.col("start") >= 0)
-    return inside.select(
-        "doc_id", "digest", "term", "start", "window", "items", F.slice("w", F.col("start") + 1, F.size("window")).alias("span")
-    )
+    begins = F.lit(0)  # of ``w`` in the document
+    if anchored.count() > BROADCAST_ROWS:
+        # The anchors are shuffled to, so a row takes the words around its position only.
+        placed = placed.join(_bounded(anchored.select("term").distinct()), "term", "left_semi")
+        begins = F.greatest(F.col("position") - (length - 1), F.lit(0))
+        placed = placed.select("doc_id", "digest", F.slice("w", begins + 1, 2 * length - 1).alias("w"), "position", "term")
+        met = placed.join(anchored, "term")
+    else:
+        # Joined before anything is shuffled; what passes is a few words wide.
+        met = placed.join(F.broadcast(anchored), "term")
+    inside = met.withColumn("start", F.col("position") - F.col("offset")).where(F.col("start") >= 0)
+    span = F.slice("w", F.col("start") - begins + 1, F.size("window"))
+    return inside.select("doc_id", "digest", "term", "start", "window", "items", span.alias("span"))
 
 
 def occurrences(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", length: int = LENGTH) -> DataFrame:

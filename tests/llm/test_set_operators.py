@@ -141,7 +141,9 @@ def brute_contamination(texts, items, n=13):
     return sorted(out, key=repr)
 
 
-def test_contamination_equals_brute_force(spark, documents):
+@pytest.mark.parametrize("broadcast", [decontamination.BROADCAST_ROWS, 0])
+def test_contamination_equals_brute_force(spark, documents, monkeypatch, broadcast):
+    monkeypatch.setattr(decontamination, "BROADCAST_ROWS", broadcast)
     random = np.random.default_rng(4)
     vocabulary = ["the", "of", "a", "Über", "x9", "é"]
     say = lambda k: " ".join(random.choice(vocabulary, k))
