@@ -161,6 +161,7 @@ BODIES = {
             UNION ALL SELECT 'invoice_date,broken_line', 1, NULL FROM invoices WHERE right(invoice_id, 1) = '3'
             ) GROUP BY wrong""",
     "load_audit": _COUNTS,
+    "load_refused": f"SELECT table_name, row_count, TRUE AS refused FROM ({_COUNTS})",
     "load_check": f"""
         SELECT table_name, row_count AS expected_rows, row_count AS found_rows, TRUE AS schema_ok, TRUE AS complete
         FROM ({_COUNTS})""",

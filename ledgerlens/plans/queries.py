@@ -138,6 +138,20 @@ def load_audit(s):
     return summary.load_with_summary(s.tables(), staging_path(s.spark, "tables"))
 
 
+@query
+def load_refused(s):
+    """Rows of the stored tables after a load whose payments lost a part: it is refused, and the
+    tables of the load before are still there."""
+    good, root = s.tables(), staging_path(s.spark, "tables")
+    summary.load_checked(good, root, TERMS)
+    try:
+        summary.load_checked({**good, "payments": good["payments"].filter(~F.col("payment_id").endswith("1"))}, root, TERMS)
+        refused = False
+    except quality.QualityError:
+        refused = True
+    return quality.table_rows(tables.read_tables(s.spark, root)).withColumn("refused", F.lit(refused))
+
+
 @query
 def load_check(s):
     root = staging_path(s.spark, "tables")

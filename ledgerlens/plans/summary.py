@@ -11,8 +11,10 @@ from pyspark.sql import functions as F
 from ledgerlens.functions import rules
 from ledgerlens.functions.amounts import change_pct, exact_sum, margin_pct, monthly, number, total, units
 from ledgerlens.operators.customer import next_forecast
+from ledgerlens.operators.quality import assert_quality, quality_report
 from ledgerlens.operators.usage import adoption_by_customer
 from ledgerlens.schema import Terms, columns
+from ledgerlens.session import staging_path
 from ledgerlens.sources.tables import read_tables, write_tables
 
 
@@ -137,6 +139,20 @@ def load_with_summary(
     return audit.unionByName(write_tables({"customer_finance_summary": customer_summary(stored)}, root))
 
 
+def load_checked(
+    dfs: dict[str, DataFrame], root: str, terms: Terms, partition_by: Mapping[str, str] | None = None
+) -> DataFrame:
+    """Like ``load_with_summary``, but all checks of the quality report must hold first: the
+    tables are stored in the shared folder and checked there, and only then those below
+    ``root`` are replaced. ``QualityError`` leaves these as they were."""
+    spark = next(iter(dfs.values())).sparkSession
+    trial = staging_path(spark, "trial")
+    load_with_summary(dfs, trial)
+    stored = read_tables(spark, trial)
+    assert_quality(quality_report(stored, terms))
+    return write_tables(stored, root, partition_by=partition_by)
+
+
 def portfolio_totals(summary: DataFrame, terms: Terms) -> DataFrame:
     at_risk = F.when(rules.at_risk(F.col("renewal_probability"), terms), units("arr"))
     return summary.agg(

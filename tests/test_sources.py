@@ -2,10 +2,11 @@ import json
 import os
 
 import pytest
+from pyspark.sql import functions as F
 from conftest import TERMS, rows
 
 from ledgerlens.operators import quality
-from ledgerlens.plans.summary import load_with_summary, with_summary
+from ledgerlens.plans.summary import load_checked, load_with_summary, with_summary
 from ledgerlens.schema import columns
 from ledgerlens.session import checkpointed, shared_folder, staging_path
 from ledgerlens.sources import files, tables
@@ -102,6 +103,17 @@ def test_load_by_month_prunes_and_keeps_the_declared_shape(spark, company, compl
     assert one.count() == 3
 
 
+def test_refused_load_leaves_the_tables(spark, company, tmp_path):
+    root = str(tmp_path)
+    good = {**company, "support_cases": company["support_cases"].fillna("S1", ["subscription_id"])}
+    assert dict(rows(load_checked(good, root, TERMS)))["payments"] == good["payments"].count()
+    lost = {**good, "payments": good["payments"].filter("payment_id <> 'P-4'"), "customers": good["customers"].withColumn("segment", F.lit("new"))}
+    with pytest.raises(quality.QualityError, match="check:cash"):
+        load_checked(lost, root, TERMS)
+    for table in ("payments", "customers"):
+        assert rows(tables.read_table(spark, root, table)) == rows(good[table])
+
+
 def test_report_as_json(complete, tmp_path):
     path = str(tmp_path / "report")
     files.export_report(quality.quality_report(complete, TERMS), path)
