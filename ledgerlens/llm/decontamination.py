@@ -23,8 +23,8 @@ LENGTH = 13
 #: Fixed value: what stands between words.
 BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
-#: Distinct anchor terms or windows up to which a table is broadcast; about 20 MB.
-BROADCAST_ROWS = 100_000
+#: Anchors or keys up to which a table is broadcast, about 20 MB; single terms, about 60 MB.
+BROADCAST_ROWS, BROADCAST_TERMS = 100_000, 1_000_000
 
 
 def words(text: Column) -> Column:
@@ -46,8 +46,12 @@ def _bounded(df: DataFrame) -> DataFrame:
 
 
 def term_counts(docs: DataFrame, terms: DataFrame, text: str = "text") -> DataFrame:
-    """Occurrences in all documents of each of ``terms`` (term); those without any count 0."""
-    found = docs.select(F.explode(words(F.col(text))).alias("term")).join(_bounded(terms), "term", "left_semi")
+    """Occurrences in all documents of each of ``terms`` (term); those without any count 0.
+
+    Terms that can't be broadcast meet counts, not occurrences."""
+    found = docs.select(F.explode(words(F.col(text))).alias("term"))
+    if terms.count() <= BROADCAST_TERMS:
+        found = found.join(F.broadcast(terms), "term", "left_semi")
     counted = found.groupBy("term").agg(F.count("*").alias("n"))
     return terms.join(counted, "term", "left").select("term", F.coalesce("n", F.lit(0)).alias("n"))
 
@@ -75,11 +79,14 @@ def postings(docs: DataFrame, anchored: DataFrame, length: int = LENGTH) -> Data
     placed = split.select("doc_id", "digest", "w", F.posexplode("w").alias("position", "term"))
     begins = F.lit(0)  # of ``w`` in the document
     if anchored.count() > BROADCAST_ROWS:
-        # The anchors are shuffled to, so a row takes the words around its position only.
-        placed = placed.join(_bounded(anchored.select("term").distinct()), "term", "left_semi")
+        # The anchors are shuffled to, so a row takes the words around its position only. It
+        # does so before any join that may itself shuffle, never with the whole text.
         begins = F.greatest(F.col("position") - (length - 1), F.lit(0))
-        placed = placed.select("doc_id", "digest", F.slice("w", begins + 1, 2 * length - 1).alias("w"), "position", "term")
-        met = placed.join(anchored, "term")
+        around = F.slice("w", begins + 1, 2 * length - 1).alias("w")
+        terms = anchored.select("term").distinct()
+        if terms.count() <= BROADCAST_TERMS:
+            placed = placed.join(F.broadcast(terms), "term", "left_semi")
+        met = placed.select("doc_id", "digest", around, "position", "term").join(anchored, "term")
     else:
         # Joined before anything is shuffled; what passes is a few words wide.
         met = placed.join(F.broadcast(anchored), "term")

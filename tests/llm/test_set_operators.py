@@ -141,9 +141,10 @@ def brute_contamination(texts, items, n=13):
     return sorted(out, key=repr)
 
 
-@pytest.mark.parametrize("broadcast", [decontamination.BROADCAST_ROWS, 0])
-def test_contamination_equals_brute_force(spark, documents, monkeypatch, broadcast):
-    monkeypatch.setattr(decontamination, "BROADCAST_ROWS", broadcast)
+@pytest.mark.parametrize("rows,terms", [(decontamination.BROADCAST_ROWS, decontamination.BROADCAST_TERMS), (0, 1_000), (0, 0)])
+def test_contamination_equals_brute_force(spark, documents, monkeypatch, rows, terms):
+    monkeypatch.setattr(decontamination, "BROADCAST_ROWS", rows)
+    monkeypatch.setattr(decontamination, "BROADCAST_TERMS", terms)
     random = np.random.default_rng(4)
     vocabulary = ["the", "of", "a", "Über", "x9", "é"]
     say = lambda k: " ".join(random.choice(vocabulary, k))
