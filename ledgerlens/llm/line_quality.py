@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import math
 import operator
+import zlib
 from dataclasses import dataclass
 
 import numpy as np
@@ -204,17 +205,25 @@ def fit(documents: list[tuple[list[list[int]], int]], steps: int = 250, rate: fl
     return Crf(weights, pairs)
 
 
+def stretch(text: str | None) -> list[list[int]]:
+    """Binned measures of at most ``SAMPLE_LINES`` lines in a row, from a place in the whole text
+    that its checksum gives."""
+    binned = measures(text)[0]
+    start = zlib.crc32(whole(text).encode("utf-8", "surrogatepass")) % max(1, len(binned) - SAMPLE_LINES + 1)
+    return binned[start : start + SAMPLE_LINES].tolist()
+
+
 def _sample_lines(text: str) -> Column:
     @F.pandas_udf("array<array<smallint>>")
     def lines(texts: pd.Series) -> pd.Series:
-        return pd.Series([measures(t)[0][:SAMPLE_LINES].tolist() for t in texts], dtype=object)
+        return pd.Series([stretch(t) for t in texts], dtype=object)
 
     return lines(text)
 
 
 def train(docs: DataFrame, labels: DataFrame, sample_docs: int = SAMPLE_DOCS) -> Crf:
     """Fits on at most ``sample_docs`` labelled documents that are not held out, those
-    whose hashed ids are smallest, with at most ``SAMPLE_LINES`` lines of each.
+    whose hashed ids are smallest, with a stretch of at most ``SAMPLE_LINES`` lines of each.
 
     Labels other than 0 and 1, null ids and labels without a document are left out.
     """
