@@ -13,7 +13,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerlens.llm.common import lower_ascii
+from ledgerlens.llm.common import lower_ascii, staged
 
 #: Bound of the labelled URLs the trees are fitted on.
 SAMPLE_URLS = 4_000
@@ -132,18 +132,18 @@ class Model:
     only: str = "allow"
 
 
-def _statistics(lexed: DataFrame, part: str) -> DataFrame:
-    """Share of blocked URLs (smoothed towards one half) and of all, by suffix or segment. The
-    fit's sample bounds what is collected and joined later."""
-    counted = lexed.groupBy(part).agg(F.count("*").alias("n"), F.sum("blocked").alias("bad")).collect()
-    total = sum(r["n"] for r in counted) or 1
-    rows = [(r[part], (r["bad"] + 5.0) / (r["n"] + 10.0), r["n"] / total) for r in counted]
-    return lexed.sparkSession.createDataFrame(rows, f"known_{part} string, {part}_rate double, {part}_part double")
+def _statistics(lexed: DataFrame, part: str, total: int) -> DataFrame:
+    """Share of blocked URLs (smoothed towards one half) and of all, by suffix or segment; at
+    most a row for each URL of the fit's sample."""
+    counted = lexed.groupBy(part).agg(F.count("*").alias("n"), F.sum("blocked").alias("bad"))
+    rate, share = (F.col("bad") + 5.0) / (F.col("n") + 10.0), F.col("n") / F.lit(max(1, total))
+    return staged(counted.select(F.col(part).alias(f"known_{part}"), rate.alias(f"{part}_rate"), share.alias(f"{part}_part")), part)
 
 
 def _with_statistics(lexed: DataFrame, statistics: dict[str, DataFrame]) -> DataFrame:
+    # The fit's sample bounds what is broadcast, so URLs are not shuffled to their suffixes.
     for part, known in statistics.items():
-        lexed = lexed.join(known, lexed[part] == known[f"known_{part}"], "left").withColumns(
+        lexed = lexed.join(F.broadcast(known), lexed[part] == known[f"known_{part}"], "left").withColumns(
             {f"{part}_block_rate": F.coalesce(f"{part}_rate", F.lit(0.5)), f"{part}_share": F.coalesce(f"{part}_part", F.lit(0.0))}
         )
     return lexed
@@ -157,9 +157,10 @@ def fit(labelled: DataFrame, sample_urls: int = SAMPLE_URLS, trees: int = 20, de
         .groupBy("url", "host", "path").agg(F.max("blocked").alias("blocked"))
         .orderBy(F.xxhash64("url"), "url").limit(sample_urls)
     )
+    sample = staged(sample, "urls")
     lexed = lexical(sample)
     verdicts = {r["blocked"]: r["count"] for r in sample.groupBy("blocked").count().collect()}
-    statistics = {part: _statistics(lexed, part) for part in ("suffix", "segment")}
+    statistics = {part: _statistics(lexed, part, sum(verdicts.values())) for part in ("suffix", "segment")}
     if len(verdicts) < 2:
         return Model(None, statistics, "block" if 1.0 in verdicts else "allow")
     assembler = VectorAssembler(inputCols=list(FEATURES), outputCol="features")
