@@ -27,7 +27,7 @@ SHINGLE, DISTANCE, SEED = 3, 3, 42
 
 #: Bound of the sample the trees are built from; fingerprints a shard should hold.
 SAMPLE, SHARD = 20_000, 4_096
-#: Keys to drop up to which they are broadcast to the texts; about 30 MB.
+#: Keys and digests to drop up to which they are broadcast to the texts; about 150 MB.
 BROADCAST_KEYS = 1_000_000
 HALVES = (np.uint64(0xFFFFFFFF00000000), np.uint64(0x00000000FFFFFFFF))
 
@@ -281,39 +281,62 @@ def classify(
     with a null key have a component like others and give it no key; a component without any
     key has a null one. ``distance`` below 4 is exact with the two trees.
     """
-    rows = staged(docs.select(F.col(key).alias("doc_id"), fingerprints(F.col(text), shingle, seed).alias("fingerprint")), "fingerprints")
+    prints = docs.select(F.col(key).alias("doc_id"), fingerprints(F.col(text), shingle, seed).alias("fingerprint"))
+    return _labelled(prints, distance).select("doc_id", "fingerprint", "component_id")
+
+
+def _labelled(prints: DataFrame, distance: int) -> DataFrame:
+    """``prints`` (doc_id, fingerprint, ...) with the component, one of its fingerprints and so
+    never null, and component_id."""
+    rows = staged(prints, "fingerprints")
     first = staged(rows.groupBy("fingerprint").agg(F.min("doc_id").alias("least")), "distinct")
     classes = components(links(first.select("fingerprint"), distance))
     known = first.join(classes, first["fingerprint"] == classes["node"], "left").select(
         first["fingerprint"].alias("print"), "least", F.coalesce("component", first["fingerprint"]).alias("component")
     )
     ids = known.groupBy("component").agg(F.min("least").alias("component_id"))
-    named = staged(known.join(ids, "component").select("print", "component_id"), "classes")
-    return rows.join(named, rows["fingerprint"] == named["print"]).select("doc_id", "fingerprint", "component_id")
+    named = staged(known.join(ids, "component").select("print", "component", "component_id"), "classes")
+    return rows.join(named, rows["fingerprint"] == named["print"])
+
 
+def _digest(text: str) -> Column:
+    """Tells texts apart, also null from empty."""
+    return F.coalesce(F.md5(F.col(text)), F.lit(""))
 
-def deduplicated(docs: DataFrame, key: str = "doc_id", text: str = "text", **settings: int) -> DataFrame:
-    """``docs`` with one row of each component, the one with the smallest key; all columns
-    as they are. Of rows that repeat a key, also the null key, the one with the smallest text
-    stays.
+
+def deduplicated(
+    docs: DataFrame, key: str = "doc_id", text: str = "text",
+    shingle: int = SHINGLE, distance: int = DISTANCE, seed: int = SEED,
+) -> DataFrame:
+    """``docs`` with one row of each component, all columns as they are: the one with the
+    smallest key, any key before null, and of several texts under that key the one with the
+    smallest digest. Rows that share a key, also the null key, but no component all stay.
 
     The rows to drop, not those to keep, are joined to the texts.
     """
-    found = classify(docs, key, text, **settings)
-    kept = F.max(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    keys = staged(found.groupBy("doc_id").agg(kept.alias("kept"), F.count("*").alias("n")), "keys")
-    gone = keys.where("NOT kept").select(F.col("doc_id").alias("gone_id"))
-    left = docs.join(bounded(gone, BROADCAST_KEYS), F.col(key).eqNullSafe(F.col("gone_id")), "left_anti")
-    return _one_of_each(left, keys.where("kept AND n > 1").select(F.col("doc_id").alias("k")), key, text)
+    prints = docs.select(F.col(key).alias("doc_id"), _digest(text).alias("digest"), fingerprints(F.col(text), shingle, seed).alias("fingerprint"))
+    # Equal texts have one component, so a key and digest have one.
+    rows = staged(_labelled(prints, distance).groupBy("doc_id", "digest").agg(F.min("component").alias("component"), F.count("*").alias("n")), "rows")
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "digest")
+    first = rows.groupBy("component").agg(F.min(order).alias("first")).select(F.col("first.doc_id").alias("first_id"), F.col("first.digest").alias("first_digest"))
+    chosen = rows.join(first, F.col("doc_id").eqNullSafe(F.col("first_id")) & (F.col("digest") == F.col("first_digest")), "left")
+    keys = staged(chosen.select(F.col("doc_id").alias("k"), F.col("digest").alias("d"), "n", F.col("first_digest").isNotNull().alias("kept")), "keys")
+    left = docs.join(bounded(keys.where("NOT kept").select("k", "d").toDF("gone_id", "gone_digest"), BROADCAST_KEYS), _is(key, text, "gone"), "left_anti")
+    return _one_of_each(left, keys.where("kept AND n > 1").select("k", "d"), key, text)
+
+
+def _is(key: str, text: str, name: str) -> Column:
+    return F.col(key).eqNullSafe(F.col(f"{name}_id")) & (_digest(text) == F.col(f"{name}_digest"))
 
 
 def _one_of_each(docs: DataFrame, again: DataFrame, key: str, text: str) -> DataFrame:
-    """``docs`` with one row of each key that is there ``again``."""
+    """``docs`` with one row of each key and text that are there ``again``."""
     if again.isEmpty():
         return docs
     names = docs.columns
-    repeated = docs.join(again.select(F.col("k").alias("again_key")), F.col(key).eqNullSafe(F.col("again_key")), "left_semi")
-    single = docs.join(again.select(F.col("k").alias("again_key")), F.col(key).eqNullSafe(F.col("again_key")), "left_anti")
-    order = F.struct(F.col(text).isNull().alias("none"), F.col(text).alias("text"), F.to_json(F.struct(*names)).alias("row"))
-    chosen = repeated.groupBy(key).agg(F.min_by(F.struct(*names), order).alias("row"))
+    again = bounded(again.toDF("again_id", "again_digest"), BROADCAST_KEYS)
+    repeated, single = (docs.join(again, _is(key, text, "again"), how) for how in ("left_semi", "left_anti"))
+    chosen = repeated.groupBy(F.col(key).alias("again_id"), _digest(text).alias("again_digest")).agg(
+        F.min_by(F.struct(*names), F.to_json(F.struct(*names))).alias("row")
+    )
     return single.unionByName(chosen.select(*[F.col("row")[n].alias(n) for n in names]))

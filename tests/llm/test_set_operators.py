@@ -121,6 +121,14 @@ def test_deduplicated_keeps_one_of_each(documents):
     assert simhash.deduplicated(docs.limit(0)).count() == 0
 
 
+def test_deduplicated_keeps_one_of_each_component_under_shared_keys(documents):
+    a, b, c, d, e, f = (" ".join(f"{x}{i}" for i in range(200)) for x in "abcdef")
+    docs = documents([(None, a), (None, b), (None, b), (2, c), (5, c), (5, d), (5, d), (None, e), (7, e), (5, f), (8, None), (8, "")], "digest", "component")
+    kept = [(r["doc_id"], r["text"]) for r in simhash.deduplicated(docs).collect()]
+    want = [(None, a), (None, b), (2, c), (5, d), (5, f), (7, e), (8, "")]
+    assert sorted(((k, t or "") for k, t in kept), key=repr) == sorted(want, key=repr)
+
+
 def brute_contamination(texts, items, n=13):
     words = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
     windows = defaultdict(set)
