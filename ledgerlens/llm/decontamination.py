@@ -33,12 +33,17 @@ def words(text: Column) -> Column:
 
 
 def windows(items: DataFrame, length: int = LENGTH) -> DataFrame:
-    """Distinct windows: window (words), items (ids as sorted strings, null ids left out). An
-    item of fewer words is one window; one without words has none."""
+    """Distinct windows: window (words), items (ids as sorted strings, a null id last). An item of
+    fewer words is one window; one without words has none."""
     split = items.select(F.col("item_id").cast("string").alias("item"), words(F.col("text")).alias("w")).where(F.size("w") > 0)
     starts = F.sequence(F.lit(1), F.greatest(F.size("w") - (length - 1), F.lit(1)))
     each = split.select("item", "w", F.explode(starts).alias("at")).select("item", F.slice("w", F.col("at"), length).alias("window"))
-    return each.groupBy("window").agg(F.collect_set("item").alias("items"))
+    return each.groupBy("window").agg(_ids("item").alias("items"))
+
+
+def _ids(item: str) -> Column:
+    """Distinct ids in order, the null id, which ``collect_set`` skips, as one of them."""
+    return F.array_sort(F.transform(F.collect_set(F.struct(F.col(item).alias("id"))), lambda x: x["id"]))
 
 
 def _bounded(df: DataFrame) -> DataFrame:
@@ -123,7 +128,7 @@ def near(docs: DataFrame, items: DataFrame, distance: int, key: str = "doc_id",
 
 def contamination(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", length: int = LENGTH) -> DataFrame:
     """One row per distinct key and text: doc_id, digest, n_hit (words inside an occurrence),
-    matched (item ids as sorted strings). Documents without an occurrence are left out; null
+    matched (item ids as sorted strings, a null id last). Documents without an occurrence are left out; null
     keys and texts are kept apart like others."""
     found = staged(occurrences(docs, items, key, text, length), "occurrences")
     order = Window.partitionBy("doc_id", "digest").orderBy("start", "n")
@@ -131,9 +136,7 @@ def contamination(docs: DataFrame, items: DataFrame, key: str = "doc_id", text:
     reached = F.coalesce(F.max(end).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     fresh = found.withColumn("hit", F.greatest(end - F.greatest(F.col("start"), reached), F.lit(0)))
     hits = fresh.groupBy("doc_id", "digest").agg(F.sum("hit").cast("long").alias("n_hit"))
-    matched = found.select("doc_id", "digest", F.explode("items").alias("item")).groupBy("doc_id", "digest").agg(
-        F.array_sort(F.collect_set("item")).alias("matched")
-    )
+    matched = found.select("doc_id", "digest", F.explode("items").alias("item")).groupBy("doc_id", "digest").agg(_ids("item").alias("matched"))
     return _same(hits, matched).select(hits["doc_id"], hits["digest"], "n_hit", "matched")
 
 

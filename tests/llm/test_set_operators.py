@@ -170,6 +170,23 @@ def test_contamination_equals_brute_force(spark, documents, monkeypatch, rows, t
         assert decontamination.judged(none, tests.limit(0)).where("contaminated").count() == 0
 
 
+def test_items_without_an_id_contaminate(spark, documents, tmp_path):
+    duckdb = pytest.importorskip("duckdb")
+    long = " ".join(f"w{i}" for i in range(20))
+    docs = documents({1: f"x {long} y", 2: "clean text", 3: "one two three", 4: f"{long} one two three"})
+    items = spark.createDataFrame([(None, long), (None, "one two three"), (5, "one two three")], "item_id long, text string")
+    got = {r["doc_id"]: (r["n_hit"], list(r["matched"]), r["contaminated"]) for r in decontamination.judged(docs, items).collect()}
+    assert got == {1: (20, [None], True), 2: (0, [], False), 3: (3, ["5", None], True), 4: (23, ["5", None], True)}
+    assert [r["doc_id"] for r in decontamination.decontaminated(docs, items).collect()] == [2]
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    items.write.parquet(str(tmp_path / "benchmark.parquet"))
+    with duckdb.connect() as db:
+        for name in ("documents", "benchmark"):
+            db.execute(f"CREATE VIEW {name} AS SELECT * FROM read_parquet('{tmp_path}/{name}.parquet/*.parquet')")
+        want = sorted(db.execute(oracle_sql()["op6_decontamination"]).fetchall())
+    assert sorted(tuple(r) for r in queries()["op6_decontamination"](spark, str(tmp_path)).collect()) == want
+
+
 def test_near_finds_the_rarest_terms_together(spark, documents):
     docs = documents({1: "rare one two gem", 2: "rare a b c d e f g h i gem", 3: "gem rare", 4: "one"})
     tests = spark.createDataFrame([(1, "the rare gem"), (2, None)], "item_id long, text string")
