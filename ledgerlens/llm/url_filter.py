@@ -13,10 +13,12 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerlens.llm.common import lower_ascii, staged
+from ledgerlens.llm.common import bounded, lower_ascii, staged
 
 #: Bound of the labelled URLs the trees are fitted on.
 SAMPLE_URLS = 4_000
+#: Suffixes or segments up to which their statistics are broadcast, about 30 MB.
+BROADCAST_PARTS = 200_000
 FEATURES = (
     "url_length", "host_length", "path_length", "depth", "labels", "digit_ratio", "host_digit_ratio", "hyphens",
     "parameters", "entropy", "host_entropy", "has_fragment", "secure", "suffix_length", "suffix_block_rate", "suffix_share", "segment_block_rate", "segment_share",
@@ -94,6 +96,11 @@ def suffix_of(host: Column) -> Column:
     return F.substring_index(host, ".", -2)
 
 
+def segment_of(path: Column) -> Column:
+    """The first segment of a path that goes on after it; else empty."""
+    return F.regexp_extract(path, r"(?s)\A/([^/]*)/", 1)
+
+
 def lexical(urls: DataFrame) -> DataFrame:
     """``urls`` (columns url, host, path, ...) with the features but the statistics."""
     url = F.coalesce(F.col("url"), F.lit(""))
@@ -115,7 +122,7 @@ def lexical(urls: DataFrame) -> DataFrame:
             "has_fragment": F.contains(url, F.lit("#")).cast("double"),
             "secure": url.startswith("https://").cast("double"),
             "suffix": suffix_of(host),
-            "segment": F.regexp_extract(path, r"(?s)\A/([^/]*)/", 1),
+            "segment": segment_of(path),
             "suffix_length": F.length(F.substring_index(host, ".", -1)).cast("double"),
         }
     )
@@ -123,7 +130,7 @@ def lexical(urls: DataFrame) -> DataFrame:
 
 @dataclass(frozen=True)
 class Model:
-    """The trees and the statistics of suffixes and first path segments they were fitted with;
+    """The trees and the statistics of suffixes and first path segments of all URLs;
     ``trees`` is None where no URL was labelled or all had one verdict, which is then
     ``only``."""
 
@@ -132,39 +139,41 @@ class Model:
     only: str = "allow"
 
 
-def _statistics(lexed: DataFrame, part: str, total: int) -> DataFrame:
-    """Share of blocked URLs (smoothed towards one half) and of all, by suffix or segment; at
-    most a row for each URL of the fit's sample."""
-    counted = lexed.groupBy(part).agg(F.count("*").alias("n"), F.sum("blocked").alias("bad"))
-    rate, share = (F.col("bad") + 5.0) / (F.col("n") + 10.0), F.col("n") / F.lit(max(1, total))
-    return staged(counted.select(F.col(part).alias(f"known_{part}"), rate.alias(f"{part}_rate"), share.alias(f"{part}_part")), part)
+def _statistics(urls: DataFrame, part: str, value: Column) -> DataFrame:
+    """Share of blocked ones among the labelled rows (smoothed towards one half) and of all
+    rows, by suffix or segment."""
+    counted = urls.groupBy(value.alias(f"known_{part}")).agg(F.count("*").alias("n"), F.count("blocked").alias("labelled"), F.sum("blocked").alias("bad"))
+    counted = staged(counted, part)
+    total = counted.agg(F.sum("n")).first()[0] or 1
+    rate, share = (F.coalesce("bad", F.lit(0.0)) + 5.0) / (F.col("labelled") + 10.0), F.col("n") / F.lit(total)
+    return bounded(counted.select(f"known_{part}", rate.alias(f"{part}_rate"), share.alias(f"{part}_part")), BROADCAST_PARTS)
 
 
 def _with_statistics(lexed: DataFrame, statistics: dict[str, DataFrame]) -> DataFrame:
-    # The fit's sample bounds what is broadcast, so URLs are not shuffled to their suffixes.
+    # Broadcast up to a bound, so few suffixes shuffle no URL; those not seen have no share.
     for part, known in statistics.items():
-        lexed = lexed.join(F.broadcast(known), lexed[part] == known[f"known_{part}"], "left").withColumns(
+        lexed = lexed.join(known, lexed[part] == known[f"known_{part}"], "left").withColumns(
             {f"{part}_block_rate": F.coalesce(f"{part}_rate", F.lit(0.5)), f"{part}_share": F.coalesce(f"{part}_part", F.lit(0.0))}
         )
     return lexed
 
 
 def fit(labelled: DataFrame, sample_urls: int = SAMPLE_URLS, trees: int = 20, depth: int = 4) -> Model:
-    """Fits on at most ``sample_urls`` distinct labelled URLs, those with the smallest
-    hashes. ``labelled``: url, host, path, blocked (0.0 or 1.0)."""
+    """Fits the trees on at most ``sample_urls`` distinct labelled URLs, those with the
+    smallest hashes; the statistics are of all rows. ``labelled``: url, host, path, blocked
+    (0.0 or 1.0, null for a URL that only counts in the shares)."""
     sample = (
         labelled.select("url", "host", "path", "blocked").where(F.col("url").isNotNull() & F.col("blocked").isNotNull())
         .groupBy("url", "host", "path").agg(F.max("blocked").alias("blocked"))
         .orderBy(F.xxhash64("url"), "url").limit(sample_urls)
     )
     sample = staged(sample, "urls")
-    lexed = lexical(sample)
     verdicts = {r["blocked"]: r["count"] for r in sample.groupBy("blocked").count().collect()}
-    statistics = {part: _statistics(lexed, part, sum(verdicts.values())) for part in ("suffix", "segment")}
+    statistics = {part: _statistics(labelled, part, value) for part, value in (("suffix", suffix_of(F.col("host"))), ("segment", segment_of(F.col("path"))))}
     if len(verdicts) < 2:
         return Model(None, statistics, "block" if 1.0 in verdicts else "allow")
     assembler = VectorAssembler(inputCols=list(FEATURES), outputCol="features")
-    ready = assembler.transform(_with_statistics(lexed, statistics)).select("features", "blocked").coalesce(1)
+    ready = assembler.transform(_with_statistics(lexical(sample), statistics)).select("features", "blocked").coalesce(1)
     boosted = GBTClassifier(labelCol="blocked", featuresCol="features", maxIter=trees, maxDepth=depth, seed=17, maxBins=32)
     return Model(boosted.fit(ready), statistics)
 
@@ -191,7 +200,7 @@ def judge(urls: DataFrame, model: Model, rules: tuple[Rule, ...], key: str = "pa
 
 
 def filter_urls(urls: DataFrame, rules: tuple[Rule, ...] = RULES, key: str = "page_id") -> DataFrame:
-    """Fits on the URLs the rules label and judges all of ``urls``."""
+    """Fits on the URLs the rules label, with statistics of all URLs, and judges all of ``urls``."""
     split = urls.select("url", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
     rule = rule_of(F.col("host"), F.col("path"), rules)
     labelled = split.withColumn("blocked", (verdict_of(rule, rules) == "block").cast("double"))

@@ -268,6 +268,21 @@ def test_url_trees_learn_held_out_verdicts(spark):
     assert joined.agg(F.avg("right")).first()[0] >= 0.85
 
 
+@pytest.mark.parametrize("parts", [url_filter.BROADCAST_PARTS, 0])
+def test_url_statistics_are_of_all_rows(spark, monkeypatch, parts):
+    monkeypatch.setattr(url_filter, "BROADCAST_PARTS", parts)
+    urls = [(f"http://a.com/x/{i}", float(i % 4 == 0)) for i in range(40)] + [(f"http://b.de/{i}", 1.0) for i in range(20)]
+    urls += [("http://a.com/x/1", 0.0)] * 20 + [(f"http://c.net/y/{i}", None) for i in range(79)] + [(None, None)]
+    df = spark.createDataFrame(urls, "url string, blocked double").withColumns({"host": url_filter.host_of(F.col("url")), "path": url_filter.path_of(F.col("url"))})
+    model = url_filter.fit(df, sample_urls=20, trees=2)
+    found = {part: {r[0]: tuple(r)[1:] for r in known.collect()} for part, known in model.statistics.items()}
+    n, rate = len(urls), lambda bad, labelled: (bad + 5) / (labelled + 10)
+    assert found["suffix"] == {"a.com": (rate(10, 60), 60 / n), "b.de": (rate(20, 20), 20 / n), "c.net": (0.5, 79 / n), "": (0.5, 1 / n)}
+    assert found["segment"] == {"x": (rate(10, 60), 60 / n), "y": (0.5, 79 / n), "": (rate(20, 20), 21 / n)}
+    pages = df.select(F.monotonically_increasing_id().alias("page_id"), "url")
+    assert url_filter.judge(pages, model, url_filter.RULES).count() == n
+
+
 def test_entry_registers_everything(spark, tiny):
     import __spark_entry__ as entry
 
