@@ -7,6 +7,9 @@ tokens and come from distinct pages are repeated substrings. Those that enough o
 host's pages share are boilerplate and are cut out; what is left in the best zone are the
 unique runs.
 
+Pages of a host with the same text count once, so copies do not make each other boilerplate;
+nor is a page cut of which next to nothing would stay, such as a near copy.
+
 A host's pages are dealt to blocks of bounded size. A substring that a share of all pages of a
 host have is on at least that share of the pages of some block, so the suffix arrays of the
 blocks find all candidates; these are then counted exactly over all blocks.
@@ -25,18 +28,23 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ledgerlens.llm.common import lower_ascii, staged, whole
+from ledgerlens.llm.common import bounded, lower_ascii, staged, whole
 
-MIN_TOKENS = 5
-#: Least share of a host's pages, and least pages, for a repeated substring to be boilerplate:
+MIN_TOKENS = 6
+#: Least share of a host's distinct pages, and least of these, for a repeated substring to be boilerplate:
 #: outside of a page's marked article, and within it, where a passage that many articles
 #: quote must stay.
-SHARE, PAGES = 0.25, 3
+SHARE, PAGES = 0.25, 4
 ARTICLE_SHARE, ARTICLE_PAGES = 0.9, 50
-#: Characters of html in a block of pages.
-BLOCK_CHARS = 1_500_000
+#: Least share of its tokens that a page must keep for a cut; below, it is a copy of others.
+KEPT = 0.1
+#: Characters of html in a block of pages, and what a page counts besides.
+BLOCK_CHARS, PAGE_CHARS = 1_500_000, 200
+#: Repeated texts up to which they are broadcast to the pages, about 150 MB.
+BROADCAST_TEXTS = 1_000_000
 
 CHROME, PLAIN, MAIN, ARTICLE = range(4)
+_SLACK = 1e-6  # of sums of weights
 
 #: Element names by what they mean for the text.
 SKIPPED = frozenset("script style noscript template svg iframe object textarea select button option head title math canvas audio video".split())
@@ -216,9 +224,10 @@ def _grams(hashed: np.ndarray, length: int) -> np.ndarray:
     return out
 
 
-def repeated(pages: list[list[str]], share: float) -> np.ndarray:
-    """Hashes of the substrings of ``MIN_TOKENS`` tokens that at least this share of the pages
-    have, by the suffix array of their concatenation."""
+def repeated(pages: list[list[str]], share: float, weights: np.ndarray | None = None) -> np.ndarray:
+    """Hashes of the substrings of ``MIN_TOKENS`` tokens that at least this share of the pages,
+    or of their weights, have, by the suffix array of their concatenation."""
+    weights = np.ones(len(pages)) if weights is None else weights
     ids, hashed, owner = _stream(pages)
     if len(ids) < MIN_TOKENS:
         return np.zeros(0, dtype=np.uint64)
@@ -230,12 +239,12 @@ def repeated(pages: list[list[str]], share: float) -> np.ndarray:
     begins[1:] = sorted_ranks[1:] != sorted_ranks[:-1]
     fresh = begins.copy()
     fresh[1:] |= pages_in_order[1:] != pages_in_order[:-1]
-    counts = np.add.reduceat(fresh.astype(np.int64), np.flatnonzero(begins))
+    counts = np.add.reduceat(np.where(fresh, weights[pages_in_order], 0.0), np.flatnonzero(begins))
     at = order[np.flatnonzero(begins)]
     # No page's end may be inside.
     last = np.flatnonzero(np.append(owner[1:] != owner[:-1], True))
     ends = last[owner]
-    at = at[(counts >= share * len(pages)) & (at + MIN_TOKENS <= ends[at])]
+    at = at[(counts >= share * weights.sum() - _SLACK) & (at + MIN_TOKENS <= ends[at])]
     return _grams(hashed, MIN_TOKENS)[at]
 
 
@@ -269,17 +278,18 @@ def unique_runs(texts: list[str], boilerplate: np.ndarray) -> list[str]:
 
 def _by_zone(frame: pd.DataFrame) -> Iterator[tuple[bool, list[int], list[list[str]]]]:
     """Positions and blocks of pages without and with a marked article."""
-    found = [candidates(p) for p in frame["html"]]
+    marks = frame["article"].to_numpy(dtype=bool)
     for marked in (False, True):
-        at = [i for i, (zone, _) in enumerate(found) if (zone > PLAIN) == marked]
-        yield marked, at, [found[i][1] for i in at]
+        at = np.flatnonzero(marks == marked).tolist()
+        bodies = [frame["body"].iloc[i] for i in at]
+        yield marked, at, [body.split("\n") if body else [] for body in bodies]
 
 
 def _share(marked: bool) -> float:
     return ARTICLE_SHARE if marked else SHARE
 
 
-_FOUND = "host string, blocks int, marked boolean, gram long, n long"
+_FOUND = "host string, blocks int, marked boolean, gram long, n double"
 
 
 def _rows(frame: pd.DataFrame, marked: bool, grams: np.ndarray, n) -> pd.DataFrame:
@@ -287,7 +297,7 @@ def _rows(frame: pd.DataFrame, marked: bool, grams: np.ndarray, n) -> pd.DataFra
     return pd.DataFrame({**key, "gram": grams.view(np.int64), "n": n}, index=range(len(grams)))
 
 
-_KINDS = {"host": object, "blocks": "int64", "marked": bool, "gram": "int64", "n": "int64"}
+_KINDS = {"host": object, "blocks": "int64", "marked": bool, "gram": "int64", "n": "float64"}
 
 
 def _table(parts: list[pd.DataFrame]) -> pd.DataFrame:
@@ -299,24 +309,25 @@ def _candidates(frame: pd.DataFrame) -> pd.DataFrame:
     """Substrings that are frequent among the pages of one block."""
     out = []
     for marked, at, texts in _by_zone(frame):
+        weights = frame["weight"].to_numpy(dtype=float)[at]
         # A host's only block with too few pages has none; one of several blocks may.
-        if at and (frame["blocks"].iloc[0] > 1 or len(at) >= (ARTICLE_PAGES if marked else PAGES)):
-            grams = np.unique(repeated(texts, _share(marked)))
+        if at and (frame["blocks"].iloc[0] > 1 or weights.sum() >= (ARTICLE_PAGES if marked else PAGES) - _SLACK):
+            grams = np.unique(repeated(texts, _share(marked), weights))
             out.append(_rows(frame, marked, grams, 0))
     return _table(out)
 
 
 def _counted(frame: pd.DataFrame, wanted: pd.DataFrame) -> pd.DataFrame:
-    """In how many pages of one block each wanted substring is; with gram -1, how many pages there
-    are."""
+    """The weight of the pages of one block that have each wanted substring; with gram -1, of
+    all its pages."""
     out = []
     for marked, at, texts in _by_zone(frame) if len(frame) and len(wanted) else ():
         grams = np.unique(wanted.loc[wanted["marked"] == marked, "gram"].to_numpy(dtype=np.int64)).view(np.uint64)
         if at and len(grams):
-            total = np.zeros(len(grams), dtype=np.int64)
-            for page in texts:
-                total += np.isin(grams, _grams(_stream([page])[1], MIN_TOKENS))
-            out += [_rows(frame, marked, grams, total), _rows(frame, marked, np.array([_ALL], dtype=np.int64), len(at))]
+            weights, total = frame["weight"].to_numpy(dtype=float)[at], np.zeros(len(grams))
+            for page, weight in zip(texts, weights.tolist(), strict=True):
+                total += weight * np.isin(grams, _grams(_stream([page])[1], MIN_TOKENS))
+            out += [_rows(frame, marked, grams, total), _rows(frame, marked, np.array([_ALL], dtype=np.int64), weights.sum())]
     return _table(out)
 
 
@@ -330,7 +341,9 @@ def _extracted(frame: pd.DataFrame, boilerplate: pd.DataFrame) -> pd.DataFrame:
     for marked, at, found in _by_zone(frame):
         grams = boilerplate.loc[boilerplate["marked"] == marked, "gram"].to_numpy(dtype=np.int64).view(np.uint64)
         for i, page in zip(at, found, strict=True):
-            texts[i] = "\n".join(unique_runs(page, grams))
+            left = unique_runs(page, grams)
+            size = lambda texts: sum(t.count(" ") + 1 for t in texts)
+            texts[i] = "\n".join(left if size(left) >= KEPT * size(page) else page)
     return pd.DataFrame({"page_id": frame["page_id"].astype(object), "url": frame["url"].astype(object), "text": pd.Series(texts, dtype=object, index=frame.index)})
 
 
@@ -339,32 +352,51 @@ def host_of(url: Column) -> Column:
     return F.coalesce(lower_ascii(F.regexp_extract(url, r"://([^/?#]*)", 1)), F.lit(""))
 
 
+def _parsed(page: Column) -> Column:
+    """Struct of article, whether the page marks one, and body, its blocks by line."""
+
+    @F.pandas_udf("article boolean, body string")
+    def parsed(pages: pd.Series) -> pd.DataFrame:
+        found = [candidates(p) for p in pages]
+        return pd.DataFrame({"article": [zone > PLAIN for zone, _ in found], "body": pd.Series(["\n".join(texts) for _, texts in found], dtype=object)})
+
+    return parsed(page)
+
+
 def extract(pages: DataFrame, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """page_id, url, text of every row of ``pages`` (page_id, url, html).
 
     Null or empty html gives an empty text, a null url belongs to the host without a name;
-    repeated rows stay repeated and count as pages; other columns are not read.
+    repeated rows stay repeated and count as one page; other columns are not read.
     """
-    own = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html", host_of(F.col("url")).alias("host"))
-    chars = F.sum(F.coalesce(F.length("html"), F.lit(0)).cast("long"))
+    # The number of a row deals out repeated rows; a scan's is the same in every retry.
+    own = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html", host_of(F.col("url")).alias("host"), F.monotonically_increasing_id().alias("row"))
+    empty = pages.where(F.col("html").isNull() | (F.col("html") == "")).select(F.col("page_id").cast("long").alias("page_id"), "url", F.lit("").alias("text"))
+    own = own.where(F.col("html") != "")
     # Hosts of more than one block, stored: their size is known when the join is planned, and
     # the pages need not be shuffled for it where it is small.
-    large = own.groupBy("host").agg(F.ceil(chars / block_chars).cast("int").alias("n")).where("n > 1")
+    large = own.groupBy("host").agg(F.ceil(F.sum(F.length("html") + F.lit(PAGE_CHARS).cast("long")) / block_chars).cast("int").alias("n")).where("n > 1")
     large = staged(large.select(F.col("host").alias("large_host"), "n"), "large")
+    own = own.withColumn("p", _parsed(F.col("html"))).select("page_id", "url", "host", "row", "p.article", "p.body", F.md5("p.body").alias("digest"))
+    # Each of n copies weighs 1 / n, so a text counts once wherever its copies are dealt to.
+    repeats = own.groupBy("host", "article", "digest").agg(F.count("*").alias("copies")).where("copies > 1")
+    repeats = staged(repeats.toDF("of_host", "of_article", "of_digest", "copies"), "repeats")
+    same = (F.col("host") == F.col("of_host")) & (F.col("article") == F.col("of_article")) & (F.col("digest") == F.col("of_digest"))
+    own = own.join(bounded(repeats, BROADCAST_TEXTS), same, "left").withColumn("weight", F.lit(1.0) / F.coalesce("copies", F.lit(1)))
     sized = own.join(large, F.col("host") == F.col("large_host"), "left").withColumn("blocks", F.coalesce("n", F.lit(1)))
     at = ("host", "blocks", "block")
     blocked = sized.select(
-        "page_id", "url", "html", "host", "blocks", F.pmod(F.xxhash64("page_id", "url", "html"), F.col("blocks")).cast("int").alias("block")
+        "page_id", "url", "article", "body", "weight", "host", "blocks", F.pmod(F.xxhash64("row"), F.col("blocks")).cast("int").alias("block")
     ).groupBy(*at)
 
     def each_block(grams: DataFrame) -> DataFrame:
         """Substrings of a host, sent to each of its blocks."""
         return grams.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).groupBy(*at)
 
-    # All three passes over the pages are one plan and read the same shuffled blocks.
+    # All three passes over the texts are one plan and read the same shuffled blocks.
     some = blocked.applyInPandas(_candidates, _FOUND).select("host", "blocks", "marked", "gram").distinct()
     counted = blocked.cogroup(each_block(some)).applyInPandas(_counted, _FOUND)
-    summed = counted.groupBy("host", "blocks", "marked", "gram").agg(F.sum("n").alias("n"))
+    summed = counted.groupBy("host", "blocks", "marked", "gram").agg(F.round(F.sum("n")).alias("n"))
     # At most a block's frequent substrings for each of a host's blocks.
     of_host = Window.partitionBy("host", "blocks", "marked")
     share = F.when(F.col("marked"), F.lit(ARTICLE_SHARE)).otherwise(SHARE)
@@ -373,4 +405,5 @@ def extract(pages: DataFrame, block_chars: int = BLOCK_CHARS) -> DataFrame:
     boilerplate = summed.withColumn("pages", pages_of).where(
         (F.col("gram") != _ALL) & (F.col("n") >= least) & (F.col("n") >= share * F.col("pages"))
     )
-    return blocked.cogroup(each_block(boilerplate.select("host", "blocks", "marked", "gram"))).applyInPandas(_extracted, _TEXT)
+    cut = blocked.cogroup(each_block(boilerplate.select("host", "blocks", "marked", "gram"))).applyInPandas(_extracted, _TEXT)
+    return cut.unionByName(empty)

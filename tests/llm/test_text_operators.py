@@ -197,3 +197,20 @@ def test_extract_cuts_what_a_host_repeats(spark):
         assert got[3] == "text number 3 says 21 things 9 of its own"
         assert got[100] == "" and got[101] == "" and got[102] == shared
     assert page_text.extract(df.limit(0)).count() == 0
+
+
+def test_copies_of_a_page_stay_whole(spark):
+    story = " ".join(f"story{i}" for i in range(60))
+    article = "<article><p>" + " ".join(f"news{i}" for i in range(40)) + "</p></article>"
+    notice = "this notice stands on all pages of the host here"
+    rows = [(i, "http://a.org/", f"<p>{story}</p>") for i in range(3)]  # copies
+    rows += [(10 + i, "http://b.org/", f"<p>{story.replace('story30', f'new{i}')}</p>") for i in range(6)]  # near copies
+    rows += [(100 + i, "http://c.org/", article) for i in range(57)] + [(160 + i, "http://c.org/", f"<article><p>own text {i}</p></article>") for i in range(3)]
+    rows += [(200 + i, "http://d.org/", f"<p>{notice}</p><p>{' '.join(f'p{i}w{k}' for k in range(20))}</p>") for i in range(12)]
+    rows += [(300 + i, "http://e.org/", f"<p>a{i} b{i} five words that were quoted c{i} d{i}</p>") for i in range(8)]
+    rows += [(400 + i, "http://f.org/", "") for i in range(300)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    plain = {i: "\n".join(page_text.candidates(h)[1]) for i, _, h in rows}
+    for block_chars in (1_000_000, 2_000):
+        got = {r["page_id"]: r["text"] for r in page_text.extract(df, block_chars).collect()}
+        assert got == {i: t.removeprefix(notice).strip() for i, t in plain.items()}
