@@ -130,8 +130,8 @@ def fit(documents: list[tuple[Counter[str], int]], steps: int = 600, rate: float
 def _word_counts(text: str) -> Column:
     @F.pandas_udf("map<string,int>")
     def counted(texts: pd.Series) -> pd.Series:
-        # The fit's sample only: its most frequent words bound what reaches the driver.
-        return pd.Series([dict(Counter(words(t)).most_common(2_000)) for t in texts], dtype=object)
+        # The fit's sample only; the driver needs which words there are, not how often.
+        return pd.Series([dict.fromkeys(words(t), 1) for t in texts], dtype=object)
 
     return counted(text)
 

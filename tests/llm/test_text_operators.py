@@ -152,6 +152,14 @@ def test_toxicity_learns_and_orders_grades(spark, documents):
     assert len(odd) == 3 and not any(r["toxic"] for r in odd)
 
 
+def test_toxicity_reads_long_documents_to_their_end(spark, documents):
+    long = " ".join(f"filler{k}" for k in range(3_000))
+    texts = {i: f"{long} scum" if i % 2 else long for i in range(120)}
+    labels = spark.createDataFrame([(i, i % 2) for i in texts], "doc_id long, toxic int")
+    model = toxicity.train(documents(texts), labels)
+    assert model.severity("scum") > model.severity("filler1")
+
+
 PAGE = """<html><head><title>T</title><script>var a="</p>";</script></head><body><header class="site">Top</header>
 <nav><ul><li>Home</li></ul></nav><article><h1>A &amp; B</h1><p>One<br>two  three.</p><div class="ad">Buy</div>
 <p><b>Four<p>Five</p><aside>Also</aside><section class="comments"><p>Nice!</p></section></article><footer>&copy; x</footer>"""
