@@ -41,8 +41,9 @@ class Bins:
         src = 1 << source if source >= 0 else 0
         clu = 1 << cluster if cluster >= 0 else 0
         at = (size, -1)
-        # For a part equal to the last one, the bins passed over then still conflict.
-        if self._last and self._last[0] == (size, source, cluster):
+        # For a part equal to the last one, the bins passed over then still conflict, and so
+        # does the last one's own, unless nothing conflicts with it.
+        if (src or clu) and self._last and self._last[0] == (size, source, cluster):
             at = max(at, self._last[1])
         i = bisect.bisect_left(self.order, at)
         while i < len(self.order):

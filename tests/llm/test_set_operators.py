@@ -218,6 +218,11 @@ def test_bins_equal_brute_force(parts):
     assert [bins.place(*p) for p in parts] == brute_best_fit(parts, 10)
 
 
+def test_equal_parts_without_conflicts_share_a_bin():
+    bins = packing.Bins(10)
+    assert [bins.place(1, -1, -1) for _ in range(11)] == [0] * 10 + [1]
+
+
 def test_packing_keeps_everything_and_every_rule(spark, tiny, documents):
     packed = op9_best_fit(spark, TINY).collect()
     docs = {r["doc_id"]: r for r in tiny("documents").collect()}
