@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerlens.llm import (
-    decontamination, knn, line_quality, packing, page_text, personal_data, simhash, token_counts, toxicity, url_filter,
+    conversations, decontamination, knn, line_quality, packing, page_text, personal_data, simhash, token_counts, toxicity, url_filter,
 )
 from ledgerlens.llm.common import held_out, table
 
@@ -103,6 +103,11 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.filter_urls(table(spark, sf_dir, "pages"))
 
 
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Faults and cheapest repair of every conversation, after planted damage."""
+    return conversations.summarize(conversations.damaged(table(spark, sf_dir, "conversations")))
+
+
 def queries() -> dict[str, Query]:
     """By name, in the order of the operators."""
     return {
@@ -110,5 +115,6 @@ def queries() -> dict[str, Query]:
         for f in (
             op1_page_text, op2_voronoi_top_k, op3_token_counts, op4_line_quality, op5_simhash,
             op6_decontamination, op7_personal_data, op8_toxicity, op9_best_fit, op10_url_filter,
+            op13_conversation_repair,
         )
     }
