@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerlens.llm import (
-    conversations, decontamination, knn, line_quality, packing, page_text, personal_data, simhash, token_counts, toxicity, url_filter,
+    conversations, decontamination, knn, line_quality, packing, page_text, personal_data, resampling, simhash, token_counts, toxicity,
+    url_filter,
 )
 from ledgerlens.llm.common import held_out, table
 
@@ -103,6 +104,12 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.filter_urls(table(spark, sf_dir, "pages"))
 
 
+def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Weight of every document towards the benchmark, and the documents drawn."""
+    found = resampling.resampled(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "n_features", "weight", "score", "rank")
+
+
 def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Faults and cheapest repair of every conversation, after planted damage."""
     return conversations.summarize(conversations.damaged(table(spark, sf_dir, "conversations")))
@@ -115,6 +122,6 @@ def queries() -> dict[str, Query]:
         for f in (
             op1_page_text, op2_voronoi_top_k, op3_token_counts, op4_line_quality, op5_simhash,
             op6_decontamination, op7_personal_data, op8_toxicity, op9_best_fit, op10_url_filter,
-            op13_conversation_repair,
+            op12_importance_resampling, op13_conversation_repair,
         )
     }
