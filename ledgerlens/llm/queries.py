@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerlens.llm import (
-    conversations, decontamination, knn, line_quality, packing, page_text, personal_data, resampling, simhash, token_counts, toxicity,
+    conversations, decontamination, knn, line_quality, mixing, packing, page_text, personal_data, resampling, simhash, token_counts, toxicity,
     url_filter,
 )
 from ledgerlens.llm.common import held_out, table
@@ -104,6 +104,16 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.filter_urls(table(spark, sf_dir, "pages"))
 
 
+def mixed(docs: DataFrame, **settings) -> mixing.Mix:
+    """``docs`` mixed by source; the text tells rows of one key apart."""
+    return mixing.mix(docs, word_count(F.col("text")), F.col("source"), F.xxhash64("text"), **settings)
+
+
+def op11_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of every document in a mix of all sources."""
+    return mixed(table(spark, sf_dir, "documents")).taken().select("doc_id", "size", "source_size", "target", "taken")
+
+
 def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Weight of every document towards the benchmark, and the documents drawn."""
     found = resampling.resampled(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
@@ -122,6 +132,6 @@ def queries() -> dict[str, Query]:
         for f in (
             op1_page_text, op2_voronoi_top_k, op3_token_counts, op4_line_quality, op5_simhash,
             op6_decontamination, op7_personal_data, op8_toxicity, op9_best_fit, op10_url_filter,
-            op12_importance_resampling, op13_conversation_repair,
+            op11_source_mix, op12_importance_resampling, op13_conversation_repair,
         )
     }
