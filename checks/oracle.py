@@ -12,6 +12,11 @@ def _rounded(expression: str, places: int = 2) -> str:
     return f"CAST(ROUND(SUM(CAST({expression} AS DECIMAL(18,4))), {places}) AS DOUBLE)"
 
 
+def _large(amount: str) -> str:
+    """Sum of an amount times a billion and one, by the digits it is written with."""
+    return f"CAST(SUM(CAST(CAST({amount} * 1e9 + {amount} AS VARCHAR) AS DECIMAL(36,2))) AS DECIMAL(36,2))"
+
+
 def _fk(child: str, column: str, parent: str) -> str:
     key = {"customers": "customer_id", "products": "product_id", "invoices": "invoice_id"}.get(parent, "subscription_id")
     return f"""
@@ -248,6 +253,12 @@ BODIES = {
                {cents("ar_outstanding")} AS ar_outstanding,
                {cents("CASE WHEN renewal_probability < 0.60 THEN arr ELSE 0 END")} AS at_risk_arr
         FROM customer_finance_summary""",
+    "portfolio_exact": f"""
+        SELECT CAST((SELECT {_large("amount")} FROM invoices) AS VARCHAR) AS billed_revenue_6m,
+               CAST((SELECT {_large("amount")} FROM payments) AS VARCHAR) AS cash_collected_6m,
+               CAST((SELECT {_large("amount")} FROM invoices WHERE status <> 'Paid') AS VARCHAR) AS ar_outstanding,
+               CAST((SELECT {_large("t.arr")} FROM terms t JOIN renewal_forecasts f USING (customer_id)
+                     WHERE t.status = 'Active' AND renewal_probability < 0.60) AS VARCHAR) AS at_risk_arr""",
     "portfolio_counts": f"""
         SELECT COUNT(DISTINCT customer_id) AS active_customers, COUNT(*) AS active_subscriptions,
                {cents("arr")} AS total_arr FROM terms WHERE status = 'Active'""",

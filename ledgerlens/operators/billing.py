@@ -7,7 +7,7 @@ import datetime as dt
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerlens.functions.amounts import exact, exact_sum, monthly, number, units
+from ledgerlens.functions.amounts import exact, exact_sum, monthly, number
 from ledgerlens.functions.identifiers import cyclic
 from ledgerlens.functions.rules import PAID, ar_class
 
@@ -63,7 +63,7 @@ def match_payments(invoices: DataFrame, payments: DataFrame) -> DataFrame:
     """
     billed = invoices.select("invoice_id", "status", exact("amount").alias("billed"))
     paid = payments.groupBy("invoice_id").agg(
-        exact_sum(units("amount")).alias("paid"), F.count(F.lit(1)).alias("payments")
+        exact_sum("amount").alias("paid"), F.count(F.lit(1)).alias("payments")
     )
     is_paid = F.col("status").eqNullSafe(PAID)
     match = (

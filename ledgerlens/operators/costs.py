@@ -7,7 +7,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerlens.functions.amounts import change_pct, divide, exact, exact_sum, number, units
+from ledgerlens.functions.amounts import change_pct, divide, exact, exact_sum, number
 
 
 @dataclass(frozen=True)
@@ -82,10 +82,10 @@ def paired_periods(costs: DataFrame, usage: DataFrame, calendars_differ: bool =
     periods without a partner drop out either way.
     """
     cost = costs.groupBy("subscription_id", F.col("cost_month").alias("month")).agg(
-        exact_sum(units("total_cost")).alias("cost")
+        exact_sum("total_cost").alias("cost")
     )
     hours = usage.groupBy("subscription_id", F.col("usage_month").alias("month")).agg(
-        exact_sum(units("compute_hours")).alias("hours")
+        exact_sum("compute_hours").alias("hours")
     )
     by_month = Window.partitionBy("subscription_id").orderBy("month")
     if calendars_differ:

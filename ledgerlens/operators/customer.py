@@ -10,26 +10,26 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerlens.functions import rules
-from ledgerlens.functions.amounts import margin_pct, number, total, units
+from ledgerlens.functions.amounts import margin_pct, number, total
 
 COST_PARTS = ("compute_cost", "storage_cost", "support_cost")
 
 
 def billed_by_customer(invoices: DataFrame) -> DataFrame:
     return invoices.groupBy("customer_id").agg(
-        number(total(units("amount"))).alias("billed_revenue_6m"), F.count(F.lit(1)).alias("invoices")
+        number(total("amount")).alias("billed_revenue_6m"), F.count(F.lit(1)).alias("invoices")
     )
 
 
 def collected_by_customer(payments: DataFrame) -> DataFrame:
     return payments.groupBy("customer_id").agg(
-        number(total(units("amount"))).alias("cash_collected_6m"), F.count(F.lit(1)).alias("payments")
+        number(total("amount")).alias("cash_collected_6m"), F.count(F.lit(1)).alias("payments")
     )
 
 
 def ar_by_customer(invoices: DataFrame) -> DataFrame:
     """Outstanding and overdue receivables, in one pass over the invoices."""
-    status, amount = F.col("status"), units("amount")
+    status, amount = F.col("status"), F.col("amount")
     return invoices.groupBy("customer_id").agg(
         number(total(F.when(rules.outstanding(status), amount))).alias("ar_outstanding"),
         number(total(F.when(rules.overdue(status), amount))).alias("overdue_ar"),
@@ -38,8 +38,8 @@ def ar_by_customer(invoices: DataFrame) -> DataFrame:
 
 def cost_by_customer(costs: DataFrame) -> DataFrame:
     """Total cost and its components."""
-    parts = [number(total(units(c))).alias(c) for c in COST_PARTS]
-    return costs.groupBy("customer_id").agg(number(total(units("total_cost"))).alias("cost_6m"), *parts)
+    parts = [number(total(F.col(c))).alias(c) for c in COST_PARTS]
+    return costs.groupBy("customer_id").agg(number(total("total_cost")).alias("cost_6m"), *parts)
 
 
 def open_critical_cases(cases: DataFrame) -> DataFrame:
@@ -49,8 +49,8 @@ def open_critical_cases(cases: DataFrame) -> DataFrame:
 
 def gross_margin(invoices: DataFrame, costs: DataFrame) -> DataFrame:
     """Margin of each billed customer, unrounded; a customer without costs has 100."""
-    cost = costs.groupBy("customer_id").agg(total(units("total_cost")).alias("cost"))
-    billed = invoices.groupBy("customer_id").agg(total(units("amount")).alias("billed"))
+    cost = costs.groupBy("customer_id").agg(total("total_cost").alias("cost"))
+    billed = invoices.groupBy("customer_id").agg(total("amount").alias("billed"))
     cost_or_0 = F.coalesce("cost", F.lit(0).cast("decimal(30,2)"))
     return billed.join(cost, "customer_id", "left").select(
         "customer_id",

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerlens.functions import rules
-from ledgerlens.functions.amounts import number, total, units
+from ledgerlens.functions.amounts import number, total
 from ledgerlens.schema import Terms
 
 
@@ -21,7 +21,7 @@ def invoice_360(dfs: dict[str, DataFrame]) -> DataFrame:
     subscription = dfs["subscriptions"].select("subscription_id", "product_id", "contract_tier").join(product, "product_id", "left")
     customer = dfs["customers"].select("customer_id", "customer_name", "segment")
     paid = dfs["payments"].groupBy("invoice_id").agg(
-        number(total(units("amount"))).alias("paid_amount"), F.max("payment_date").alias("last_payment_date")
+        number(total("amount")).alias("paid_amount"), F.max("payment_date").alias("last_payment_date")
     )
     wide = dfs["invoices"].join(subscription, "subscription_id", "left").join(customer, "customer_id", "left")
     return wide.join(paid, "invoice_id", "left").select(

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerlens.functions import rules
-from ledgerlens.functions.amounts import number, total, units
+from ledgerlens.functions.amounts import number, total
 from ledgerlens.schema import (
     ENTITIES,
     ENTITY_OF_TABLE,
@@ -172,25 +172,20 @@ def table_rows(dfs: dict[str, DataFrame]) -> DataFrame:
     )
 
 
-def _side(df: DataFrame, side: str, amount) -> DataFrame:
-    return df.select(F.lit(side).alias("side"), amount.alias("amount"))
+def _reconcile(check: str, left: list[tuple[DataFrame, Column]], right: list[tuple[DataFrame, Column]]) -> DataFrame:
+    """Left total, right total and whether they are equal, in one grouping of all sides. Each
+    side keeps a column of its own, so that doubles and carried decimals do not mix."""
+    frames = [df.select(amount.alias(f"{side}{i}")) for side, given in (("l", left), ("r", right)) for i, (df, amount) in enumerate(given)]
+    sums = _stack(frames).agg(*[total(f.columns[0]).alias(f.columns[0]) for f in frames])
 
+    def side(name: str, given: list) -> Column:
+        return reduce(lambda a, b: a + b, [F.col(f"{name}{i}") for i in range(len(given))]).alias(name)
 
-def _reconcile(check: str, left: DataFrame, right: DataFrame) -> DataFrame:
-    """Left total, right total and whether they are equal, in one grouping of both sides."""
-    amount, side = F.col("amount"), F.col("side")
-    return (
-        left.unionByName(right)
-        .agg(
-            total(F.when(side == "left", amount)).alias("l"),
-            total(F.when(side == "right", amount)).alias("r"),
-        )
-        .select(
-            F.lit(check).alias("check_name"),
-            number(F.col("l")).alias("left_total"),
-            number(F.col("r")).alias("right_total"),
-            (F.col("l") == F.col("r")).alias("holds"),
-        )
+    return sums.select(side("l", left), side("r", right)).select(
+        F.lit(check).alias("check_name"),
+        number(F.col("l")).alias("left_total"),
+        number(F.col("r")).alias("right_total"),
+        (F.col("l") == F.col("r")).alias("holds"),
     )
 
 
@@ -198,8 +193,8 @@ def reconcile_billed(dfs: dict[str, DataFrame]) -> DataFrame:
     """Invoice total against the billed revenue of the summary."""
     return _reconcile(
         "billed",
-        _side(dfs["invoices"], "left", units("amount")),
-        _side(dfs["customer_finance_summary"], "right", units("billed_revenue_6m")),
+        [(dfs["invoices"], F.col("amount"))],
+        [(dfs["customer_finance_summary"], F.col("billed_revenue_6m"))],
     )
 
 
@@ -207,30 +202,27 @@ def reconcile_outstanding(dfs: dict[str, DataFrame]) -> DataFrame:
     """Unpaid invoices against the receivables of the summary."""
     unpaid = dfs["invoices"].filter(rules.outstanding(F.col("status")))
     return _reconcile(
-        "outstanding",
-        _side(unpaid, "left", units("amount")),
-        _side(dfs["customer_finance_summary"], "right", units("ar_outstanding")),
+        "outstanding", [(unpaid, F.col("amount"))], [(dfs["customer_finance_summary"], F.col("ar_outstanding"))]
     )
 
 
 def reconcile_cash(dfs: dict[str, DataFrame]) -> DataFrame:
     """Billed minus collected against outstanding."""
-    unpaid = dfs["invoices"].filter(rules.outstanding(F.col("status")))
-    billed = _side(dfs["invoices"], "left", units("amount"))
-    collected = _side(dfs["payments"], "left", -units("amount"))
-    return _reconcile("cash", billed.unionByName(collected), _side(unpaid, "right", units("amount")))
+    unpaid = F.when(rules.outstanding(F.col("status")), F.col("amount"))
+    billed, collected = (dfs["invoices"], F.col("amount")), (dfs["payments"], -F.col("amount"))
+    return _reconcile("cash", [billed, collected], [(dfs["invoices"], unpaid)])
 
 
 def reconcile_cash_by_customer(dfs: dict[str, DataFrame]) -> DataFrame:
     """The cash check per customer, which shows where a difference sits."""
-    amount = units("amount")
+    amount = F.col("amount")
     unpaid = F.when(rules.outstanding(F.col("status")), amount)
     billed = dfs["invoices"].select("customer_id", amount.alias("billed"), unpaid.alias("open"))
     paid = dfs["payments"].select("customer_id", amount.alias("paid"))
     sums = (
         _stack([billed, paid])
         .groupBy("customer_id")
-        .agg(total(F.col("billed")).alias("b"), total(F.col("paid")).alias("p"), total(F.col("open")).alias("o"))
+        .agg(total("billed").alias("b"), total("paid").alias("p"), total("open").alias("o"))
     )
     return sums.select(
         "customer_id",
@@ -243,15 +235,15 @@ def reconcile_cash_by_customer(dfs: dict[str, DataFrame]) -> DataFrame:
 
 def _ledger_rows(dfs: dict[str, DataFrame], table: str, terms: Terms) -> DataFrame:
     """One row per row of a table: which table, and the amounts the report adds up."""
-    unpaid = F.when(rules.outstanding(F.col("status")), units("amount"))
-    risky = F.when(rules.at_risk(F.col("renewal_probability"), terms), units("renewal_arr"))
+    unpaid = F.when(rules.outstanding(F.col("status")), F.col("amount"))
+    risky = F.when(rules.at_risk(F.col("renewal_probability"), terms), F.col("renewal_arr"))
     amounts = {
-        "invoices": [units("amount").alias("billed"), unpaid.alias("unpaid")],
-        "payments": [units("amount").alias("collected")],
+        "invoices": [F.col("amount").alias("billed"), unpaid.alias("unpaid")],
+        "payments": [F.col("amount").alias("collected")],
         "renewal_forecasts": [risky.alias("at_risk")],
         "customer_finance_summary": [
-            units("billed_revenue_6m").alias("summary_billed"),
-            units("ar_outstanding").alias("summary_unpaid"),
+            F.col("billed_revenue_6m").alias("summary_billed"),
+            F.col("ar_outstanding").alias("summary_unpaid"),
         ],
     }
     return dfs[table].select(F.lit(table).alias("table_name"), *amounts.get(table, []))

@@ -11,7 +11,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-from ledgerlens.functions.amounts import change_pct, divide, exact_sum, number, units
+from ledgerlens.functions.amounts import change_pct, divide, exact_sum, number
 
 
 def _by_month() -> WindowSpec:
@@ -54,7 +54,7 @@ def usage_metering(
     active = F.count_distinct(unit) if unit_bound is None else distinct_below(unit, unit_bound)
     return events.groupBy(subscription.alias("subscription_id"), period.alias("usage_month")).agg(
         active.alias("active_users"),
-        number(exact_sum(units(hours))).alias("compute_hours"),
+        number(exact_sum(hours)).alias("compute_hours"),
         F.count(F.lit(1)).alias("production_jobs"),
     )
 

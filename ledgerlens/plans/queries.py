@@ -12,7 +12,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerlens.functions.amounts import exact, number, total, units
+from ledgerlens.functions.amounts import exact, number, total
 from ledgerlens.functions.identifiers import period_key
 from ledgerlens.operators import billing, costs, customer, facts, ordering, quality, semantic, usage
 from ledgerlens.plans import questions, summary
@@ -41,12 +41,17 @@ def _summary(s: StarSource, wanted: Sequence[str] | None = None) -> DataFrame:
     return summary.customer_summary(s.tables(*FACTS), wanted)
 
 
+def _carried(s: StarSource, *wanted: str) -> DataFrame:
+    """The summary for what adds it up again: amounts as exact decimals."""
+    return summary.customer_summary(s.tables(*FACTS), wanted, carried=True)
+
+
 def _model(s: StarSource, wanted: Sequence[str] | None = MODEL_KEYS) -> dict[str, DataFrame]:
     return {**s.tables(), "customer_finance_summary": _summary(s, wanted)}
 
 
 def _array_total(amounts: Column) -> Column:
-    wide = "decimal(28,4)"
+    wide = "decimal(38,4)"
     return number(F.aggregate(amounts, F.lit(0).cast(wide), lambda a, x: (a + x).cast(wide)))
 
 
@@ -130,7 +135,7 @@ def ingest_broken_rows(s):
     i.select(damaged.alias("value")).write.text(path)
     checked = files.typed(files.read_csv(s.spark, path, "invoices", header=False), "invoices")
     wrong = F.concat_ws(",", files.BAD_COLUMNS)
-    return checked.groupBy(wrong.alias("wrong")).agg(F.count(F.lit(1)).alias("row_count"), number(total(units("amount"))).alias("amount"))
+    return checked.groupBy(wrong.alias("wrong")).agg(F.count(F.lit(1)).alias("row_count"), number(total("amount")).alias("amount"))
 
 
 @query
@@ -168,7 +173,7 @@ def stored_portfolio(s):
     return s.spark.sql(
         """
         SELECT renewal_category, count(*) AS customers,
-               CAST(sum(CAST(arr AS DECIMAL(18,2))) AS DOUBLE) AS arr
+               CAST(sum(CAST(arr AS DECIMAL(38,4))) AS DOUBLE) AS arr
         FROM customer_finance_summary GROUP BY renewal_category
         """
     )
@@ -225,7 +230,7 @@ def invoice_settlement(s):
 def invoice_ar_class(s):
     classed = billing.with_ar_class(s.invoices())
     return classed.groupBy("ar_class").agg(
-        F.count(F.lit(1)).alias("invoices"), number(total(units("amount"))).alias("amount")
+        F.count(F.lit(1)).alias("invoices"), number(total("amount")).alias("amount")
     )
 
 
@@ -245,7 +250,7 @@ def payments_from_invoices(s):
 @query
 def payment_method_mix(s):
     return s.payments().groupBy("payment_method").agg(
-        F.count(F.lit(1)).alias("payments"), number(total(units("amount"))).alias("amount")
+        F.count(F.lit(1)).alias("payments"), number(total("amount")).alias("amount")
     )
 
 
@@ -259,8 +264,8 @@ def invoice_payment_match(s):
     matched = billing.match_payments(s.invoices(), s.payments())
     return matched.groupBy("match").agg(
         F.count(F.lit(1)).alias("invoices"),
-        number(total(units("billed"))).alias("billed"),
-        number(total(units("paid"))).alias("paid"),
+        number(total("billed")).alias("billed"),
+        number(total("paid")).alias("paid"),
     )
 
 
@@ -369,10 +374,23 @@ def customer_finance_summary(s):
     return _summary(s)
 
 
+TOTALLED = ("billed_revenue_6m", "cash_collected_6m", "ar_outstanding", "arr", "renewal_probability")
+
+
 @query
 def portfolio_totals(s):
-    wanted = ("billed_revenue_6m", "cash_collected_6m", "ar_outstanding", "arr", "renewal_probability")
-    return summary.portfolio_totals(_summary(s, wanted), TERMS)
+    return summary.portfolio_totals(_carried(s, *TOTALLED), TERMS)
+
+
+@query
+def portfolio_exact(s):
+    """The four totals of a portfolio whose amounts have up to seventeen digits, as text: nothing
+    is lost between an invoice and the total."""
+    dfs = s.tables("customers:lean", "invoices", "payments", "renewal_forecasts", "subscriptions:lean")
+    for name, column in (("invoices", "amount"), ("payments", "amount"), ("subscriptions", "arr")):
+        dfs[name] = dfs[name].withColumn(column, F.col(column) * 1e9 + F.col(column))
+    found = summary.portfolio_amounts(summary.customer_summary(dfs, TOTALLED, carried=True), TERMS)
+    return found.select(*[F.col(c).cast("decimal(36,2)").cast("string").alias(c) for c in summary.PORTFOLIO])
 
 
 @query
@@ -508,13 +526,13 @@ def table_rows(s):
 @query
 def reconcile_billed(s):
     dfs = s.tables("customers:lean", "invoices")
-    return quality.reconcile_billed(summary.with_summary(dfs, ("billed_revenue_6m",)))
+    return quality.reconcile_billed(summary.with_summary(dfs, ("billed_revenue_6m",), carried=True))
 
 
 @query
 def reconcile_outstanding(s):
     dfs = s.tables("customers:lean", "invoices")
-    return quality.reconcile_outstanding(summary.with_summary(dfs, ("ar_outstanding",)))
+    return quality.reconcile_outstanding(summary.with_summary(dfs, ("ar_outstanding",), carried=True))
 
 
 @query
@@ -690,7 +708,7 @@ def traverse_group_by(s):
         {"Customer": ["segment"], "Invoice": ["amount", "status"]},
     )
     return walked.groupBy("Customer_segment", "Invoice_status").agg(
-        F.count(F.lit(1)).alias("invoices"), number(total(units("Invoice_amount"))).alias("amount")
+        F.count(F.lit(1)).alias("invoices"), number(total("Invoice_amount")).alias("amount")
     )
 
 
@@ -699,7 +717,7 @@ def customer_context(s):
     dfs = s.tables(*FACTS, "subscriptions")
     records = semantic.customer_context({**dfs, "customer_finance_summary": _summary(s)})
     return records.groupBy("customer_id", "section").agg(
-        F.count(F.lit(1)).alias("records"), number(total(units("measure"))).alias("measure"), F.min("key").alias("first_key")
+        F.count(F.lit(1)).alias("records"), number(total("measure")).alias("measure"), F.min("key").alias("first_key")
     )
 
 
@@ -755,7 +773,8 @@ def q_next_actions(s):
 
 @query
 def q_executive_briefing(s):
-    return questions.executive_briefing(_summary(s), TERMS)
+    wanted = ("arr", "ar_outstanding", "overdue_ar", "open_critical_cases", "billed_revenue_6m", "cost_6m", "renewal_probability")
+    return questions.executive_briefing(_carried(s, *wanted), TERMS)
 
 
 @query
@@ -779,7 +798,7 @@ def _rollup(s, by: str):
     wanted = (
         "customer_id", "arr", "billed_revenue_6m", "cost_6m", "ar_outstanding", "open_critical_cases",
     )
-    return questions.rollup_by(_summary(s, wanted), s.customers(), by)
+    return questions.rollup_by(_carried(s, *wanted), s.customers(), by)
 
 
 @query

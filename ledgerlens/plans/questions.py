@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerlens.functions import rules
-from ledgerlens.functions.amounts import divide, number, total, units
+from ledgerlens.functions.amounts import divide, number, total
 from ledgerlens.operators.costs import cost_trend
 from ledgerlens.operators.customer import COST_PARTS, cost_by_customer
 from ledgerlens.operators.facts import overdue_forecast
@@ -38,7 +38,7 @@ def renewal_bands(forecasts: DataFrame, terms: Terms) -> DataFrame:
     """Renewals and their ARR per band; renewals without a probability are a band of their own."""
     band = rules.renewal_band(F.col("renewal_probability"), terms)
     return forecasts.groupBy(band.alias("band")).agg(
-        F.count(F.lit(1)).alias("renewals"), number(total(units("renewal_arr"))).alias("renewal_arr")
+        F.count(F.lit(1)).alias("renewals"), number(total("renewal_arr")).alias("renewal_arr")
     )
 
 
@@ -183,15 +183,15 @@ def executive_briefing(summary: DataFrame, terms: Terms) -> DataFrame:
 
     The margin is that of the whole band, its revenue less its cost.
     """
-    billed, cost = total(units("billed_revenue_6m")), total(units("cost_6m"))
+    billed, cost = total("billed_revenue_6m"), total("cost_6m")
     band = rules.renewal_band(F.col("renewal_probability"), terms)
     return (
         summary.groupBy(band.alias("band"))
         .agg(
             F.count(F.lit(1)).alias("customers"),
-            number(total(units("arr"))).alias("arr"),
-            number(total(units("ar_outstanding"))).alias("ar_outstanding"),
-            number(total(units("overdue_ar"))).alias("overdue_ar"),
+            number(total("arr")).alias("arr"),
+            number(total("ar_outstanding")).alias("ar_outstanding"),
+            number(total("overdue_ar")).alias("overdue_ar"),
             F.sum("open_critical_cases").alias("open_critical_cases"),
             number(billed).alias("billed"),
             number(cost).alias("cost"),
@@ -232,10 +232,10 @@ def rollup_by(summary: DataFrame, customers: DataFrame, dimension: str) -> DataF
         .groupBy(dimension)
         .agg(
             F.count(F.lit(1)).alias("customers"),
-            number(total(units("arr"))).alias("arr"),
-            number(total(units("billed_revenue_6m"))).alias("billed_revenue_6m"),
-            number(total(units("cost_6m"))).alias("cost_6m"),
-            number(total(units("ar_outstanding"))).alias("ar_outstanding"),
+            number(total("arr")).alias("arr"),
+            number(total("billed_revenue_6m")).alias("billed_revenue_6m"),
+            number(total("cost_6m")).alias("cost_6m"),
+            number(total("ar_outstanding")).alias("ar_outstanding"),
             F.sum("open_critical_cases").alias("open_critical_cases"),
         )
     )

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerlens.functions import rules
-from ledgerlens.functions.amounts import change_pct, exact_sum, margin_pct, monthly, number, total, units
+from ledgerlens.functions.amounts import change_pct, exact_sum, margin_pct, monthly, number, total
 from ledgerlens.operators.customer import next_forecast
 from ledgerlens.operators.quality import assert_quality, quality_report
 from ledgerlens.operators.usage import adoption_by_customer
@@ -42,9 +42,9 @@ _FORECASTS = "renewal_forecasts"
 
 def _measure_rows(dfs: dict[str, DataFrame], table: str) -> DataFrame:
     """The rows of one fact table as (customer_id, measures)."""
-    amount, status, df = units("amount"), F.col("status"), dfs[table]
+    amount, status, df = F.col("amount"), F.col("status"), dfs[table]
     if table == "subscriptions":
-        return df.filter(status == "Active").select("customer_id", units("arr").alias("arr"))
+        return df.filter(status == "Active").select("customer_id", F.col("arr").alias("arr"))
     if table == "invoices":
         return df.select(
             "customer_id",
@@ -55,7 +55,7 @@ def _measure_rows(dfs: dict[str, DataFrame], table: str) -> DataFrame:
     if table == "payments":
         return df.select("customer_id", amount.alias("collected"))
     if table == "cloud_costs":
-        return df.select("customer_id", units("total_cost").alias("cost"))
+        return df.select("customer_id", F.col("total_cost").alias("cost"))
     if table == "support_cases":
         critical = rules.open_critical(status, F.col("severity"))
         return df.filter(critical).select("customer_id", F.lit(1).cast("bigint").alias("critical"))
@@ -83,9 +83,12 @@ def customer_measures(dfs: dict[str, DataFrame], tables: list[str]) -> DataFrame
     return stacked.groupBy("customer_id").agg(*measures)
 
 
-def customer_summary(dfs: dict[str, DataFrame], wanted: Sequence[str] | None = None) -> DataFrame:
+def customer_summary(dfs: dict[str, DataFrame], wanted: Sequence[str] | None = None, carried: bool = False) -> DataFrame:
     """One row per customer, nineteen columns or those ``wanted``.
 
+    Amounts come out as doubles, or, ``carried``, as the exact decimals they are: for
+    whatever adds them up again.
+
     Only the fact tables behind the wanted columns are read. ARR adds up active
     subscriptions. The forecast is the one that renews first. A customer without facts
     keeps its row: sums and counts 0, margin, trend and forecast columns null.
@@ -104,18 +107,21 @@ def customer_summary(dfs: dict[str, DataFrame], wanted: Sequence[str] | None = N
     def amount(measure: str) -> Column:
         return F.coalesce(measure, F.lit(0).cast("decimal(30,2)"))
 
+    def shown(value: Column) -> Column:
+        return value if carried else number(value)
+
     def trend() -> Column:
         return change_pct(F.col("first_adoption_rate"), F.col("latest_adoption_rate"))
 
     formulas = {
         "profile_id": lambda: F.concat(F.lit("FP-"), "customer_id"),
-        "arr": lambda: number(amount("arr")),
-        "mrr": lambda: number(monthly(amount("arr"))),
-        "billed_revenue_6m": lambda: number(amount("billed")),
-        "cash_collected_6m": lambda: number(amount("collected")),
-        "ar_outstanding": lambda: number(amount("outstanding")),
-        "overdue_ar": lambda: number(amount("overdue")),
-        "cost_6m": lambda: number(amount("cost")),
+        "arr": lambda: shown(amount("arr")),
+        "mrr": lambda: shown(monthly(amount("arr"))),
+        "billed_revenue_6m": lambda: shown(amount("billed")),
+        "cash_collected_6m": lambda: shown(amount("collected")),
+        "ar_outstanding": lambda: shown(amount("outstanding")),
+        "overdue_ar": lambda: shown(amount("overdue")),
+        "cost_6m": lambda: shown(amount("cost")),
         "gross_margin_pct": lambda: F.round(margin_pct(amount("billed"), amount("cost")), 2),
         "usage_trend_pct": lambda: F.round(trend(), 2),
         "open_critical_cases": lambda: F.coalesce("critical", F.lit(0)).cast("bigint"),
@@ -124,9 +130,9 @@ def customer_summary(dfs: dict[str, DataFrame], wanted: Sequence[str] | None = N
     return joined.select(*[formulas.get(c, lambda c=c: F.col(c))().alias(c) for c in chosen])
 
 
-def with_summary(dfs: dict[str, DataFrame], wanted: Sequence[str] | None = None) -> dict[str, DataFrame]:
+def with_summary(dfs: dict[str, DataFrame], wanted: Sequence[str] | None = None, carried: bool = False) -> dict[str, DataFrame]:
     """The table set completed by its summary."""
-    return {**dfs, "customer_finance_summary": customer_summary(dfs, wanted)}
+    return {**dfs, "customer_finance_summary": customer_summary(dfs, wanted, carried)}
 
 
 def load_with_summary(
@@ -153,20 +159,23 @@ def load_checked(
     return write_tables(stored, root, partition_by=partition_by)
 
 
+PORTFOLIO = ("billed_revenue_6m", "cash_collected_6m", "ar_outstanding", "at_risk_arr")
+
+
+def portfolio_amounts(summary: DataFrame, terms: Terms) -> DataFrame:
+    """The four totals as decimals, exact if the summary is a carried one."""
+    at_risk = F.when(rules.at_risk(F.col("renewal_probability"), terms), F.col("arr"))
+    return summary.agg(*[total(at_risk if c == "at_risk_arr" else c).alias(c) for c in PORTFOLIO])
+
+
 def portfolio_totals(summary: DataFrame, terms: Terms) -> DataFrame:
-    at_risk = F.when(rules.at_risk(F.col("renewal_probability"), terms), units("arr"))
-    return summary.agg(
-        number(total(units("billed_revenue_6m"))).alias("billed_revenue_6m"),
-        number(total(units("cash_collected_6m"))).alias("cash_collected_6m"),
-        number(total(units("ar_outstanding"))).alias("ar_outstanding"),
-        number(total(at_risk)).alias("at_risk_arr"),
-    )
+    return portfolio_amounts(summary, terms).select(*[number(F.col(c)).alias(c) for c in PORTFOLIO])
 
 
 def active_arr(subscriptions: DataFrame) -> DataFrame:
     """Recurring revenue of active subscriptions."""
     return subscriptions.filter(F.col("status") == "Active").agg(
-        number(total(units("arr"))).alias("active_arr"), F.count(F.lit(1)).alias("subscriptions")
+        number(total("arr")).alias("active_arr"), F.count(F.lit(1)).alias("subscriptions")
     )
 
 
@@ -178,7 +187,7 @@ def portfolio_counts(subscriptions: DataFrame) -> DataFrame:
     per_customer = (
         subscriptions.filter(F.col("status") == "Active")
         .groupBy("customer_id")
-        .agg(F.count(F.lit(1)).alias("n"), exact_sum(units("arr")).alias("arr"))
+        .agg(F.count(F.lit(1)).alias("n"), exact_sum("arr").alias("arr"))
     )
     return per_customer.agg(
         F.count("customer_id").alias("active_customers"),

@@ -13,7 +13,7 @@ from functools import wraps
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlens.functions.amounts import cents, divide, exact_sum, number, total, units
+from ledgerlens.functions.amounts import cents, divide, exact_sum, exact_unit_sum, number, total
 from ledgerlens.functions.identifiers import cyclic, period_key
 from ledgerlens.operators.billing import payments_from_invoices
 from ledgerlens.operators.usage import usage_metering
@@ -141,7 +141,7 @@ class StarSource:
         orders = self._orders_before_end().groupBy("o_custkey").agg(
             F.min("o_orderdate").cast("date").alias("start_date"),
             F.max("o_orderdate").alias("last_order"),
-            total(F.when(in_year, units("o_totalprice"))).alias("arr"),
+            total(F.when(in_year, F.col("o_totalprice"))).alias("arr"),
         )
         return orders.join(self.read("customer"), F.col("o_custkey") == F.col("c_custkey")).select(
             "o_custkey",
@@ -168,7 +168,7 @@ class StarSource:
         spend = (
             lines.join(orders, "o_orderkey")
             .groupBy("o_custkey", "l_partkey")
-            .agg(exact_sum(units("l_extendedprice")).alias("spend"))
+            .agg(exact_sum("l_extendedprice").alias("spend"))
         )
         best = F.max(F.struct("spend", (-F.col("l_partkey")).alias("tie"), "l_partkey")).alias("best")
         return spend.groupBy("o_custkey").agg(best).select(
@@ -304,9 +304,9 @@ class StarSource:
         price = _hundredths("l_extendedprice")
         wanted = self._orders_in_window().select(F.col("o_orderkey").alias("l_orderkey"))
         per_order = self.read("lineitem").join(wanted, "l_orderkey", "left_semi").groupBy("l_orderkey").agg(
-            exact_sum(price * _hundredths("l_discount")).alias("compute"),
-            exact_sum(price * _hundredths("l_tax")).alias("storage"),
-            exact_sum(_hundredths("l_quantity") * 100_000).alias("support"),
+            exact_unit_sum(price * _hundredths("l_discount")).alias("compute"),
+            exact_unit_sum(price * _hundredths("l_tax")).alias("storage"),
+            exact_unit_sum(_hundredths("l_quantity") * 100_000).alias("support"),
         )
         orders = self._orders_in_window().select(
             "o_orderkey", "o_custkey", F.trunc("o_orderdate", "month").alias("cost_month")
