@@ -94,8 +94,30 @@ def brute_tokens(word: bytes, costs: dict[bytes, int]) -> int:
 @given(st.lists(st.binary(min_size=0, max_size=8).map(lambda b: bytes(x % 3 + 97 for x in b)), max_size=30))
 def test_trie_counts_equal_a_plain_table(words):
     costs = {bytes(p): 1000 + 37 * i % 1900 for i, p in enumerate(itertools.chain.from_iterable(itertools.product(b"ab", repeat=k) for k in (1, 2, 3)))}
-    for trie in (token_counts.Trie(costs), token_counts.Trie(costs, max_nodes=12)):
-        assert [trie.count(w) for w in words] == [brute_tokens(w, costs) for w in words]
+    want = [brute_tokens(w, costs) for w in words]
+    for trie in (token_counts.Trie(costs), token_counts.Trie(costs, max_words=3)):
+        assert trie.solve(words) == [trie._alone(w) for w in words] == want
+        texts = [w.decode() for w in words]
+        for low in range(0, len(texts), 4):  # some known, some new, some moved up
+            got = trie.counts(set(texts[low : low + 4]))
+            assert [got[t] for t in texts[low : low + 4]] == want[low : low + 4]
+
+
+def test_words_of_any_length_split_alike():
+    costs = {b"ab": 900, b"abab": 1500, b"b" * 40: 2000, b"a": 1000, "\u6f22".encode(): 70}
+    words = [b"ab" * 200, b"b" * 300, b"a" * 257 + b"c", b"a" * 256, "\u6f22".encode() * 120, b"", b"c"]
+    assert token_counts.Trie(costs).solve(words) == [brute_tokens(w, costs) for w in words]
+    assert token_counts.Trie({}).solve([b"xyz", b""]) == [3, 0]
+
+
+def test_portions_do_not_change_counts():
+    costs = {w.encode(): 500 + i for i, w in enumerate(["the", " the", "cat", " c", "at", "s", ",", " "])}
+    pattern = regex.compile(token_counts.PATTERN)
+    texts = ["the cats, the cat" * 9, None, "", "x" * 50 + " the", "  the\n\n", "it's the cat's"]
+    plain = [sum(brute_tokens(w.encode(), costs) for w in pattern.findall(t or "")) for t in texts]
+    for chars in (8, 60, 10**6):
+        tokens, words = token_counts.count_texts(texts, token_counts.Trie(costs), pattern, chars)
+        assert tokens.tolist() == plain and words.tolist() == [len(pattern.findall(t or "")) for t in texts]
 
 
 def test_token_counts_of_documents(spark, documents):
@@ -106,6 +128,9 @@ def test_token_counts_of_documents(spark, documents):
     for i, text in enumerate(texts):
         words = regex.findall(token_counts.PATTERN, text or "")
         assert got[i] == (sum(brute_tokens(w.encode(), costs) for w in words), len(words))
+    odd = documents([(None, "Hello"), (1, "Hello"), (1, "Hello"), (None, None)], "n_words")
+    found = sorted((r["doc_id"] or 0, r["n_words"]) for r in token_counts.count_documents(odd, costs).collect())
+    assert found == [(0, 0), (0, 1), (1, 1), (1, 1)] and token_counts.count_documents(odd.limit(0), costs).count() == 0
 
 
 def brute_marginals(scores, pairs):
