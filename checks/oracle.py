@@ -167,13 +167,17 @@ BODIES = {
             ) GROUP BY wrong""",
     "load_audit": _COUNTS,
     "load_refused": f"SELECT table_name, row_count, TRUE AS refused FROM ({_COUNTS})",
+    "load_interrupted": f"SELECT table_name, row_count, TRUE AS interrupted FROM ({_COUNTS})",
     "load_check": f"""
-        SELECT table_name, row_count AS expected_rows, row_count AS found_rows, TRUE AS schema_ok, TRUE AS complete
+        SELECT table_name, row_count AS expected_rows, row_count AS found_rows, TRUE AS schema_ok, TRUE AS content_ok,
+               TRUE AS complete
         FROM ({_COUNTS})""",
     "stored_portfolio": f"""
         SELECT renewal_category, COUNT(*) AS customers, {cents("arr")} AS arr
         FROM customer_finance_summary GROUP BY renewal_category""",
-    "csv_round_trip": f"SELECT table_name, row_count, CAST(0 AS BIGINT) AS rejected FROM ({_COUNTS})",
+    "csv_round_trip": f"SELECT table_name, row_count, CAST(0 AS BIGINT) AS rejected, TRUE AS same FROM ({_COUNTS})",
+    "csv_round_trip_texts": """
+        SELECT 'customers' AS table_name, COUNT(*) AS row_count, CAST(0 AS BIGINT) AS rejected, TRUE AS same FROM customers""",
     # billing
     "billing_schedule": f"""
         SELECT subscription_id, customer_id, {monthly("arr")} AS amount, CAST(month AS DATE) AS invoice_date

@@ -9,6 +9,7 @@ from __future__ import annotations
 import datetime as dt
 from collections.abc import Callable, Sequence
 
+from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -19,6 +20,7 @@ from ledgerlens.plans import questions, summary
 from ledgerlens.schema import FOREIGN_KEYS, columns
 from ledgerlens.session import staging_path
 from ledgerlens.sources import files, tables
+from ledgerlens.sources.snapshots import Digest, digest_columns
 from ledgerlens.sources.star import EPOCH, PERIOD_DAYS, TERMS, StarSource
 
 Query = Callable[[StarSource], DataFrame]
@@ -157,6 +159,22 @@ def load_refused(s):
     return quality.table_rows(tables.read_tables(s.spark, root)).withColumn("refused", F.lit(refused))
 
 
+@query
+def load_interrupted(s):
+    """Rows of the stored tables after a load of fewer rows that broke off while it wrote costs:
+    the ten of the load before are there, none of the tables written since."""
+    good, root = s.tables(), staging_path(s.spark, "tables")
+    summary.load_with_summary(good, root)
+    fewer = {t: df.filter(F.xxhash64(df.columns[0]) % 2 == 0) for t, df in good.items()}
+    broken = F.when(F.col("cost_id").isNotNull(), F.raise_error(F.lit("the disk is full")).cast("string"))
+    try:
+        summary.load_with_summary({**fewer, "cloud_costs": good["cloud_costs"].withColumn("cost_id", broken)}, root)
+        interrupted = False
+    except PySparkException:
+        interrupted = True
+    return quality.table_rows(tables.read_tables(s.spark, root)).withColumn("interrupted", F.lit(interrupted))
+
+
 @query
 def load_check(s):
     root = staging_path(s.spark, "tables")
@@ -179,23 +197,33 @@ def stored_portfolio(s):
     )
 
 
-@query
-def csv_round_trip(s):
-    """Rows of each table exported as CSV, read back and typed; none may be rejected."""
-    dfs, root = _model(s, None), staging_path(s.spark, "csv")
-    files.export_tables(dfs, root)
-    frames = []
+def _round_trip(s: StarSource, dfs: dict[str, DataFrame]) -> DataFrame:
+    """Each table exported as CSV, read back and typed: rows, rejected ones, and whether the digest
+    of what was read is that of what was written."""
+    root = staging_path(s.spark, "csv")
+    written = files.export_tables(dfs, root)
+    rows = []
     for table in dfs:
         back = files.typed(files.read_csv(s.spark, f"{root}/{table}", table), table)
-        frames.append(
-            back.agg(
-                F.count(F.lit(1)).alias("row_count"), F.count_if(F.size(files.BAD_COLUMNS) > 0).alias("rejected")
-            ).select(F.lit(table).alias("table_name"), "row_count", "rejected")
-        )
-    out = frames[0]
-    for f in frames[1:]:
-        out = out.unionByName(f)
-    return out
+        good = back.drop(files.BAD_COLUMNS)
+        found = back.agg(*digest_columns(good, blank_is_null=True), F.count_if(F.size(files.BAD_COLUMNS) > 0).alias("rejected")).first().asDict()
+        rejected = found.pop("rejected")
+        rows.append((table, found["rows"], rejected, Digest(**found) == written[table]))
+    return s.spark.createDataFrame(rows, "table_name string, row_count bigint, rejected bigint, same boolean")
+
+
+@query
+def csv_round_trip(s):
+    """No table may lose anything as CSV."""
+    return _round_trip(s, _model(s, None))
+
+
+@query
+def csv_round_trip_texts(s):
+    """Names with line breaks, quotes, commas and white space come back as they were."""
+    last = F.substring("customer_id", -1, 1)
+    odd = F.when(last == "1", "line1\nline2").when(last == "2", 'say "so", twice').when(last == "3", "a\r\nb").when(last == "4", " \t,").otherwise("plain")
+    return _round_trip(s, {"customers": s.customers().withColumn("customer_name", F.concat("customer_name", odd))})
 
 
 # --- billing -----------------------------------------------------------------

@@ -14,9 +14,8 @@ from ledgerlens.operators.customer import next_forecast
 from ledgerlens.operators.quality import assert_quality, quality_report
 from ledgerlens.operators.usage import adoption_by_customer
 from ledgerlens.schema import Terms, columns
-from ledgerlens.session import staging_path
-from ledgerlens.sources.tables import read_tables, write_tables
-
+from ledgerlens.sources.snapshots import Load, begin
+from ledgerlens.sources.tables import audit_of, read_from, write_to
 
 # Where the measures behind each summary column come from.
 _SOURCES = {
@@ -135,28 +134,34 @@ def with_summary(dfs: dict[str, DataFrame], wanted: Sequence[str] | None = None,
     return {**dfs, "customer_finance_summary": customer_summary(dfs, wanted, carried)}
 
 
+def _written(dfs: dict[str, DataFrame], load: Load, partition_by: Mapping[str, str] | None) -> list[tuple[str, int]]:
+    """Write the base tables, then the summary worked out from the stored ones: the facts
+    are derived once, and the summary reads columnar files."""
+    rows = write_to(load, dfs, partition_by=partition_by)
+    return rows + write_to(load, {"customer_finance_summary": customer_summary(read_from(load, dfs))})
+
+
 def load_with_summary(
     dfs: dict[str, DataFrame], root: str, partition_by: Mapping[str, str] | None = None
 ) -> DataFrame:
-    """Store the base tables, then the summary worked out from the stored ones; the audit
-    of both. The facts are derived once, and the summary reads columnar files."""
-    audit = write_tables(dfs, root, partition_by=partition_by)
-    stored = read_tables(audit.sparkSession, root, tuple(dfs))
-    return audit.unionByName(write_tables({"customer_finance_summary": customer_summary(stored)}, root))
+    """Replace the tables below ``root`` as one, the summary with them; the audit of all."""
+    load = begin(next(iter(dfs.values())).sparkSession, root)
+    rows = _written(dfs, load, partition_by)
+    load.publish()
+    return audit_of(load.spark, rows)
 
 
 def load_checked(
     dfs: dict[str, DataFrame], root: str, terms: Terms, partition_by: Mapping[str, str] | None = None
 ) -> DataFrame:
-    """Like ``load_with_summary``, but all checks of the quality report must hold first: the
-    tables are stored in the shared folder and checked there, and only then those below
-    ``root`` are replaced. ``QualityError`` leaves these as they were."""
-    spark = next(iter(dfs.values())).sparkSession
-    trial = staging_path(spark, "trial")
-    load_with_summary(dfs, trial)
-    stored = read_tables(spark, trial)
-    assert_quality(quality_report(stored, terms))
-    return write_tables(stored, root, partition_by=partition_by)
+    """Like ``load_with_summary``, but all checks of the quality report must hold first: they run
+    on the tables as written, before these are published. ``QualityError`` leaves those
+    below ``root`` as they were."""
+    load = begin(next(iter(dfs.values())).sparkSession, root)
+    rows = _written(dfs, load, partition_by)
+    assert_quality(quality_report(read_from(load, (*dfs, "customer_finance_summary")), terms))
+    load.publish()
+    return audit_of(load.spark, rows)
 
 
 PORTFOLIO = ("billed_revenue_6m", "cash_collected_6m", "ar_outstanding", "at_risk_arr")

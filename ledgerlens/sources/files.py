@@ -5,35 +5,44 @@ from __future__ import annotations
 from collections.abc import Mapping
 from concurrent.futures import ThreadPoolExecutor
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ledgerlens.schema import ENTITY_OF_TABLE, SCHEMAS, columns
+from ledgerlens.sources import records
+from ledgerlens.sources.snapshots import Digest, digest_columns
 
 DATE_FORMAT = "yyyy-MM-dd"
 BAD_COLUMNS = "bad_columns"
-#: The text of a line that has too few or too many fields; it counts as a bad column.
+#: The text of a record that has too few or too many fields; it counts as a bad column.
 BROKEN = "broken_line"
 
 
+_FORMAT = {"nullValue": "", "escape": '"', "mode": "PERMISSIVE", "columnNameOfCorruptRecord": BROKEN}
+
+
 def read_csv(spark: SparkSession, path: str, table: str, header: bool = True) -> DataFrame:
-    """All columns as text, blank as null, and ``BROKEN``, the whole line where its fields are
+    """All columns as text, blank as null, and ``BROKEN``, the whole record where its fields are
     not as many as the table's columns. The registry gives the schema, so there is no
-    inference pass; a header in another order is an error, not shifted data. A record is one
-    line: a line break within a quoted field gives broken lines, which are rejected."""
+    inference pass; a header in another order is an error, not shifted data.
+
+    A record may go on over line breaks within a quoted field. Such files are still read in
+    splits (``records``); where no line has a quote at all, which one pass tells, every line
+    is a record and Spark's own reader does it.
+    """
     text = T.StructType([T.StructField(c, T.StringType()) for c in (*columns(table), BROKEN)])
-    return (
-        spark.read.schema(text)
-        .option("header", header)
-        .option("enforceSchema", not header)
-        .option("nullValue", "")
-        .option("escape", '"')
-        .option("mode", "PERMISSIVE")
-        .option("columnNameOfCorruptRecord", BROKEN)
-        .option("columnPruning", False)  # fields are counted only if all are parsed
-        .csv(path)
-    )
+    if not records.quoted(spark, path):
+        reader = spark.read.schema(text).options(header=header, enforceSchema=not header, **_FORMAT)
+        return reader.option("columnPruning", False).csv(path)  # fields are counted only if all are parsed
+    found = records.records(spark, path)
+    if header:
+        named = F.lower(F.regexp_replace("record", '[" ]', "")) == ",".join(columns(table))
+        wrong = F.raise_error(F.concat(F.lit("CSV header does not conform to the table: "), "record")).cast("boolean")
+        found = found.filter(F.when(F.col("head"), F.when(named, F.lit(False)).otherwise(wrong)).otherwise(F.lit(True)))
+    ddl = ", ".join(f"`{f.name}` STRING" for f in text)
+    fields = F.from_csv("record", ddl, {**_FORMAT, "multiLine": "true"})
+    return found.filter(F.trim("record") != "").select(fields.alias("r")).select("r.*")
 
 
 def _typed(name: str, kind: T.DataType, timestamps: bool) -> Column:
@@ -85,14 +94,13 @@ def rejected(raw: DataFrame, table: str) -> DataFrame:
     return raw.select(*kept, _bad_columns(raw, table, casts).alias(BAD_COLUMNS)).filter(F.size(BAD_COLUMNS) > 0)
 
 
-def export_csv(df: DataFrame, table: str, path: str) -> None:
+def export_csv(df: DataFrame, table: str, path: str) -> Digest:
     """CSV with header, columns in registry order, dates as ISO text, null as blank. White
-    space around a text stays; a line break in it becomes the two characters \\n, since a
-    record is one line."""
-    line_break = lambda c: F.regexp_replace(F.regexp_replace(c, "\r", "\\\\r"), "\n", "\\\\n")
-    texts = {f.name: line_break(F.col(f.name)).alias(f.name) for f in SCHEMAS[table] if isinstance(f.dataType, T.StringType)}
+    space around a text and line breaks in it stay; ``read_csv`` gives them back. The digest is
+    of what was written, blank as null."""
+    seen, chosen = Observation(), df.select(*columns(table))
     (
-        df.select(*[texts.get(c, F.col(c)) for c in columns(table)])
+        chosen.observe(seen, *digest_columns(chosen, blank_is_null=True))
         .write.mode("overwrite")
         .option("header", True)
         .option("dateFormat", DATE_FORMAT)
@@ -102,12 +110,13 @@ def export_csv(df: DataFrame, table: str, path: str) -> None:
         .option("ignoreTrailingWhiteSpace", False)
         .csv(path)
     )
+    return Digest(**seen.get)
 
 
-def export_tables(dfs: Mapping[str, DataFrame], root: str, parallel: int = 4) -> None:
-    """Every table as CSV below ``root``, a few at a time."""
+def export_tables(dfs: Mapping[str, DataFrame], root: str, parallel: int = 4) -> dict[str, Digest]:
+    """Every table as CSV below ``root``, a few at a time; their digests."""
     with ThreadPoolExecutor(parallel) as pool:
-        list(pool.map(lambda t: export_csv(dfs[t], t, f"{root.rstrip('/')}/{t}"), dfs))
+        return dict(zip(dfs, pool.map(lambda t: export_csv(dfs[t], t, f"{root.rstrip('/')}/{t}"), dfs), strict=True))
 
 
 def export_report(report: DataFrame, path: str) -> None:

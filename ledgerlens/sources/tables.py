@@ -1,15 +1,17 @@
-"""Managed tables: full-refresh load with an audit, post-load check, SQL views."""
+"""Managed tables: full-refresh load as one, with an audit, post-load check, SQL views."""
 
 from __future__ import annotations
 
 from collections.abc import Mapping
 from concurrent.futures import ThreadPoolExecutor
+from dataclasses import asdict
 
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerlens.operators.quality import schema_differences
 from ledgerlens.schema import SCHEMAS, columns
+from ledgerlens.sources.snapshots import Digest, Load, begin, digest, digest_columns, manifest, table_path
 
 _AUDIT = "table_name string, row_count bigint"
 
@@ -17,14 +19,9 @@ _AUDIT = "table_name string, row_count bigint"
 BY_MONTH = {"invoices": "invoice_date", "usage_monthly": "usage_month", "cloud_costs": "cost_month"}
 
 
-def table_path(root: str, table: str) -> str:
-    return f"{root.rstrip('/')}/{table}"
-
-
-def write_table(
-    df: DataFrame, path: str, fmt: str = "parquet", partition_by: str | None = None
-) -> int:
-    """Replace the table at ``path`` and return its rows, counted while they are written.
+def write_table(df: DataFrame, path: str, fmt: str = "parquet", partition_by: str | None = None) -> Digest:
+    """Replace the table at ``path`` and return the digest of its rows, taken while they are
+    written.
 
     For a partitioned table rows are first rebalanced by that column: without it every
     task would write a file per month, and with a plain repartition one task a whole
@@ -33,13 +30,36 @@ def write_table(
     seen = Observation()
     if partition_by:
         df = df.hint("rebalance", F.col(partition_by))
-    writer = df.observe(seen, F.count(F.lit(1)).alias("rows")).write.mode("overwrite").format(fmt)
+    writer = df.observe(seen, *digest_columns(df)).write.mode("overwrite").format(fmt)
     if fmt == "delta":
         writer = writer.option("overwriteSchema", "true")
     if partition_by:
         writer = writer.partitionBy(partition_by)
     writer.save(path)
-    return seen.get["rows"]
+    return Digest(**seen.get)
+
+
+def write_to(
+    load: Load, dfs: Mapping[str, DataFrame], fmt: str = "parquet", partition_by: Mapping[str, str] | None = None, parallel: int = 4
+) -> list[tuple[str, int]]:
+    """Write tables into a load that is not published yet; rows by table.
+
+    The tables do not depend on each other; a few are written at a time so that small ones
+    do not leave executors idle.
+    """
+    partition_by = partition_by or {}
+
+    def write(table: str) -> tuple[str, int]:
+        found = write_table(dfs[table], load.path(table), fmt, partition_by.get(table))
+        load.wrote(table, found)
+        return table, found.rows
+
+    with ThreadPoolExecutor(parallel) as pool:
+        return list(pool.map(write, dfs))
+
+
+def audit_of(spark: SparkSession, rows: list[tuple[str, int]]) -> DataFrame:
+    return spark.createDataFrame(rows, _AUDIT)
 
 
 def write_tables(
@@ -49,50 +69,55 @@ def write_tables(
     partition_by: Mapping[str, str] | None = None,
     parallel: int = 4,
 ) -> DataFrame:
-    """Replace all tables and return the audit, one (table_name, row_count) row each.
-
-    The loads do not depend on each other; a few run at a time so that small tables do
-    not leave executors idle.
-    """
-    partition_by = partition_by or {}
+    """Replace all tables at once and return the audit, one (table_name, row_count) row each.
+    If one cannot be written, none is replaced."""
     spark = next(iter(dfs.values())).sparkSession
-
-    def load(table: str) -> tuple[str, int]:
-        return table, write_table(dfs[table], table_path(root, table), fmt, partition_by.get(table))
-
-    with ThreadPoolExecutor(parallel) as pool:
-        audit = list(pool.map(load, dfs))
-    return spark.createDataFrame(audit, _AUDIT)
+    load = begin(spark, root)
+    rows = write_to(load, dfs, fmt, partition_by, parallel)
+    load.publish()
+    return audit_of(spark, rows)
 
 
-def read_table(spark: SparkSession, root: str, table: str, fmt: str = "parquet") -> DataFrame:
-    """A stored table. The column a table is partitioned by comes back last, and typed
-    by guess from the folder names; a complete table gets its declared shape again."""
-    stored = spark.read.format(fmt).load(table_path(root, table))
+def _as_declared(stored: DataFrame, table: str) -> DataFrame:
+    """The column a table is partitioned by comes back last, and typed by guess from the
+    folder names; a complete table gets its declared shape again."""
     if sorted(stored.columns) != sorted(columns(table)):
         return stored
     moved = stored.columns != columns(table)
     return stored.select(*[F.col(f.name).cast(f.dataType) for f in SCHEMAS[table]]) if moved else stored
 
 
-def read_tables(spark: SparkSession, root: str, tables=tuple(SCHEMAS), fmt: str = "parquet") -> dict[str, DataFrame]:
-    return {t: read_table(spark, root, t, fmt) for t in tables}
+def read_table(spark: SparkSession, root: str, table: str, fmt: str = "parquet", number: int | None = None) -> DataFrame:
+    """A stored table, of the newest load or of load ``number``."""
+    return _as_declared(spark.read.format(fmt).load(table_path(spark, root, table, number)), table)
 
 
-def check_load(audit: DataFrame, root: str, fmt: str = "parquet") -> DataFrame:
-    """Each audited table read back: rows expected and found, schema as declared, complete.
+def read_tables(spark: SparkSession, root: str, tables=tuple(SCHEMAS), fmt: str = "parquet", number: int | None = None) -> dict[str, DataFrame]:
+    """Tables of one load: the manifest is read once."""
+    entries = manifest(spark, root, number)
+    paths = {t: f"{root.rstrip('/')}/{entries.get(t, {'path': t})['path']}" for t in tables}
+    return {t: _as_declared(spark.read.format(fmt).load(path), t) for t, path in paths.items()}
+
+
+def read_from(load: Load, tables, fmt: str = "parquet") -> dict[str, DataFrame]:
+    """Tables of a load that is not published yet."""
+    return {t: _as_declared(load.spark.read.format(fmt).load(load.path(t)), t) for t in tables}
 
-    Parquet counts come from file footers. The audit has one row per table.
+
+def check_load(audit: DataFrame, root: str, fmt: str = "parquet") -> DataFrame:
+    """Each audited table read back: rows expected and found, schema as declared, content as it was
+    written (by its digest), complete if all hold. The audit has one row per table.
     """
     spark = audit.sparkSession
     expected = {r.table_name: r.row_count for r in audit.collect()}
+    stored, entries = read_tables(spark, root, tuple(expected), fmt), manifest(spark, root)
     rows = []
     for table, count in expected.items():
-        stored = read_table(spark, root, table, fmt)
-        found, same = stored.count(), not schema_differences(stored, table)
-        rows.append((table, count, found, same, same and found == count))
+        found, same = digest(stored[table]), not schema_differences(stored[table], table)
+        content = table in entries and asdict(found) == entries[table]["digest"]
+        rows.append((table, count, found.rows, same, content, same and content and found.rows == count))
     return spark.createDataFrame(
-        rows, "table_name string, expected_rows bigint, found_rows bigint, schema_ok boolean, complete boolean"
+        rows, "table_name string, expected_rows bigint, found_rows bigint, schema_ok boolean, content_ok boolean, complete boolean"
     )
 
 
