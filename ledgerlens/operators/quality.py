@@ -2,7 +2,7 @@
 
 Checks compare tables by stacking their keys or sums and grouping once, so one
 shuffle of pre-combined rows answers a whole family of checks and no join can
-fan out. Reports list every check, also those that found nothing.
+fan out. ``key_counts`` is that grouping for keys; several reports can share it. Reports list every check, also those that found nothing.
 """
 
 from __future__ import annotations
@@ -43,44 +43,96 @@ def fk_orphans(child: DataFrame, parent: DataFrame, key: ForeignKey) -> DataFram
     return child.join(keys, key.column, "left_anti")
 
 
-def fk_report(dfs: dict[str, DataFrame]) -> DataFrame:
-    """(child, column, parent, orphans) of all foreign keys.
+def unique_keys() -> list[tuple[str, tuple[str, ...]]]:
+    """All column sets that must be unique: entity keys, then monthly grains."""
+    return [(e.table, (e.key,)) for e in ENTITIES] + list(GRAINS.items())
+
+
+def _references() -> dict[str, list[tuple[str, str]]]:
+    """By table, the (child, column) that refer to its key: foreign keys, and source keys of
+    relationships, most of which are the same columns."""
+    table_of = {e.name: e.table for e in ENTITIES}
+    found: dict[str, list[tuple[str, str]]] = {}
+    for parent, child in [(k.parent, (k.child, k.column)) for k in FOREIGN_KEYS] + [(table_of[r.source], (r.binding, r.source_key)) for r in RELATIONSHIPS]:
+        if child not in found.setdefault(parent, []):
+            found[parent].append(child)
+    return found
+
+
+REFERENCES = _references()
+_ROLES = max(map(len, REFERENCES.values()))
+
+
+def key_columns() -> dict[str, list[str]]:
+    """The columns of each table that integrity is about: its key, references, grain."""
+    found = {e.table: [e.key] for e in ENTITIES}
+    for children in REFERENCES.values():
+        for child, column in children:
+            found[child].append(column)
+    for table, grain in GRAINS.items():
+        found[table] += grain
+    return {table: list(dict.fromkeys(names)) for table, names in found.items()}
+
 
-    Parent keys and references are stacked as (parent, key) rows and grouped once: a
-    group without a parent row holds orphans. Each child is scanned once for all its keys.
+def key_counts(dfs: dict[str, DataFrame], references: bool = True) -> DataFrame:
+    """One row per key that is there or referred to: (table_name, key_columns, key, copies, refs,
+    edges). ``refs`` counts the rows that refer to it and ``edges`` those of them that are edges,
+    each in the order of ``REFERENCES``.
+
+    Every table is read once: a row gives its own key, its grain and all it refers to, each
+    with what it is, and all of them are grouped once. Copies, orphans, degrees and
+    cardinalities are all read off this. Counts combine before the shuffle, so a hot key is a row a
+    task. Without ``references`` only the keys themselves are read and counted.
     """
-    parents = sorted({k.parent for k in FOREIGN_KEYS})
-    children = list(dict.fromkeys(k.child for k in FOREIGN_KEYS))
+    unique = unique_keys()
     frames = []
-    for parent in parents:
-        key = F.col(ENTITY_OF_TABLE[parent].key)
-        frames.append(
-            dfs[parent]
-            .filter(key.isNotNull())
-            .select(F.lit(parent).alias("parent"), key.alias("key"), F.lit(-1).alias("check"))
-        )
-    for child in children:
-        references = F.array(
-            *[
-                F.struct(F.lit(k.parent).alias("parent"), F.col(k.column).alias("key"), F.lit(i).alias("check"))
-                for i, k in enumerate(FOREIGN_KEYS)
-                if k.child == child
+    for table, df in dfs.items():
+        own = F.col(ENTITY_OF_TABLE[table].key)
+        facts = [
+            (i, F.to_json(F.struct(*key)) if len(key) > 1 else F.col(key[0]), 0, F.lit(False)) for i, (name, key) in enumerate(unique) if name == table
+        ]
+        for parent, children in REFERENCES.items() if references else ():
+            place = next(i for i, (name, _) in enumerate(unique) if name == parent)
+            facts += [
+                (place, F.col(column), role, F.col(column).isNotNull() & own.isNotNull())
+                for role, (child, column) in enumerate(children, 1)
+                if child == table
             ]
-        )
-        frames.append(dfs[child].select(F.explode(references).alias("r")).select("r.*"))
-    counts = [F.count_if(F.col("check") == i).alias(f"c{i}") for i in range(len(FOREIGN_KEYS))]
-    per_key = _stack(frames).groupBy("parent", "key").agg(F.count_if(F.col("check") == -1).alias("known"), *counts)
-    sums = per_key.filter("known = 0").agg(
-        *[F.coalesce(F.sum(f"c{i}"), F.lit(0)).alias(f"c{i}") for i in range(len(FOREIGN_KEYS))]
+        rows = [
+            F.struct(F.lit(i).alias("space"), key.alias("key"), F.lit(role).alias("role"), edge.alias("edge")) for i, key, role, edge in facts
+        ]
+        frames.append(df.select(F.explode(F.array(*rows)).alias("k")).select("k.*"))
+    role, edge = F.col("role"), F.col("edge")
+    roles = range(1, (_ROLES if references else 0) + 1)
+    counted = _stack(frames).groupBy("space", "key").agg(
+        F.count_if(role == 0).alias("copies"),
+        *[F.count_if(role == r).alias(f"r{r}") for r in roles],
+        *[F.count_if((role == r) & edge).alias(f"e{r}") for r in roles],
     )
+
+    def named(texts: list[str]) -> Column:
+        return F.element_at(F.array(*map(F.lit, texts)), F.col("space") + 1)
+
+    return counted.select(
+        named([t for t, _ in unique]).alias("table_name"), named([",".join(k) for _, k in unique]).alias("key_columns"), "key", "copies",
+        F.array(*[f"r{r}" for r in roles]).alias("refs"), F.array(*[f"e{r}" for r in roles]).alias("edges"),
+    )
+
+
+def fk_report(dfs: dict[str, DataFrame], counts: DataFrame | None = None) -> DataFrame:
+    """(child, column, parent, orphans) of all foreign keys: rows that refer to a key which no row
+    has, or to none. From ``counts``, the ``key_counts`` of the tables."""
+    counts = key_counts(dfs) if counts is None else counts
+    lost = F.col("key").isNull() | (F.col("copies") == 0)
+
+    def orphans(k: ForeignKey) -> Column:
+        there = (F.col("table_name") == k.parent) & ~F.col("key_columns").contains(",")
+        return F.coalesce(F.sum(F.when(there, F.col("refs")[REFERENCES[k.parent].index((k.child, k.column))])), F.lit(0))
+
+    sums = counts.filter(lost).agg(*[orphans(k).alias(f"c{i}") for i, k in enumerate(FOREIGN_KEYS)])
     rows = F.array(
         *[
-            F.struct(
-                F.lit(k.child).alias("child"),
-                F.lit(k.column).alias("column"),
-                F.lit(k.parent).alias("parent"),
-                F.col(f"c{i}").alias("orphans"),
-            )
+            F.struct(F.lit(k.child).alias("child"), F.lit(k.column).alias("column"), F.lit(k.parent).alias("parent"), F.col(f"c{i}").alias("orphans"))
             for i, k in enumerate(FOREIGN_KEYS)
         ]
     )
@@ -90,33 +142,17 @@ def fk_report(dfs: dict[str, DataFrame]) -> DataFrame:
 # --- uniqueness and cardinality ----------------------------------------------
 
 
-def unique_keys() -> list[tuple[str, tuple[str, ...]]]:
-    """All column sets that must be unique: entity keys, then monthly grains."""
-    return [(e.table, (e.key,)) for e in ENTITIES] + list(GRAINS.items())
-
-
-def _key_counts(dfs: dict[str, DataFrame]) -> DataFrame:
-    frames = [
-        dfs[table].select(
-            F.lit(table).alias("table_name"),
-            F.lit(",".join(key)).alias("key_columns"),
-            F.to_json(F.struct(*key)).alias("key") if len(key) > 1 else F.col(key[0]).alias("key"),
-        )
-        for table, key in unique_keys()
-        if table in dfs
-    ]
-    return _stack(frames).groupBy("table_name", "key_columns", "key").agg(F.count(F.lit(1)).alias("copies"))
-
-
-def duplicate_keys(dfs: dict[str, DataFrame]) -> DataFrame:
+def duplicate_keys(dfs: dict[str, DataFrame], counts: DataFrame | None = None) -> DataFrame:
     """Key values that occur more than once, with the number of rows."""
-    return _key_counts(dfs).filter("copies > 1")
+    counts = key_counts(dfs, references=False) if counts is None else counts
+    return counts.filter("copies > 1").select("table_name", "key_columns", "key", "copies")
 
 
-def key_report(dfs: dict[str, DataFrame]) -> DataFrame:
+def key_report(dfs: dict[str, DataFrame], counts: DataFrame | None = None) -> DataFrame:
     """Rows, distinct keys and repeated keys of every key."""
+    counts = key_counts(dfs, references=False) if counts is None else counts
     return (
-        _key_counts(dfs)
+        counts.filter("copies > 0")
         .groupBy("table_name", "key_columns")
         .agg(
             F.sum("copies").alias("row_count"),
@@ -126,31 +162,28 @@ def key_report(dfs: dict[str, DataFrame]) -> DataFrame:
     )
 
 
-def entity_degree(dfs: dict[str, DataFrame]) -> DataFrame:
+def entity_degree(dfs: dict[str, DataFrame], counts: DataFrame | None = None) -> DataFrame:
     """Edges of every entity instance per relationship it can be the source of, with zeros."""
-    frames = []
-    for r in RELATIONSHIPS:
-        source = next(e for e in ENTITIES if e.name == r.source)
-        name = F.lit(r.name).alias("relationship")
-        frames.append(dfs[source.table].select(name, F.col(source.key).alias("source_key"), F.lit(0).alias("edge")))
-        edges = dfs[r.binding].filter(F.col(r.source_key).isNotNull() & F.col(r.target_key).isNotNull())
-        frames.append(edges.select(name, F.col(r.source_key).alias("source_key"), F.lit(1).alias("edge")))
-    return (
-        _stack(frames)
-        .groupBy("relationship", "source_key")
-        .agg(F.sum("edge").alias("degree"), F.count_if(F.col("edge") == 0).alias("instances"))
-        .filter("instances > 0")
-        .select("relationship", "source_key", "degree")
-    )
+    counts = key_counts(dfs) if counts is None else counts
+    table_of = {e.name: e.table for e in ENTITIES}
 
+    def edges(r) -> Column:
+        source = table_of[r.source]
+        degree = F.col("edges")[REFERENCES[source].index((r.binding, r.source_key))]
+        return F.when(F.col("table_name") == source, F.struct(F.lit(r.name).alias("relationship"), degree.alias("degree")))
 
-def relationship_cardinality(dfs: dict[str, DataFrame]) -> DataFrame:
+    listed = F.explode(F.array_compact(F.array(*map(edges, RELATIONSHIPS)))).alias("d")
+    there = counts.filter((F.col("copies") > 0) & ~F.col("key_columns").contains(","))
+    return there.select(F.col("key").alias("source_key"), listed).select("d.relationship", "source_key", "d.degree")
+
+
+def relationship_cardinality(dfs: dict[str, DataFrame], counts: DataFrame | None = None) -> DataFrame:
     """Most targets of one source, sources without a target, and sources that have
     several targets where the model declares one."""
     single = [r.name for r in RELATIONSHIPS if r.single]
     several = F.col("relationship").isin(single) & (F.col("degree") > 1)
     return (
-        entity_degree(dfs)
+        entity_degree(dfs, counts)
         .groupBy("relationship")
         .agg(
             F.count(F.lit(1)).alias("sources"),
@@ -233,6 +266,15 @@ def reconcile_cash_by_customer(dfs: dict[str, DataFrame]) -> DataFrame:
     )
 
 
+#: The columns beside the keys that the quality report reads.
+LEDGER = {
+    "invoices": ["amount", "status"],
+    "payments": ["amount"],
+    "renewal_forecasts": ["renewal_probability", "renewal_arr"],
+    "customer_finance_summary": ["billed_revenue_6m", "ar_outstanding"],
+}
+
+
 def _ledger_rows(dfs: dict[str, DataFrame], table: str, terms: Terms) -> DataFrame:
     """One row per row of a table: which table, and the amounts the report adds up."""
     unpaid = F.when(rules.outstanding(F.col("status")), F.col("amount"))

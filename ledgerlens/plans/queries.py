@@ -63,6 +63,11 @@ def _keyed(s: StarSource) -> dict[str, DataFrame]:
     return {**s.tables("products", *FACTS), "customer_finance_summary": _summary(s, MODEL_KEYS)}
 
 
+def _integrity(s: StarSource) -> dict[str, DataFrame]:
+    """The keys of all tables, stored, so that each is worked out once."""
+    return tables.staged_tables(_model(s), quality.key_columns())
+
+
 # --- sources and sinks -------------------------------------------------------
 
 
@@ -543,7 +548,7 @@ def usage_change(s):
 
 @query
 def fk_report(s):
-    return quality.fk_report(s.tables())
+    return quality.fk_report(_integrity(s))
 
 
 @query
@@ -575,7 +580,10 @@ def reconcile_cash_by_customer(s):
 
 @query
 def quality_report(s):
-    return quality.quality_report(_model(s, ("customer_id", "billed_revenue_6m", "ar_outstanding")), TERMS)
+    keys = quality.key_columns()
+    wanted = {t: [*keys[t], *quality.LEDGER.get(t, ())] for t in s.tables()}
+    stored = tables.staged_tables({**s.tables(), "customers": s.lean_customers()}, {**wanted, "customers": ["customer_id", "customer_name"]})
+    return quality.quality_report(summary.with_summary(stored, ("profile_id", "customer_id", "billed_revenue_6m", "ar_outstanding"), carried=True), TERMS)
 
 
 @query
@@ -590,7 +598,7 @@ def key_report(s):
 
 @query
 def relationship_cardinality(s):
-    return quality.relationship_cardinality(_model(s))
+    return quality.relationship_cardinality(_integrity(s))
 
 
 @query
@@ -634,7 +642,7 @@ def stable_uuids(s):
 
 @query
 def entity_degree(s):
-    return quality.entity_degree(_model(s))
+    return quality.entity_degree(_integrity(s))
 
 
 @query

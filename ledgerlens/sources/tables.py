@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ledgerlens.operators.quality import schema_differences
 from ledgerlens.schema import SCHEMAS, columns
+from ledgerlens.session import staging_path
 from ledgerlens.sources.snapshots import Digest, Load, begin, digest, digest_columns, manifest, table_path
 
 _AUDIT = "table_name string, row_count bigint"
@@ -104,6 +105,21 @@ def read_from(load: Load, tables, fmt: str = "parquet") -> dict[str, DataFrame]:
     return {t: _as_declared(load.spark.read.format(fmt).load(load.path(t)), t) for t in tables}
 
 
+def staged_tables(dfs: Mapping[str, DataFrame], wanted: Mapping[str, list[str]], parallel: int = 4) -> dict[str, DataFrame]:
+    """The wanted columns of each table written to the shared folder and read back, for what reads
+    tables several times that are costly to work out."""
+    spark = next(iter(dfs.values())).sparkSession
+
+    def stage(table: str) -> DataFrame:
+        df = dfs[table].select(*wanted[table])
+        path = staging_path(spark, table)
+        df.write.parquet(path)
+        return spark.read.schema(df.schema).parquet(path)
+
+    with ThreadPoolExecutor(parallel) as pool:
+        return dict(zip(dfs, pool.map(stage, dfs), strict=True))
+
+
 def check_load(audit: DataFrame, root: str, fmt: str = "parquet") -> DataFrame:
     """Each audited table read back: rows expected and found, schema as declared, content as it was
     written (by its digest), complete if all hold. The audit has one row per table.

@@ -6,6 +6,7 @@ from conftest import TERMS, day, rows
 from ledgerlens.operators import quality
 from ledgerlens.plans.summary import with_summary
 from ledgerlens.schema import FOREIGN_KEYS, TABLES
+from ledgerlens.sources.tables import staged_tables
 
 
 @pytest.fixture(scope="module")
@@ -72,6 +73,30 @@ def test_cardinality(complete, company, make):
     assert found["has"].violations == 1
 
 
+def test_every_table_is_read_once_and_grouped_once(complete):
+    stored = staged_tables(complete, quality.key_columns())
+    for report in (quality.fk_report, quality.duplicate_keys, quality.key_report, quality.entity_degree, quality.relationship_cardinality):
+        physical = report(stored)._jdf.queryExecution().sparkPlan().toString()
+        assert physical.count("Scan parquet") == len(TABLES), report
+        executed = report(stored)._jdf.queryExecution().executedPlan().toString()
+        assert executed.count("Exchange hashpartitioning(space") == 1, report
+
+
+def test_reports_share_one_grouping(complete):
+    counts = quality.key_counts(complete)
+    assert rows(quality.fk_report({}, counts)) == rows(quality.fk_report(complete))
+    assert rows(quality.key_report({}, counts)) == rows(quality.key_report(complete))
+    assert rows(quality.duplicate_keys({}, counts)) == []
+    assert rows(quality.entity_degree({}, counts)) == rows(quality.entity_degree(complete))
+
+
+def test_null_and_hot_keys(company, make):
+    null = {**company, "customers": company["customers"].union(make("customers", {}, {}))}
+    assert orphans(null)["payments", "customer_id"] == 0
+    found = {(r.table_name, r.key): r.copies for r in quality.duplicate_keys(null).collect()}
+    assert found == {("customers", None): 2}
+
+
 def test_degree_lists_zero(complete):
     degree = {(r.relationship, r.source_key): r.degree for r in quality.entity_degree(complete).collect()}
     assert degree[("receives", "C1")] == 2
