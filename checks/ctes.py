@@ -185,9 +185,16 @@ CTES = {
         SELECT subscription_id, customer_id, MAX(falls) AS decline_streak FROM (
             SELECT subscription_id, customer_id, run, SUM(fall) AS falls FROM (
                 SELECT *, SUM(1 - fall) OVER (PARTITION BY subscription_id, customer_id ORDER BY usage_month) AS run FROM (
-                    SELECT *, CASE WHEN adoption_rate < LAG(adoption_rate) OVER (
-                        PARTITION BY subscription_id, customer_id ORDER BY usage_month) THEN 1 ELSE 0 END AS fall
-                    FROM usage_monthly)) GROUP BY 1, 2, 3) GROUP BY 1, 2""",
+                    SELECT u.*, CASE WHEN u.adoption_rate < b.adoption_rate THEN 1 ELSE 0 END AS fall
+                    FROM usage_monthly u LEFT JOIN usage_monthly b
+                      ON b.subscription_id = u.subscription_id AND b.usage_month = u.usage_month - 5)) GROUP BY 1, 2, 3) GROUP BY 1, 2""",
+    "usage_marked": """
+        SELECT u.*, EXISTS (SELECT 1 FROM usage_monthly b WHERE b.subscription_id = u.subscription_id
+                            AND b.usage_month = u.usage_month - 5) AS goes_on FROM usage_monthly u""",
+    "usage_stretches": """
+        SELECT subscription_id, customer_id, n, MIN(usage_month) AS first_month, MAX(usage_month) AS last_month, COUNT(*) AS months
+        FROM (SELECT *, SUM(CASE WHEN goes_on THEN 0 ELSE 1 END) OVER (PARTITION BY subscription_id ORDER BY usage_month) AS n
+              FROM usage_marked) GROUP BY 1, 2, 3""",
     "instances": """
         SELECT 'Customer' AS entity, customer_id AS key, customer_name AS display_name FROM customers
         UNION ALL SELECT 'Product', product_id, product_name FROM products

@@ -316,9 +316,18 @@ BODIES = {
         SELECT customer_id, customer_name, billed_revenue_6m, cost_6m, gross_margin_pct FROM customer_finance_summary
         ORDER BY gross_margin_pct NULLS LAST, customer_id LIMIT 3""",
     "usage_change": """
-        SELECT subscription_id, customer_id, usage_month, adoption_rate, LAG(adoption_rate) OVER w AS previous_rate,
-               adoption_rate - LAG(adoption_rate) OVER w AS rate_change
-        FROM usage_monthly WINDOW w AS (PARTITION BY subscription_id ORDER BY usage_month)""",
+        SELECT u.subscription_id, u.customer_id, u.usage_month, u.adoption_rate, b.adoption_rate AS previous_rate,
+               u.adoption_rate - b.adoption_rate AS rate_change
+        FROM usage_monthly u LEFT JOIN usage_monthly b
+          ON b.subscription_id = u.subscription_id AND b.usage_month = u.usage_month - 5""",
+    "usage_islands": """
+        SELECT a.subscription_id, a.customer_id, a.first_month, a.last_month, a.months,
+               CAST((a.first_month - b.last_month) // 5 - 1 AS BIGINT) AS missing_before
+        FROM usage_stretches a LEFT JOIN usage_stretches b ON b.subscription_id = a.subscription_id AND b.n = a.n - 1""",
+    "usage_active_users": """
+        SELECT DATE '2024-01-01' + CAST(5 * ((CAST(ts AS DATE) - DATE '2024-01-01') // 5) AS INTEGER) AS usage_month,
+               COUNT(DISTINCT user_id) AS users FROM events GROUP BY 1
+        UNION ALL SELECT NULL, COUNT(DISTINCT user_id) FROM events""",
     # quality
     "fk_report": " UNION ALL ".join(_FK),
     "table_rows": _COUNTS,
@@ -327,6 +336,13 @@ BODIES = {
         SELECT customer_id, billed, COALESCE(collected, 0) AS collected, outstanding, CAST(0 AS DOUBLE) AS difference
         FROM billing LEFT JOIN cash USING (customer_id)""",
     "quality_report": _quality(),
+    "quality_document": f"""
+        SELECT '2001-07-31' AS as_of_date, (SELECT {cents('amount')} FROM invoices) AS billed_revenue_6m,
+               (SELECT {cents('amount')} FROM payments) AS cash_collected_6m,
+               (SELECT {cents('amount')} FROM invoices WHERE status <> 'Paid') AS ar_outstanding,
+               (SELECT {cents('renewal_arr')} FROM renewal_forecasts WHERE renewal_probability < 0.60) AS at_risk_arr,
+               (SELECT string_agg(table_name || '=' || row_count, ',' ORDER BY table_name) FROM ({_COUNTS})) AS table_rows,
+               (SELECT COUNT(*) FROM ({_quality()}) WHERE NOT holds) AS failed_checks""",
     "duplicate_keys": f"SELECT * FROM ({_KEY_ROWS}) WHERE copies > 1",
     "key_report": f"""
         SELECT table_name, key_columns, CAST(SUM(copies) AS BIGINT) AS row_count, COUNT(*) AS distinct_keys,
@@ -400,6 +416,23 @@ BODIES = {
             FROM {table} GROUP BY customer_id"""
         for section, (table, key, measure) in _CONTEXT.items()
     ),
+    "context_documents": "SELECT r.customer_id, CAST(0 AS BIGINT) AS page, "
+    + ", ".join(
+        f"(SELECT string_agg({key}, ',' ORDER BY {key}) FROM {table} t WHERE t.customer_id = r.customer_id) AS {section}"
+        for section, (table, key, _) in _CONTEXT.items()
+    )
+    + " FROM (SELECT DISTINCT customer_id FROM renewal_forecasts WHERE renewal_probability < 0.60) r",
+    "traverse_again": """
+        SELECT product_name AS "Product_product_name", a.subscription_id AS "Subscription_subscription_id",
+               customer_name AS "Customer_customer_name", b.subscription_id AS "Subscription2_subscription_id",
+               b.status AS "Subscription2_status"
+        FROM products JOIN subscriptions a USING (product_id) JOIN customers c ON c.customer_id = a.customer_id
+        JOIN subscriptions b ON b.customer_id = c.customer_id""",
+    "traverse_filtered": """
+        SELECT customer_name AS "Customer_customer_name", i.invoice_id AS "Invoice_invoice_id", i.amount AS "Invoice_amount",
+               payment_id AS "Payment_payment_id"
+        FROM customers c JOIN invoices i USING (customer_id) JOIN payments p ON p.invoice_id = i.invoice_id
+        WHERE industry = 'BUILDING' AND date_trunc('month', payment_date) = DATE '2001-04-01'""",
     # questions
     "q_at_risk": """
         SELECT customer_name, arr, renewal_date, renewal_probability, usage_trend_pct, open_critical_cases,
@@ -446,7 +479,8 @@ BODIES = {
         JOIN cost_ends e ON e.subscription_id = t.subscription_id
         WHERE s.usage_trend_pct < -10 AND e.unit_cost_change_pct > 0""",
     "q_decline_streak": """
-        SELECT subscription_id, customer_id, CAST(decline_streak AS BIGINT) AS decline_streak FROM streaks""",
+        SELECT subscription_id, customer_id, CAST(decline_streak AS BIGINT) AS decline_streak FROM streaks
+        WHERE decline_streak >= 2""",
     **{
         f"q_{by}_rollup": f"""
         SELECT {by}, COUNT(*) AS customers, {cents("s.arr")} AS arr,

@@ -340,6 +340,26 @@ def quality_report(dfs: dict[str, DataFrame], terms: Terms) -> DataFrame:
     return sums.select(F.explode(F.array(*lines)).alias("line")).select("line.*").unionByName(orphans)
 
 
+TOTALS = ("billed_revenue_6m", "cash_collected_6m", "ar_outstanding", "at_risk_arr")
+
+
+def report_document(report: DataFrame) -> DataFrame:
+    """A quality report as one nested row: as_of_date, table_rows by table, the four totals,
+    and the checks by name. A report has one line per table, total and check, however large the tables."""
+    metric = F.col("metric")
+
+    def entries(prefix: str, value: Column) -> Column:
+        line = F.when(metric.startswith(prefix), F.struct(F.substring_index(metric, prefix, -1).alias("name"), value.alias("value")))
+        return F.map_from_entries(F.array_sort(F.collect_list(line)))
+
+    return report.agg(
+        F.max(F.when(metric == "as_of_date", F.col("text"))).alias("as_of_date"),
+        entries("rows:", F.col("value").cast("bigint")).alias("table_rows"),
+        *[F.max(F.when(metric == t, F.col("value"))).alias(t) for t in TOTALS],
+        entries("check:", F.col("holds")).alias("checks"),
+    )
+
+
 def assert_quality(report: DataFrame) -> DataFrame:
     """Raise ``QualityError`` if any check of a report failed; else give the report back.
     Reads only failed checks, at most one row per check."""

@@ -5,10 +5,11 @@ from __future__ import annotations
 from collections.abc import Iterable, Mapping, Sequence
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerlens.functions.identifiers import DEFAULT_BASE, stable_id, stable_uuid
+from ledgerlens.operators.ordering import dense_numbers
 from ledgerlens.schema import ENTITIES, ENTITY, RELATIONSHIPS, SCHEMAS, Relationship
 
 
@@ -78,49 +79,78 @@ def resolve(start: str, steps: Sequence[str]) -> list[tuple[Relationship, bool]]
     return path
 
 
+def names_along(start: str, path: Sequence[tuple[Relationship, bool]]) -> list[tuple[str, str]]:
+    """(name, entity) of every place on a path. An entity that is met again is numbered:
+    ``Subscription``, ``Subscription2``."""
+    met: dict[str, int] = {}
+    out = []
+    for entity in [start, *[r.target if forward else r.source for r, forward in path]]:
+        met[entity] = met.get(entity, 0) + 1
+        out.append((entity if met[entity] == 1 else f"{entity}{met[entity]}", entity))
+    return out
+
+
 def traverse(
     dfs: dict[str, DataFrame],
     start: str,
     steps: Sequence[str],
     properties: Mapping[str, Sequence[str]],
+    where: Mapping[str, Column | str] | None = None,
 ) -> DataFrame:
     """Walk ``steps`` from every instance of ``start``.
 
-    ``properties`` names the columns wanted of each entity; they come out as
-    ``Entity_column``. Every join reads those columns and
-    the keys it needs, nothing else. A step is one join, in which adaptive execution splits
-    hot sources.
+    ``properties`` names the columns wanted at each place of the path (``names_along``); they
+    come out as ``Entity_column``. ``where`` filters places by their own columns. Every
+    join reads the wanted columns and the keys it needs, nothing else. A step is one join, in
+    which adaptive execution splits hot sources.
+
+    What a filter leaves is passed along the path first: each place keeps only
+    instances that are linked to what its neighbour kept, a semi-join of keys, from the filters
+    to both ends. So no join meets rows that a filter further on would drop.
     """
-    path = resolve(start, steps)
-    visited = [start]
+    path, where = resolve(start, steps), dict(where or {})
+    places = names_along(start, path)
+    if unknown := set(where) - {name for name, _ in places}:
+        raise ValueError(f"the path does not meet {', '.join(sorted(unknown))}")
+
+    # The binding table of every relationship is the target's own table, so the target row
+    # carries the key of its source and no third table is joined. Links: column here, column there.
+    links = []
     for r, forward in path:
-        visited.append(r.target if forward else r.source)
-    if len(set(visited)) < len(visited):
-        raise ValueError(f"the path visits an entity twice: {', '.join(visited)}")
-    wanted = [(e, c) for e in visited for c in properties.get(e, ())]
+        here, there = ENTITY[r.source].key, r.source_key
+        links.append((here, there) if forward else (there, here))
 
-    needed: dict[str, list[str]] = {e: [ENTITY[e].key, *properties.get(e, ())] for e in visited}
-    for r, _ in path:
-        needed[r.target].append(r.source_key)
-        needed[r.target].append(r.target_key)
-
-    def instances(entity: str) -> DataFrame:
+    frames = []
+    for i, (name, entity) in enumerate(places):
+        needed = list(properties.get(name, ()))
+        needed += [links[i][0]] if i < len(links) else []
+        needed += [links[i - 1][1]] if i else []
         table = dfs[ENTITY[entity].table]
-        return table.select(*[F.col(c).alias(f"{entity}_{c}") for c in dict.fromkeys(needed[entity])])
+        table = table.filter(where[name]) if name in where else table
+        frames.append(table.select(*[F.col(c).alias(f"{name}_{c}") for c in dict.fromkeys(needed)]))
 
-    frame = instances(start)
-    for r, forward in path:
-        # The binding table of every relationship is the target's own table, so the
-        # target row carries the key of its source and no third table is joined.
-        at_source, at_target = f"{r.source}_{ENTITY[r.source].key}", f"{r.target}_{r.source_key}"
-        if forward:
-            reached = instances(r.target).withColumn("_via", F.col(at_target))
-            frame = reached.join(frame.withColumn("_via", F.col(at_source)), "_via")
-        else:
-            reached = instances(r.source).withColumn("_via", F.col(at_source))
-            frame = frame.withColumn("_via", F.col(at_target)).join(reached, "_via")
-        frame = frame.drop("_via")
-    return frame.select(*[f"{e}_{c}" for e, c in wanted])
+    def column(i: int, name: str) -> str:
+        return f"{places[i][0]}_{name}"
+
+    def reduced(i: int, j: int) -> DataFrame:
+        """Place ``i``, of which only what is linked to place ``j`` beside it stays."""
+        left, right = links[min(i, j)]
+        mine, other = (column(i, right), column(j, left)) if j < i else (column(i, left), column(j, right))
+        keys = frames[j].select(F.col(other).alias("_key"))
+        return frames[i].join(keys, F.col(mine) == F.col("_key"), "left_semi")
+
+    filtered = [i for i, (name, _) in enumerate(places) if name in where]
+    if filtered:
+        for i in range(filtered[0] + 1, len(places)):
+            frames[i] = reduced(i, i - 1)
+        for i in range(len(places) - 2, -1, -1):
+            frames[i] = reduced(i, i + 1) if i < filtered[-1] else frames[i]
+
+    frame = frames[0]
+    for i, (left, right) in enumerate(links):
+        reached = frames[i + 1].withColumn("_via", F.col(column(i + 1, right)))
+        frame = frame.withColumn("_via", F.col(column(i, left))).join(reached, "_via").drop("_via")
+    return frame.select(*[column(i, c) for i, (name, _) in enumerate(places) for c in properties.get(name, ())])
 
 
 # Sections of a customer's context: table, its key and a number to add up.
@@ -136,19 +166,21 @@ CONTEXT_SECTIONS = {
 
 def customer_context(
     dfs: dict[str, DataFrame],
-    customers: Iterable[str] | None = None,
+    customers: Iterable[str] | DataFrame | None = None,
 ) -> DataFrame:
     """Everything connected to a customer: one row per record with customer_id, section, key,
     measure and the record as JSON.
 
-    Named customers are filtered in every table. Records stay rows, however many a
-    customer has; nothing is shuffled.
+    Named customers, a list or a table with their customer_id, are filtered in every table.
+    Records stay rows, however many a customer has.
     """
-    chosen = None if customers is None else list(customers)
+    chosen = customers if customers is None or isinstance(customers, DataFrame) else list(customers)
     frames = []
     for section, (table, key, measure) in CONTEXT_SECTIONS.items():
         df = dfs[table]
-        if chosen is not None:
+        if isinstance(chosen, DataFrame):
+            df = df.join(chosen.select("customer_id"), "customer_id", "left_semi")
+        elif chosen is not None:
             df = df.filter(F.col("customer_id").isin(chosen))
         frames.append(
             df.select(
@@ -162,6 +194,34 @@ def customer_context(
     return reduce(DataFrame.unionByName, frames)
 
 
+#: Records of a section that a page of a document holds.
+PAGE_RECORDS = 1_000
+
+
+def customer_documents(
+    dfs: dict[str, DataFrame], customers: Iterable[str] | DataFrame, page_records: int = PAGE_RECORDS
+) -> DataFrame:
+    """(customer_id, page, sections) of the named customers: by section its records as (key,
+    measure, record), in the order of their keys.
+
+    A customer is one document of one page, unless a section has more than ``page_records``; then the
+    following pages have the rest, so no row or task grows with a customer. Records are
+    numbered by one sort of all of them, and grouped by page.
+    """
+    records = customer_context(dfs, customers).filter(F.col("customer_id").isNotNull())
+    numbered = dense_numbers(records, [F.col(c).asc() for c in ("customer_id", "section", "key", "record")])
+    firsts = numbered.groupBy("customer_id", "section").agg(F.min("sequence").alias("first"))
+    paged = numbered.join(firsts, ["customer_id", "section"]).withColumn(
+        "page", F.floor((F.col("sequence") - F.col("first")) / page_records)
+    )
+    held = F.array_sort(F.collect_list(F.struct("sequence", "key", "measure", "record")))
+    sections = paged.groupBy("customer_id", "page", "section").agg(
+        F.transform(held, lambda r: F.struct(r["key"].alias("key"), r["measure"].alias("measure"), r["record"].alias("record"))).alias("records")
+    )
+    entries = F.array_sort(F.collect_list(F.struct("section", "records")))
+    return sections.groupBy("customer_id", "page").agg(F.map_from_entries(entries).alias("sections"))
+
+
 def catalog(spark: SparkSession, base: str = DEFAULT_BASE) -> DataFrame:
     """The model itself: one row per entity property with type, flags, ids and the field
     list of its entity. Built from the registry; its size does not depend on data."""

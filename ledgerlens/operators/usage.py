@@ -6,6 +6,7 @@ bounds a window, however many events a subscription sends.
 
 from __future__ import annotations
 
+from collections.abc import Callable, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
@@ -92,33 +93,90 @@ def usage_trend(usage: DataFrame) -> DataFrame:
     return adoption_by_customer(usage).withColumn("usage_trend_pct", trend)
 
 
-def usage_change(usage: DataFrame) -> DataFrame:
-    """Adoption of each month beside the month before.
+def month_index(month: Column) -> Column:
+    """Months as consecutive whole numbers."""
+    return F.year(month) * 12 + F.month(month)
 
-    Rows are reduced to one per subscription and month (the highest rate, should a month
-    be there twice), so that a window holds no more rows than there are months.
-    """
-    monthly = usage.groupBy("subscription_id", "customer_id", "usage_month").agg(
-        F.max("adoption_rate").alias("adoption_rate")
-    )
-    return monthly.withColumn("previous_rate", F.lag("adoption_rate").over(_by_month())).withColumn(
-        "rate_change", F.col("adoption_rate") - F.col("previous_rate")
+
+Index = Callable[[Column], Column]
+
+
+def _monthly(usage: DataFrame, index: Index) -> DataFrame:
+    """One row per subscription and month (the highest rate, should a month be there twice),
+    so that a window holds no more rows than there are months, with the month's number."""
+    monthly = usage.groupBy("subscription_id", "customer_id", "usage_month").agg(F.max("adoption_rate").alias("adoption_rate"))
+    return monthly.withColumn("_at", index(F.col("usage_month")).cast("long"))
+
+
+def _changes(usage: DataFrame, index: Index) -> DataFrame:
+    follows = F.lag("_at").over(_by_month()) == F.col("_at") - 1
+    previous = F.when(follows, F.lag("adoption_rate").over(_by_month()))
+    return (
+        _monthly(usage, index)
+        .withColumn("previous_rate", previous)
+        .withColumn("rate_change", F.col("adoption_rate") - F.col("previous_rate"))
     )
 
 
-def decline_streak(usage: DataFrame) -> DataFrame:
+def usage_change(usage: DataFrame, index: Index = month_index) -> DataFrame:
+    """Adoption of each month beside the month before, null where that month is missing.
+
+    ``index`` numbers the months, so that neighbours differ by one; other calendars, such
+    as periods of days, bring their own.
+    """
+    return _changes(usage, index).drop("_at")
+
+
+def decline_streak(usage: DataFrame, index: Index = month_index) -> DataFrame:
     """The longest run of consecutive declines per subscription, 0 if none.
 
-    Each month that does not decline starts a new run; the declines counted within a
-    run are its length.
+    Declines in neighbouring months share their month's number less their position among
+    all declines; a month without a decline, or a missing one, moves on the first alone.
     """
     falls = F.col("adoption_rate") < F.col("previous_rate")
-    marked = usage_change(usage).withColumn("fall", F.coalesce(falls, F.lit(False)).cast("int"))
-    run = F.sum(1 - F.col("fall")).over(_by_month())
+    marked = _changes(usage, index).withColumn("fall", F.coalesce(falls, F.lit(False)).cast("int"))
+    island = F.when(F.col("fall") == 1, F.col("_at") - F.sum("fall").over(_by_month()))
     return (
-        marked.withColumn("run", run)
-        .groupBy("subscription_id", "customer_id", "run")
+        marked.withColumn("island", island)
+        .groupBy("subscription_id", "customer_id", "island")
         .agg(F.sum("fall").alias("length"))
         .groupBy("subscription_id", "customer_id")
         .agg(F.max("length").alias("decline_streak"))
     )
+
+
+def usage_islands(usage: DataFrame, index: Index = month_index) -> DataFrame:
+    """Unbroken stretches of months with usage per subscription, and how many months are missing
+    before each (null for the first)."""
+    island = F.col("_at") - F.row_number().over(_by_month())
+    stretches = (
+        _monthly(usage, index)
+        .withColumn("island", island)
+        .groupBy("subscription_id", "customer_id", "island")
+        .agg(
+            F.min("usage_month").alias("first_month"), F.max("usage_month").alias("last_month"),
+            F.count(F.lit(1)).alias("months"), F.min("_at").alias("_from"), F.max("_at").alias("_to"),
+        )
+    )
+    before = F.lag("_to").over(Window.partitionBy("subscription_id", "customer_id").orderBy("_from"))
+    return stretches.withColumn("missing_before", F.col("_from") - before - 1).drop("island", "_from", "_to")
+
+
+# --- distinct ids ------------------------------------------------------------
+
+
+def id_bitmaps(events: DataFrame, groups: Sequence[str], key: Column) -> DataFrame:
+    """Per group and range of 32,768 whole numbers, the ids that occur, as a bitmap.
+
+    Bitmaps are built before the shuffle and can be stored and merged, for ids of any size;
+    a hot group is spread over its ranges. Null ids do not count.
+    """
+    return events.groupBy(*groups, F.bitmap_bucket_number(key).alias("id_range")).agg(
+        F.bitmap_construct_agg(F.bitmap_bit_position(key)).alias("ids")
+    )
+
+
+def count_ids(bitmaps: DataFrame, groups: Sequence[str], name: str = "distinct_ids") -> DataFrame:
+    """Distinct ids per group, from bitmaps of these or of finer groups."""
+    merged = bitmaps.groupBy(*groups, "id_range").agg(F.bitmap_or_agg("ids").alias("ids"))
+    return merged.groupBy(*groups).agg(F.coalesce(F.sum(F.bitmap_count("ids")), F.lit(0)).cast("bigint").alias(name))

@@ -305,6 +305,11 @@ def invoice_payment_match(s):
 # --- usage and cost ----------------------------------------------------------
 
 
+def period_index(day: Column) -> Column:
+    """The number of a telemetry period, which is what stands for a month here."""
+    return F.floor(F.datediff(day, F.lit(EPOCH)) / PERIOD_DAYS)
+
+
 @query
 def usage_metering(s):
     return s.metered()
@@ -334,8 +339,7 @@ def support_load_tier(s):
 @query
 def cost_allocation(s):
     loads = costs.with_support_load(s.lean_subscriptions(), CARD)
-    index = F.floor(F.datediff("usage_month", F.lit(EPOCH)) / PERIOD_DAYS)
-    return costs.cost_allocation(s.usage_monthly(), loads, CARD, index)
+    return costs.cost_allocation(s.usage_monthly(), loads, CARD, period_index(F.col("usage_month")))
 
 
 def _paired(s: StarSource) -> DataFrame:
@@ -540,7 +544,22 @@ def margin_bottom3(s):
 
 @query
 def usage_change(s):
-    return usage.usage_change(s.usage_monthly())
+    return usage.usage_change(s.usage_monthly(), period_index)
+
+
+@query
+def usage_islands(s):
+    return usage.usage_islands(s.usage_monthly(), period_index)
+
+
+@query
+def usage_active_users(s):
+    """Distinct users, known as a subscription or not, of every period and of all (a null period),
+    from one set of bitmaps."""
+    seen = usage.id_bitmaps(s.read("events").select(s.event_period().alias("usage_month"), "user_id"), ["usage_month"], F.col("user_id"))
+    stored = tables.staged_tables({"bitmaps": seen}, {"bitmaps": seen.columns})["bitmaps"]
+    every = usage.count_ids(stored, [], "users").select(F.lit(None).cast("date").alias("usage_month"), "users")
+    return usage.count_ids(stored, ["usage_month"], "users").unionByName(every)
 
 
 # --- quality -----------------------------------------------------------------
@@ -578,14 +597,30 @@ def reconcile_cash_by_customer(s):
     return quality.reconcile_cash_by_customer(s.tables("invoices", "payments"))
 
 
-@query
-def quality_report(s):
+def _report(s: StarSource) -> DataFrame:
     keys = quality.key_columns()
     wanted = {t: [*keys[t], *quality.LEDGER.get(t, ())] for t in s.tables()}
     stored = tables.staged_tables({**s.tables(), "customers": s.lean_customers()}, {**wanted, "customers": ["customer_id", "customer_name"]})
     return quality.quality_report(summary.with_summary(stored, ("profile_id", "customer_id", "billed_revenue_6m", "ar_outstanding"), carried=True), TERMS)
 
 
+@query
+def quality_report(s):
+    return _report(s)
+
+
+@query
+def quality_document(s):
+    """The quality report as one JSON document, written, read back and taken apart."""
+    path = staging_path(s.spark, "report")
+    files.export_document(quality.report_document(_report(s)), path)
+    shape = f"as_of_date string, table_rows map<string,bigint>, {', '.join(f'{t} double' for t in quality.TOTALS)}, checks map<string,boolean>"
+    found = s.spark.read.schema(shape).json(path)
+    listed = F.transform(F.map_entries("table_rows"), lambda e: F.concat_ws("=", e["key"], e["value"].cast("string")))
+    failed = F.size(F.map_filter("checks", lambda _, holds: ~holds)).cast("bigint")
+    return found.select("as_of_date", *quality.TOTALS, F.array_join(listed, ",").alias("table_rows"), failed.alias("failed_checks"))
+
+
 @query
 def duplicate_keys(s):
     return quality.duplicate_keys(_keyed(s))
@@ -735,6 +770,32 @@ def traverse_product(s):
     )
 
 
+@query
+def traverse_again(s):
+    """Customers that license the same products: a path that meets subscriptions twice."""
+    return semantic.traverse(
+        s.tables("customers", "subscriptions", "products"),
+        "Product",
+        ["isLicensedBy", "owns", "owns"],
+        {
+            "Product": ["product_name"], "Subscription": ["subscription_id"], "Customer": ["customer_name"],
+            "Subscription2": ["subscription_id", "status"],
+        },
+    )
+
+
+@query
+def traverse_filtered(s):
+    """Payments of one industry's invoices of one month: filters at both ends of a path."""
+    return semantic.traverse(
+        s.tables("customers", "invoices", "payments"),
+        "Customer",
+        ["receives", "isSettledBy"],
+        {"Customer": ["customer_name"], "Invoice": ["invoice_id", "amount"], "Payment": ["payment_id"]},
+        where={"Customer": F.col("industry") == "BUILDING", "Payment": F.trunc("payment_date", "month") == dt.date(2001, 4, 1)},
+    )
+
+
 @query
 def traverse_group_by(s):
     walked = semantic.traverse(
@@ -757,6 +818,16 @@ def customer_context(s):
     )
 
 
+@query
+def context_documents(s):
+    """The documents of all customers at risk: the keys of each section, in their order."""
+    dfs = s.tables(*FACTS, "subscriptions")
+    risky = questions.at_risk_renewals(dfs["renewal_forecasts"], TERMS).select("customer_id").distinct()
+    documents = semantic.customer_documents({**dfs, "customer_finance_summary": _summary(s)}, risky)
+    keys = [F.array_join(F.transform(F.col("sections")[name], lambda r: r["key"]), ",").alias(name) for name in semantic.CONTEXT_SECTIONS]
+    return documents.select("customer_id", F.col("page").cast("bigint").alias("page"), *keys)
+
+
 # --- questions ---------------------------------------------------------------
 
 
@@ -827,7 +898,7 @@ def q_usage_down_cost_up(s):
 
 @query
 def q_decline_streak(s):
-    return questions.long_decline_streaks(s.usage_monthly())
+    return questions.long_decline_streaks(s.usage_monthly(), index=period_index)
 
 
 def _rollup(s, by: str):

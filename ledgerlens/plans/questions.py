@@ -11,7 +11,7 @@ from ledgerlens.operators.costs import cost_trend
 from ledgerlens.operators.customer import COST_PARTS, cost_by_customer
 from ledgerlens.operators.facts import overdue_forecast
 from ledgerlens.operators.ordering import extreme_rows
-from ledgerlens.operators.usage import decline_streak
+from ledgerlens.operators.usage import Index, decline_streak, month_index
 from ledgerlens.schema import Terms
 
 
@@ -221,8 +221,9 @@ def usage_down_cost_up(summary: DataFrame, subscriptions: DataFrame, paired: Dat
     return declining_adoption(summary, terms).join(per_customer, "customer_id")
 
 
-def long_decline_streaks(usage: DataFrame, at_least: int = 0) -> DataFrame:
-    return decline_streak(usage).filter(F.col("decline_streak") >= at_least)
+def long_decline_streaks(usage: DataFrame, at_least: int = 2, index: Index = month_index) -> DataFrame:
+    """Subscriptions whose adoption fell in at least so many months in a row."""
+    return decline_streak(usage, index).filter(F.col("decline_streak") >= at_least)
 
 
 def rollup_by(summary: DataFrame, customers: DataFrame, dimension: str) -> DataFrame:

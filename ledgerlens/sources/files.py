@@ -122,3 +122,8 @@ def export_tables(dfs: Mapping[str, DataFrame], root: str, parallel: int = 4) ->
 def export_report(report: DataFrame, path: str) -> None:
     """A quality report as JSON lines."""
     report.write.mode("overwrite").json(path)
+
+
+def export_document(document: DataFrame, path: str) -> None:
+    """One nested row as one JSON document."""
+    document.select(F.to_json(F.struct(*document.columns)).alias("value")).coalesce(1).write.mode("overwrite").text(path)

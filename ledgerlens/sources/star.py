@@ -240,15 +240,19 @@ class StarSource:
     def payments(self) -> DataFrame:
         return payments_from_invoices(self.invoices(), F.col("customer_id").cast("bigint"))
 
+    def event_period(self) -> Column:
+        """First day of the period of an event."""
+        day = F.datediff(F.col("ts").cast("date"), F.lit(EPOCH))
+        return F.date_add(F.lit(EPOCH), (F.floor(day / PERIOD_DAYS) * PERIOD_DAYS).cast("int"))
+
     @remembered
     def metered(self) -> DataFrame:
         """Telemetry of every user per five-day period, known as a subscription or not. The
         active units are the hours of the period with an event."""
         day = F.datediff(F.col("ts").cast("date"), F.lit(EPOCH))
-        period = F.date_add(F.lit(EPOCH), (F.floor(day / PERIOD_DAYS) * PERIOD_DAYS).cast("int"))
         hour = F.pmod(day, F.lit(PERIOD_DAYS)) * 24 + F.hour("ts")
         return usage_metering(
-            self.read("events"), F.col("user_id"), period, hour, F.col("value"), HOURS_PER_PERIOD
+            self.read("events"), F.col("user_id"), self.event_period(), hour, F.col("value"), HOURS_PER_PERIOD
         ).withColumn("subscription_id", _key("subscription_id"))
 
     @remembered

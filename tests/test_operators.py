@@ -136,6 +136,31 @@ def test_streak_counts_consecutive_declines(make):
     }
 
 
+def test_missing_months_break_neighbours_and_streaks(make):
+    def month(n, rate, year=2026):
+        return {"subscription_id": "S", "customer_id": "C", "usage_month": dt.date(year, n, 1), "adoption_rate": rate}
+
+    table = make("usage_monthly", month(1, 0.9), month(2, 0.8), month(5, 0.7), month(6, 0.6), month(12, 0.5), month(1, 0.4, 2027))
+    before = {str(r.usage_month): r.previous_rate for r in usage.usage_change(table).collect()}
+    assert before == {"2026-01-01": None, "2026-02-01": 0.9, "2026-05-01": None, "2026-06-01": 0.7, "2026-12-01": None, "2027-01-01": 0.5}
+    assert rows(usage.decline_streak(table), "decline_streak") == [(1,)]
+    stretches = [(str(r.first_month)[:7], str(r.last_month)[:7], r.months, r.missing_before) for r in usage.usage_islands(table).orderBy("first_month").collect()]
+    assert stretches == [("2026-01", "2026-02", 2, None), ("2026-05", "2026-06", 2, 2), ("2026-12", "2027-01", 2, 5)]
+    in_order = lambda day: F.month(day)  # noqa: E731 - another calendar: years do not count
+    assert rows(usage.decline_streak(table.filter("usage_month < '2027-01-01'"), in_order), "decline_streak") == [(1,)]
+
+
+def test_bitmaps_count_ids_of_any_size(spark):
+    ids = [0, 1, 1, 32767, 32768, 5_000_000_000, 5_000_000_001, -1, -40_000, None]
+    frame = spark.createDataFrame([(g, i) for g in "ab" for i in ids[: 6 if g == "a" else None]] + [("c", None)], "g string, id long")
+    bitmaps = usage.id_bitmaps(frame, ["g"], F.col("id"))
+    want = frame.groupBy("g").agg(F.count_distinct("id"))
+    assert rows(usage.count_ids(bitmaps, ["g"])) == rows(want)
+    assert rows(usage.count_ids(bitmaps, [])) == [(frame.select("id").distinct().count() - 1,)]
+    assert usage.count_ids(usage.id_bitmaps(frame.limit(0), ["g"], F.col("id")), ["g"]).count() == 0
+    assert usage.id_bitmaps(frame, ["g"], F.col("id"))._jdf.queryExecution().executedPlan().toString().count("partial_bitmap_construct_agg") == 1
+
+
 def test_support_load_defaults_to_one(company):
     card = costs.RateCard(support_load={"Gold": 2.0})
     assert {r.support_load for r in costs.with_support_load(company["subscriptions"], card).collect()} == {2.0}

@@ -76,8 +76,80 @@ def test_unknown_steps_are_refused_before_any_job(complete):
         semantic.traverse(complete, "Customer", ["owns", "receives"], {})
     with pytest.raises(semantic.UnknownRelationship):
         semantic.traverse(complete, "Nobody", [], {})
-    with pytest.raises(ValueError, match="twice"):
-        semantic.traverse(complete, "Customer", ["owns", "owns"], {})
+    with pytest.raises(ValueError, match="does not meet Product"):
+        semantic.traverse(complete, "Customer", ["owns"], {}, where={"Product": F.lit(True)})
+
+
+def test_an_entity_met_again_has_a_name_of_its_own(complete):
+    path = semantic.resolve("Product", ["isLicensedBy", "owns", "owns", "isLicensedBy"])
+    assert [n for n, _ in semantic.names_along("Product", path)] == ["Product", "Subscription", "Customer", "Subscription2", "Product2"]
+    found = semantic.traverse(
+        complete,
+        "Product",
+        ["isLicensedBy", "owns", "owns"],
+        {"Product": ["product_name"], "Subscription": ["subscription_id"], "Customer": ["customer_id"], "Subscription2": ["subscription_id", "arr"]},
+    )
+    subscriptions = complete["subscriptions"].collect()
+    want = [("Product", a.subscription_id, a.customer_id, b.subscription_id, b.arr) for a in subscriptions for b in subscriptions if a.customer_id == b.customer_id]
+    assert rows(found) == sorted(want, key=repr) and len(want) == 12
+
+
+@pytest.mark.parametrize(
+    "where,plainly",
+    [
+        ({"Customer": "segment = 'Big'"}, "Customer_segment = 'Big'"),
+        ({"Subscription2": "status = 'Lapsed'"}, "Subscription2_status = 'Lapsed'"),
+        ({"Subscription": "arr > 150", "Subscription2": "arr < 1500"}, "Subscription_arr > 150 AND Subscription2_arr < 1500"),
+        ({"Product": "product_id = 'none'"}, "Product_product_id = 'none'"),
+    ],
+)
+def test_filters_leave_what_a_plain_filter_leaves(complete, where, plainly):
+    properties = {"Product": ["product_id"], "Customer": ["segment"], "Subscription": ["subscription_id", "arr"], "Subscription2": ["subscription_id", "status", "arr"]}
+    steps = ["isLicensedBy", "owns", "owns"]
+    plain = semantic.traverse(complete, "Product", steps, properties).filter(plainly)
+    assert rows(semantic.traverse(complete, "Product", steps, properties, where)) == rows(plain)
+
+
+def joined_rows(df):
+    """Rows that leave each inner join of an executed plan."""
+    df.collect()
+    counts, todo = [], [df._jdf.queryExecution().executedPlan()]
+    while todo:
+        node = todo.pop()
+        name = node.getClass().getSimpleName()
+        if name == "AdaptiveSparkPlanExec":
+            todo.append(node.executedPlan())
+            continue
+        if name.endswith("QueryStageExec"):
+            todo.append(node.plan())
+            continue
+        if "Join" in name and "Inner" in node.joinType().toString():
+            counts.append(node.metrics().apply("numOutputRows").value())
+        children = node.children()
+        todo += [children.apply(i) for i in range(children.size())]
+    return counts
+
+
+def test_a_filtered_end_reaches_the_first_join(complete):
+    steps, properties = ["receives", "isSettledBy"], {"Customer": ["customer_name"], "Payment": ["payment_id"]}
+    every = semantic.traverse(complete, "Customer", steps, properties)
+    one = semantic.traverse(complete, "Customer", steps, properties, where={"Payment": F.col("payment_id") == "P-4"})
+    assert max(joined_rows(every)) == 4 and joined_rows(one) == [1, 1]
+
+
+def test_documents_in_pages(complete):
+    whole = semantic.customer_documents(complete, ["C1", "C2"]).collect()
+    assert {(r.customer_id, r.page) for r in whole} == {("C1", 0), ("C2", 0)}
+    document = next(r.sections for r in whole if r.customer_id == "C2")
+    assert sorted(document) == ["case", "forecast", "invoice", "profile", "subscription", "usage"]
+    assert [r.key for r in document["case"]] == ["K1", "K2", "K3"]
+    assert json.loads(document["invoice"][0].record)["status"] == "Overdue" and document["invoice"][0].measure == 200.0
+    named = complete["customers"].filter("segment = 'Big'").select("customer_id", "segment")
+    paged = semantic.customer_documents(complete, named, page_records=2).collect()
+    assert {(r.customer_id, r.page) for r in paged} == {("C1", 0), ("C2", 0), ("C2", 1)}
+    second = next(r.sections for r in paged if r.page == 1)
+    assert {n: [r.key for r in records] for n, records in second.items()} == {"case": ["K3"], "usage": ["S2-2026-08-01"]}
+    assert semantic.customer_documents(complete, []).count() == 0
 
 
 def test_context_of_one_customer(complete):

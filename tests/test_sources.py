@@ -131,6 +131,16 @@ def test_report_as_json(complete, tmp_path):
     assert {"metric": "billed_revenue_6m", "value": 360.5} in lines
 
 
+def test_report_as_one_document(complete, tmp_path):
+    path = str(tmp_path / "document")
+    files.export_document(quality.report_document(quality.quality_report(complete, TERMS)), path)
+    (text,) = [x for f in os.listdir(path) if f.startswith("part") for x in open(os.path.join(path, f))]
+    found = json.loads(text)
+    assert found["as_of_date"] == TERMS.as_of.isoformat() and found["billed_revenue_6m"] == 360.5
+    assert found["table_rows"]["invoices"] == 4 and len(found["table_rows"]) == 10
+    assert found["checks"]["cash"] is True and found["checks"]["orphans:support_cases:subscription_id"] is False
+
+
 def test_shared_folder_is_the_configured_one(spark):
     named = spark.conf.get("spark.checkpoint.dir")
     assert shared_folder(spark) == named
