@@ -7,8 +7,7 @@ tokens and come from distinct pages are repeated substrings. Those that enough o
 host's pages share are boilerplate and are cut out; what is left in the best zone are the
 unique runs.
 
-Pages of a host with the same text count once, so copies do not make each other boilerplate;
-nor is a page cut of which next to nothing would stay, such as a near copy.
+Pages of a host with the same text count once, so copies do not make each other boilerplate.
 
 A host's pages are dealt to blocks of bounded size. A substring that a share of all pages of a
 host have is on at least that share of the pages of some block, so the suffix arrays of the
@@ -19,6 +18,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,7 +26,6 @@ import pandas as pd
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from ledgerlens.llm.common import bounded, lower_ascii, staged, whole
 
@@ -34,10 +33,11 @@ MIN_TOKENS = 6
 #: Least share of a host's distinct pages, and least of these, for a repeated substring to be boilerplate:
 #: outside of a page's marked article, and within it, where a passage that many articles
 #: quote must stay.
-SHARE, PAGES = 0.25, 4
+SHARE, PAGES = 0.5, 8
 ARTICLE_SHARE, ARTICLE_PAGES = 0.9, 50
-#: Least share of its tokens that a page must keep for a cut; below, it is a copy of others.
-KEPT = 0.1
+#: Least share of a page's text that its marked zones must hold to be its text alone; a page
+#: with less in them has its text elsewhere, beside teasers.
+MARKED = 0.5
 #: Characters of html in a block of pages, and what a page counts besides.
 BLOCK_CHARS, PAGE_CHARS = 1_500_000, 200
 #: Repeated texts up to which they are broadcast to the pages, about 150 MB.
@@ -46,7 +46,7 @@ BROADCAST_TEXTS = 1_000_000
 CHROME, PLAIN, MAIN, ARTICLE = range(4)
 _SLACK = 1e-6  # of sums of weights
 
-#: Element names by what they mean for the text.
+# Element names by what they mean for the text.
 SKIPPED = frozenset("script style noscript template svg iframe object textarea select button option head title math canvas audio video".split())
 CHROME_TAGS = frozenset("nav footer aside form header dialog menu".split())
 BREAKS = frozenset(
@@ -54,6 +54,9 @@ BREAKS = frozenset(
     "hr main nav header footer aside form fieldset address details summary body html dialog menu".split()
 )
 VOID = frozenset("br hr img input meta link area base col embed source track wbr".split())
+#: Elements that a class, role or id can make chrome; headings, paragraphs and what stands in a
+#: line are text, whatever they are called.
+CONTAINERS = frozenset("div section ul ol dl table".split())
 CHROME_WORDS = frozenset(
     "ad ads advert adverts advertisement advertising banner promo promotion sponsor sponsored cookie cookies consent notice gdpr "
     "popup modal newsletter subscribe subscription sidebar nav navbar navigation menu breadcrumb breadcrumbs footer comment "
@@ -61,6 +64,8 @@ CHROME_WORDS = frozenset(
     "masthead topbar search login signup complementary contentinfo hidden alert".split()
 )
 OUTER_WORDS = frozenset("header banner".split())
+#: Words that say nothing on their own: ``site-footer`` is chrome, ``ad-hoc`` is not.
+NEUTRAL_WORDS = frozenset("site page top bottom left right container wrapper wrap box block list area section bar inner outer global main primary secondary row".split())
 ARTICLE_WORDS = re.compile(r"\b(?:article-?body|post-content|entry-content|article-content|story-body)\b", re.I)
 
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<[/!?A-Za-z][^>]*(?:>|\Z)", re.S)
@@ -68,7 +73,18 @@ _MARKS = re.compile(r"\b(class|id|role|itemprop|hidden|aria-hidden|style)\b(?:\s
 _PARTS = re.compile(r"[^A-Za-z0-9]+")
 
 
+def _names_chrome(value: str, inner: bool) -> bool:
+    """Whether one of the names in a class, role or id is made of chrome words."""
+    for name in value.split():
+        parts = {p for p in _PARTS.split(name) if p} - NEUTRAL_WORDS
+        if parts and parts <= (CHROME_WORDS if inner else CHROME_WORDS | OUTER_WORDS):
+            return True
+    return False
+
+
 def _is_chrome(tag: str, attributes: str, inner: bool) -> bool:
+    """Whether an element is chrome; ``inner`` inside a marked article or main part, where an
+    id alone does not count: it is the anchor of a heading."""
     if tag in CHROME_TAGS and not (tag == "header" and inner):
         return True
     if not attributes or tag in ("html", "body", "main"):
@@ -80,10 +96,8 @@ def _is_chrome(tag: str, attributes: str, inner: bool) -> bool:
         if name == "style":
             if "display:none" in value.replace(" ", ""):
                 return True
-        elif name != "itemprop":
-            found = set(_PARTS.split(value))
-            if found & CHROME_WORDS or (not inner and found & OUTER_WORDS):
-                return True
+        elif tag in CONTAINERS and (name in ("class", "role") or (name == "id" and not inner)) and _names_chrome(value, inner):
+            return True
     return False
 
 
@@ -94,6 +108,8 @@ def blocks(page: str | None) -> list[tuple[int, str]]:
     out: list[tuple[int, str]] = []
     parts: list[str] = []
     zones: list[tuple[str, int]] = []  # open main and article elements
+    open_zones: Counter[str] = Counter()
+    endless: set[str] = set()  # elements without an end from here on
     chrome, depth = "", 0  # the element that opened chrome, and how many of its name are open
 
     def close() -> None:
@@ -117,7 +133,9 @@ def blocks(page: str | None) -> list[tuple[int, str]]:
             continue
         tag, closing = m[2].lower(), bool(m[1])
         if tag in SKIPPED and not closing and not m[3].endswith("/"):
-            finish = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, at)
+            finish = None if tag in endless else re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, at)
+            if finish is None:
+                endless.add(tag)
             if finish:
                 at = finish.end()
             elif tag in ("script", "style", "noscript", "template", "textarea", "iframe"):
@@ -138,32 +156,37 @@ def blocks(page: str | None) -> list[tuple[int, str]]:
         elif tag in ("br", "td", "th"):
             parts.append(" ")
         if closing:
-            for i in range(len(zones) - 1, -1, -1):
-                if zones[i][0] == tag:
-                    close()
-                    del zones[i:]
-                    break
+            if open_zones[tag]:
+                close()
+                last = None
+                while last != tag:
+                    last = zones.pop()[0]
+                    open_zones[last] -= 1
             continue
         if tag not in VOID and _is_chrome(tag, m[3], bool(zones)):
-            close()
             chrome, depth = tag, 1
         elif tag == "article" or (m[3] and tag in ("div", "section") and ARTICLE_WORDS.search(m[3])):
             close()
             zones.append((tag, ARTICLE))
+            open_zones[tag] += 1
         elif tag == "main" or (zones and tag in ("div", "section") and zones[-1][0] == tag):
             # Same-named elements inside are counted, so that their ends do not end the zone.
             close()
             zones.append((tag, max(MAIN, zones[-1][1]) if zones else MAIN))
+            open_zones[tag] += 1
     if not chrome:
         close()
     return out
 
 
 def candidates(page: str | None) -> tuple[int, list[str]]:
-    """The best zone that has text, and its blocks."""
+    """The blocks that may be a page's text, and the best zone among them: those in marked articles
+    and main parts, or all, if these hold less than ``MARKED`` of the text."""
     found = blocks(page)
-    best = max((z for z, _ in found), default=PLAIN)
-    return best, [text for z, text in found if z == best]
+    marked = [(z, text) for z, text in found if z > PLAIN]
+    if not marked or sum(len(t) for _, t in marked) < MARKED * sum(len(t) for _, t in found):
+        return PLAIN, [text for _, text in found]
+    return max(z for z, _ in marked), [text for _, text in marked]
 
 
 def _stream(pages: list[list[str]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -289,15 +312,15 @@ def _share(marked: bool) -> float:
     return ARTICLE_SHARE if marked else SHARE
 
 
-_FOUND = "host string, blocks int, marked boolean, gram long, n double"
+_FOUND = "host string, blocks int, marked boolean, gram long, n double, pages double"
 
 
-def _rows(frame: pd.DataFrame, marked: bool, grams: np.ndarray, n) -> pd.DataFrame:
+def _rows(frame: pd.DataFrame, marked: bool, grams: np.ndarray, n, pages: float = 0.0) -> pd.DataFrame:
     key = {"host": frame["host"].iloc[0], "blocks": frame["blocks"].iloc[0], "marked": marked}
-    return pd.DataFrame({**key, "gram": grams.view(np.int64), "n": n}, index=range(len(grams)))
+    return pd.DataFrame({**key, "gram": grams.view(np.int64), "n": n, "pages": pages}, index=range(len(grams)))
 
 
-_KINDS = {"host": object, "blocks": "int64", "marked": bool, "gram": "int64", "n": "float64"}
+_KINDS = {"host": object, "blocks": "int64", "marked": bool, "gram": "int64", "n": "float64", "pages": "float64"}
 
 
 def _table(parts: list[pd.DataFrame]) -> pd.DataFrame:
@@ -318,8 +341,8 @@ def _candidates(frame: pd.DataFrame) -> pd.DataFrame:
 
 
 def _counted(frame: pd.DataFrame, wanted: pd.DataFrame) -> pd.DataFrame:
-    """The weight of the pages of one block that have each wanted substring; with gram -1, of
-    all its pages."""
+    """The weight of the pages of one block that have each wanted substring, and of all its
+    pages; every block of a host is asked for each, so the sums are those of the host."""
     out = []
     for marked, at, texts in _by_zone(frame) if len(frame) and len(wanted) else ():
         grams = np.unique(wanted.loc[wanted["marked"] == marked, "gram"].to_numpy(dtype=np.int64)).view(np.uint64)
@@ -327,12 +350,10 @@ def _counted(frame: pd.DataFrame, wanted: pd.DataFrame) -> pd.DataFrame:
             weights, total = frame["weight"].to_numpy(dtype=float)[at], np.zeros(len(grams))
             for page, weight in zip(texts, weights.tolist(), strict=True):
                 total += weight * np.isin(grams, _grams(_stream([page])[1], MIN_TOKENS))
-            out += [_rows(frame, marked, grams, total), _rows(frame, marked, np.array([_ALL], dtype=np.int64), weights.sum())]
+            out.append(_rows(frame, marked, grams, total, weights.sum()))
     return _table(out)
 
 
-#: Stands for all pages among the hashes.
-_ALL = -1
 _TEXT = "page_id long, url string, text string"
 
 
@@ -341,9 +362,7 @@ def _extracted(frame: pd.DataFrame, boilerplate: pd.DataFrame) -> pd.DataFrame:
     for marked, at, found in _by_zone(frame):
         grams = boilerplate.loc[boilerplate["marked"] == marked, "gram"].to_numpy(dtype=np.int64).view(np.uint64)
         for i, page in zip(at, found, strict=True):
-            left = unique_runs(page, grams)
-            size = lambda texts: sum(t.count(" ") + 1 for t in texts)
-            texts[i] = "\n".join(left if size(left) >= KEPT * size(page) else page)
+            texts[i] = "\n".join(unique_runs(page, grams))
     return pd.DataFrame({"page_id": frame["page_id"].astype(object), "url": frame["url"].astype(object), "text": pd.Series(texts, dtype=object, index=frame.index)})
 
 
@@ -396,14 +415,9 @@ def extract(pages: DataFrame, block_chars: int = BLOCK_CHARS) -> DataFrame:
     # All three passes over the texts are one plan and read the same shuffled blocks.
     some = blocked.applyInPandas(_candidates, _FOUND).select("host", "blocks", "marked", "gram").distinct()
     counted = blocked.cogroup(each_block(some)).applyInPandas(_counted, _FOUND)
-    summed = counted.groupBy("host", "blocks", "marked", "gram").agg(F.round(F.sum("n")).alias("n"))
-    # At most a block's frequent substrings for each of a host's blocks.
-    of_host = Window.partitionBy("host", "blocks", "marked")
+    summed = counted.groupBy("host", "blocks", "marked", "gram").agg(F.round(F.sum("n")).alias("n"), F.round(F.sum("pages")).alias("pages"))
     share = F.when(F.col("marked"), F.lit(ARTICLE_SHARE)).otherwise(SHARE)
     least = F.when(F.col("marked"), F.lit(ARTICLE_PAGES)).otherwise(PAGES)
-    pages_of = F.max(F.when(F.col("gram") == _ALL, F.col("n"))).over(of_host)
-    boilerplate = summed.withColumn("pages", pages_of).where(
-        (F.col("gram") != _ALL) & (F.col("n") >= least) & (F.col("n") >= share * F.col("pages"))
-    )
+    boilerplate = summed.where((F.col("n") >= least) & (F.col("n") >= share * F.col("pages")))
     cut = blocked.cogroup(each_block(boilerplate.select("host", "blocks", "marked", "gram"))).applyInPandas(_extracted, _TEXT)
     return cut.unionByName(empty)

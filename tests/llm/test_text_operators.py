@@ -5,7 +5,9 @@ from __future__ import annotations
 import itertools
 import math
 import re
+import time
 from collections import Counter
+from html.parser import HTMLParser
 
 import numpy as np
 import pytest
@@ -13,7 +15,7 @@ import regex
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from ledgerlens.llm import line_quality, page_text, personal_data, token_counts, toxicity
-from ledgerlens.llm.queries import op4_line_quality, op7_personal_data, op8_toxicity
+from ledgerlens.llm.queries import op1_page_text, op4_line_quality, op7_personal_data, op8_toxicity
 
 from tests.llm.conftest import TINY
 
@@ -198,6 +200,74 @@ def test_blocks_follow_the_markup():
     assert page_text.candidates(nested)[1] == ["x", "y"]
 
 
+def test_names_do_not_make_text_chrome():
+    article = """<article><h2 id="related-work">Related work</h2><h2 id="social-security">Security</h2><p class="search">Find it</p>
+    <div class="ad-hoc">Ad hoc</div><section id="sharing"><p>Sharing</p></section><p>See <a class="share">this word</a> and <span hidden>not</span> that.</p>
+    <ul class="share"><li>Post</li></ul><div class="ad">Buy</div><div role="search">Go</div></article>"""
+    assert page_text.candidates(article)[1] == ["Related work", "Security", "Find it", "Ad hoc", "Sharing", "See this word and that."]
+    outside = '<div id="sidebar">s</div><div class="site-footer">f</div><div class="cookie-banner top">c</div><div id="comments"><p>x</p></div><p>text</p>'
+    assert page_text.candidates(outside)[1] == ["text"]
+
+
+def test_zones_lose_no_text():
+    assert page_text.candidates("<main><p>Intro</p><article>Body</article><p>Closing</p></main>")[1] == ["Intro", "Body", "Closing"]
+    story = "The main story is much longer than the teaser beside it."
+    assert story in page_text.candidates(f"<div>{story}</div><article>Teaser</article>")[1]
+    assert page_text.candidates(f"<ul><li>menu</li></ul><article>{story}</article>")[1] == [story]
+
+
+@pytest.mark.parametrize("page", ["<svg>" * 200_000, "<title>x" * 140_000, "<article>" * 50_000 + "</section>" * 50_000, "<article></div>" * 70_000, "<select><svg>" * 70_000])
+def test_parsing_is_linear(page):
+    started = time.perf_counter()
+    page_text.candidates(page)
+    assert time.perf_counter() - started < 5
+
+
+class Reference(HTMLParser):
+    """The text of the article of a page, by another parser."""
+
+    BLOCKS = frozenset("p h1 h2 h3 li ul div article nav footer section".split())
+
+    def __init__(self):
+        super().__init__()
+        self.open, self.parts, self.found = [], [], []
+
+    def flush(self):
+        if text := " ".join("".join(self.parts).split()):
+            self.found.append(text)
+        self.parts = []
+
+    def handle_starttag(self, tag, attrs):
+        if tag in self.BLOCKS:
+            self.flush()
+        if tag == "br":
+            self.parts.append(" ")
+        elif tag in ("article", "script", "style") or (tag, dict(attrs).get("class")) == ("div", "ad"):
+            self.open.append(tag)
+
+    def handle_endtag(self, tag):
+        if tag in self.BLOCKS:
+            self.flush()
+        if self.open and self.open[-1] == tag:
+            self.open.pop()
+
+    def handle_data(self, data):
+        if self.open == ["article"]:
+            self.parts.append(data)
+
+
+def test_pages_equal_another_parser(spark):
+    folder = "/root/testdata/sf0.01"
+    pages = {r["page_id"]: r["html"] for r in spark.read.parquet(f"{folder}/pages.parquet").collect()}
+    got = {r["page_id"]: r for r in op1_page_text(spark, folder).collect()}
+    assert len(got) == len(pages) >= 250
+    for page_id, page in pages.items():
+        reference = Reference()
+        reference.feed(page or "")
+        reference.flush()
+        assert got[page_id]["text"].split("\n") == reference.found and got[page_id]["n_chars"] == len(got[page_id]["text"])
+
+
 @settings(max_examples=80, deadline=None)
 @given(st.lists(st.lists(st.lists(st.sampled_from("abc"), min_size=1, max_size=9).map(" ".join), max_size=3), max_size=6), st.sampled_from([0.3, 0.5, 1.0]))
 def test_suffix_array_finds_what_pages_share(pages, share):
@@ -242,8 +312,10 @@ def test_copies_of_a_page_stay_whole(spark):
     rows += [(200 + i, "http://d.org/", f"<p>{notice}</p><p>{' '.join(f'p{i}w{k}' for k in range(20))}</p>") for i in range(12)]
     rows += [(300 + i, "http://e.org/", f"<p>a{i} b{i} five words that were quoted c{i} d{i}</p>") for i in range(8)]
     rows += [(400 + i, "http://f.org/", "") for i in range(300)]
+    large = " ".join(f"notice{i}" for i in range(60))
+    rows += [(800 + i, "http://g.org/", f"<p>{large}</p><p>own{i} words{i} of{i} it{i}</p>") for i in range(12)]
     df = spark.createDataFrame(rows, "page_id long, url string, html string")
     plain = {i: "\n".join(page_text.candidates(h)[1]) for i, _, h in rows}
     for block_chars in (1_000_000, 2_000):
         got = {r["page_id"]: r["text"] for r in page_text.extract(df, block_chars).collect()}
-        assert got == {i: t.removeprefix(notice).strip() for i, t in plain.items()}
+        assert got == {i: t.removeprefix(notice).removeprefix(large).strip() for i, t in plain.items()}
