@@ -52,16 +52,15 @@ def matrix(rows: pd.Series, width: int | None = None) -> np.ndarray:
 
 
 def products(queries: pd.Series, data: pd.Series) -> np.ndarray:
-    """Inner products as whole numbers, exact also where doubles are not."""
+    """Inner products as whole numbers, exact also where doubles are not; one beyond a long counts
+    as the largest or smallest long."""
     width = max(1, max(map(len, queries), default=1), max(map(len, data), default=1))
     q, x = matrix(queries, width), matrix(data, width)
     if np.abs(q).max(initial=0) * np.abs(x).max(initial=0) * width < LARGEST:
         return (q @ x.T).astype(np.int64)
     wide = lambda rows: np.array([[int(v) for v in row] + [0] * (width - len(row)) for row in rows], dtype=object).reshape(len(rows), width)
     exact = wide(queries) @ wide(data).T
-    if exact.size and max(abs(exact.min()), abs(exact.max())) >= 1 << 63:
-        raise OverflowError("an inner product does not fit a long")
-    return exact.astype(np.int64)
+    return np.clip(exact, -(1 << 63), (1 << 63) - 1).astype(np.int64)
 
 
 @dataclass(frozen=True)
@@ -130,6 +129,7 @@ def _blocks_of(cells: Cells, k: int, first: bool):
                         "cell": [x[0] for x in out], "block": [x[1] for x in out],
                         "id": frame["id"].to_numpy()[where], "v": frame["v"].to_numpy()[where],
                         "least": frame["least"].to_numpy()[where], "grp": frame["grp"].to_numpy()[where],
+                        "asked": frame["asked"].to_numpy()[where],
                     }
                 )
 
@@ -137,17 +137,18 @@ def _blocks_of(cells: Cells, k: int, first: bool):
 
 
 def _solved(k: int):
-    """The best k of a block for each query sent there, if they reach its score."""
+    """The best k of a block for each query sent there, if they reach its score. A vector that
+    several rows have counts as often, and so does a query."""
 
     def solve(queries: pd.DataFrame, data: pd.DataFrame) -> pd.DataFrame:
         out = []
         data = data.sort_values("id", kind="stable")
-        ids = data["id"].to_numpy(dtype=np.int64)
+        ids, copies = data["id"].to_numpy(dtype=np.int64), data["copies"].to_numpy(dtype=np.int64)
         for start in range(0, len(queries) if len(data) else 0, 512):
             part = queries.iloc[start : start + 512]
             scores = products(part["v"], data["v"])
             own = part["id"].to_numpy(dtype=np.int64)
-            least = part["least"].to_numpy(dtype=np.int64)
+            least, asked = part["least"].to_numpy(dtype=np.int64), part["asked"].to_numpy(dtype=np.int64)
             for i, row in enumerate(scores):
                 fit = np.flatnonzero((row >= least[i]) & (ids != own[i]))
                 if len(fit) > k:
@@ -155,6 +156,10 @@ def _solved(k: int):
                     cut = np.partition(row[fit], len(fit) - k)[len(fit) - k]
                     above, tied = fit[row[fit] > cut], fit[row[fit] == cut]
                     fit = np.concatenate([above, tied[: k - len(above)]])
+                times = np.minimum(copies[fit] * asked[i], k)
+                if times.max(initial=1) > 1:
+                    order = np.lexsort((ids[fit], ~row[fit]))  # highest score first
+                    fit = np.repeat(fit[order], times[order])[:k]
                 out.append(pd.DataFrame({"query_id": own[i], "vec_id": ids[fit], "score": row[fit]}))
         return pd.concat(out) if out else pd.DataFrame({"query_id": [], "vec_id": [], "score": []}, dtype="int64")
 
@@ -174,29 +179,30 @@ def top_k(
     row for which ``queries`` holds, ties to the smaller key; all of them if there are fewer.
 
     Vectors that are null or hold a null or non-finite component, and rows without a key,
-    take no part. Rows of a repeated key count as one row for each distinct vector, and a query
-    never meets its own key; as a query the smallest of its vectors is taken. Vectors of
-    different widths are compared as if filled up with zeros.
+    take no part. A query never meets its own key. Repeated rows count as often as they are
+    there, each with its own vector, as data and as queries, whose hits are ranked together by
+    key. Vectors of different widths are compared as if filled up with zeros.
     """
     ready = vectors.select(F.col(key).cast("long").alias("id"), scaled(F.col(vector)).alias("v"), queries.alias("asks"))
-    ready = staged(ready.where("id IS NOT NULL AND v IS NOT NULL").groupBy("id", "v").agg(F.max("asks").alias("asks")), "vectors")
+    counted = (F.count(F.lit(1)).alias("copies"), F.count_if("asks").alias("asked"))
+    ready = staged(ready.where("id IS NOT NULL AND v IS NOT NULL").groupBy("id", "v").agg(*counted), "vectors")
     centres = _pick(ready.select("v").distinct(), pivots)
     none = np.zeros(0)
     cells = Cells(centres, none, none, none)
     if not len(centres):
         return vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score long")
-    placed = staged(ready.mapInPandas(_assigned(cells), "id long, v array<long>, asks boolean, cell int, away double"), "cells")
+    placed = staged(ready.mapInPandas(_assigned(cells), "id long, v array<long>, copies long, asked long, cell int, away double"), "cells")
     # One row per pivot.
     found = {r["cell"]: r for r in placed.groupBy("cell").agg(F.count("*").alias("n"), F.max("away").alias("r")).collect()}
     rows = np.array([found[c]["n"] if c in found else 0 for c in range(len(centres))])
     radius = np.array([found[c]["r"] if c in found else 0.0 for c in range(len(centres))])
     cells = Cells(centres, rows, radius, -(-rows // block))
     counts = F.create_map(*[x for c, n in enumerate(cells.blocks) for x in (F.lit(c), F.lit(int(n)))])
-    asking = placed.where("asks").groupBy("id").agg(F.min("v").alias("v"))
+    asking = placed.where("asked > 0").select("id", "v", "asked")
     groups = max(1, -(-asking.count() // group))
-    asking = asking.select("id", "v", F.lit(-(1 << 62)).cast("long").alias("least"), F.pmod(F.xxhash64("id"), F.lit(groups)).cast("int").alias("grp"))
-    data = placed.select("id", "v", "cell", F.pmod(F.xxhash64("id"), counts[F.col("cell")]).cast("int").alias("block"))
-    sent_type = "cell int, block int, id long, v array<long>, least long, grp int"
+    asking = asking.select("id", "v", F.lit(-(1 << 63)).cast("long").alias("least"), F.pmod(F.xxhash64("id"), F.lit(groups)).cast("int").alias("grp"), "asked")
+    data = placed.select("id", "v", "copies", "cell", F.pmod(F.xxhash64("id"), counts[F.col("cell")]).cast("int").alias("block"))
+    sent_type = "cell int, block int, id long, v array<long>, least long, grp int, asked long"
 
     def hits(sent: DataFrame) -> DataFrame:
         at = ("cell", "block", "grp")
@@ -206,7 +212,7 @@ def top_k(
 
     early = staged(_best(hits(asking.mapInPandas(_blocks_of(cells, k, True), sent_type)), k), "early")
     least = early.where(F.col("rank") == k).select(F.col("query_id").alias("q"), F.col("score").alias("reached"))
-    known = asking.join(least, F.col("id") == F.col("q"), "left").select("id", "v", F.coalesce("reached", "least").alias("least"), "grp")
+    known = asking.join(least, F.col("id") == F.col("q"), "left").select("id", "v", F.coalesce("reached", "least").alias("least"), "grp", "asked")
     late = hits(known.mapInPandas(_blocks_of(cells, k, False), sent_type))
     best = _best(early.select("query_id", "vec_id", "score").union(late), k)
     return best.select("query_id", "rank", "vec_id", "score")

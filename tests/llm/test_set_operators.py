@@ -21,12 +21,11 @@ from tests.llm.conftest import TINY
 
 def brute_top(rows, k):
     ready = [(i, [int(np.floor(64 * x)) for x in v]) for i, v in rows if i is not None and v is not None and all(x is not None and np.isfinite(x) for x in v)]
-    out = set()
+    scores = defaultdict(list)
     for q, qv in ready:
         if q % 20 == 0:
-            scores = sorted((-sum(a * b for a, b in zip(qv, v)), i) for i, v in ready if i != q)
-            out |= {(q, r + 1, i, -s) for r, (s, i) in enumerate(scores[:k])}
-    return out
+            scores[q] += [(-max(-(2**63), min(2**63 - 1, sum(a * b for a, b in zip(qv, v)))), i) for i, v in ready if i != q]
+    return sorted((q, r + 1, i, -s) for q, found in scores.items() for r, (s, i) in enumerate(sorted(found)[:k]))
 
 
 @pytest.mark.parametrize("pivots,block,group", [(64, 8192, 4096), (5, 16, 2), (1, 1000, 1)])
@@ -37,10 +36,30 @@ def test_top_k_equals_brute_force(spark, pivots, block, group):
     rows += [(300, None), (320, [None] * 6), (340, [float("nan")] * 6), (360, [float("inf")] + [0.0] * 5), (None, [1.0] * 6), (380, [])]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").withColumn("cell", F.lit(1)).withColumn("score", F.lit("x"))
     got = knn.top_k(df, F.col("vec_id") % 20 == 0, 7, pivots=pivots, block=block, group=group)
-    assert {tuple(r) for r in got.collect()} == brute_top(rows, 7)
+    assert sorted(tuple(r) for r in got.collect()) == brute_top(rows, 7)
     assert knn.top_k(df.limit(0), F.col("vec_id") % 20 == 0).count() == 0
 
 
+def test_repeated_rows_count_as_in_sql(spark, tmp_path):
+    duckdb = pytest.importorskip("duckdb")
+    random = np.random.default_rng(8)
+    rows = [(i, [float(x) for x in random.integers(-3, 4, 4)]) for i in range(90)]
+    rows += [rows[3]] * 25 + [rows[20]] * 3 + [(40, [1.0, 0.5, -2.0, 3.0]), rows[7], rows[7]]
+    spark.createDataFrame(rows, "vec_id long, embedding array<double>").write.parquet(str(tmp_path / "embeddings.parquet"))
+    connection = duckdb.connect()
+    connection.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{tmp_path}/embeddings.parquet/*.parquet'")
+    want = sorted(connection.execute(oracle_sql()["op2_voronoi_top_k"]).fetchall())
+    for block, group in ((8192, 4096), (8, 2)):
+        got = knn.top_k(spark.read.parquet(str(tmp_path / "embeddings.parquet")), F.col("vec_id") % 20 == 0, pivots=6, block=block, group=group)
+        assert sorted(tuple(r) for r in got.collect()) == want == brute_top(rows, 20)
+
+
+def test_products_beyond_a_long_are_the_largest(spark):
+    rows = [(0, [2.0**40, 2.0**40]), (1, [2.0**40, 1.0]), (2, [-(2.0**40), 0.0]), (3, [1.0, 1.0]), (4, [2.0**40, 5.0])]
+    got = knn.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") == 0).collect()
+    assert [(r["vec_id"], r["score"]) for r in got] == [(1, 2**63 - 1), (4, 2**63 - 1), (3, 2**53), (2, -(2**63))]
+
+
 def test_large_components_stay_exact(spark):
     rows = [(0, [2.0**24, 1.0]), (1, [2.0**24, 3.0]), (2, [2.0**24, 5.0])]
     got = knn.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") == 0).collect()
