@@ -257,6 +257,13 @@ BODIES = {
                {cents("ar_outstanding")} AS ar_outstanding,
                {cents("CASE WHEN renewal_probability < 0.60 THEN arr ELSE 0 END")} AS at_risk_arr
         FROM customer_finance_summary""",
+    "stored_summary": "SELECT * FROM customer_finance_summary",
+    "stored_quarter": f"""
+        SELECT customer_id, COALESCE(billed, 0) AS billed, COALESCE(outstanding, 0) AS outstanding, COALESCE(cost, 0) AS cost
+        FROM (SELECT customer_id, {cents("amount")} AS billed, {cents("CASE WHEN status <> 'Paid' THEN amount END")} AS outstanding
+              FROM invoices WHERE invoice_date >= DATE '2001-04-01' AND invoice_date < DATE '2001-07-01' GROUP BY 1) i
+        FULL JOIN (SELECT customer_id, {_rounded("total_cost")} AS cost FROM cloud_costs
+                   WHERE cost_month BETWEEN DATE '2001-04-01' AND DATE '2001-06-01' GROUP BY 1) c USING (customer_id)""",
     "portfolio_exact": f"""
         SELECT CAST((SELECT {_large("amount")} FROM invoices) AS VARCHAR) AS billed_revenue_6m,
                CAST((SELECT {_large("amount")} FROM payments) AS VARCHAR) AS cash_collected_6m,

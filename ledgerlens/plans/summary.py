@@ -68,25 +68,37 @@ def customer_measures(dfs: dict[str, DataFrame], tables: list[str]) -> DataFrame
     shuffle of map-side combined rows in place of one aggregate and one join per table,
     and since nothing is joined, nothing can fan out.
     """
-    stacked = reduce(
-        lambda a, b: a.unionByName(b, allowMissingColumns=True), [_measure_rows(dfs, t) for t in tables]
+    return _added_up(
+        reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), [_measure_rows(dfs, t) for t in tables])
     )
+
+
+def _added_up(rows: DataFrame) -> DataFrame:
     measures = []
-    for c in stacked.columns:
+    for c in rows.columns:
         if c == "critical":
             measures.append(F.coalesce(F.sum(c), F.lit(0)).alias(c))
         elif c.endswith("_adoption_rate"):
             measures.append(F.max(c).alias(c))
         elif c != "customer_id":
             measures.append(total(F.col(c)).alias(c))
-    return stacked.groupBy("customer_id").agg(*measures)
+    return rows.groupBy("customer_id").agg(*measures)
+
 
+def measures_of(dfs: dict[str, DataFrame], table: str) -> DataFrame:
+    """One row per customer with the sums and counts over one fact table. Where tables are stored by
+    customer, each is added up, and the sums are joined, where they lie."""
+    return _added_up(_measure_rows(dfs, table))
 
-def customer_summary(dfs: dict[str, DataFrame], wanted: Sequence[str] | None = None, carried: bool = False) -> DataFrame:
+
+def customer_summary(
+    dfs: dict[str, DataFrame], wanted: Sequence[str] | None = None, carried: bool = False, by_customer: bool = False
+) -> DataFrame:
     """One row per customer, nineteen columns or those ``wanted``.
 
     Amounts come out as doubles, or, ``carried``, as the exact decimals they are: for
-    whatever adds them up again.
+    whatever adds them up again. ``by_customer`` says that the tables are stored that way
+    (``store_by_customer``); the result is the same.
 
     Only the fact tables behind the wanted columns are read. ARR adds up active
     subscriptions. The forecast is the one that renews first. A customer without facts
@@ -98,7 +110,8 @@ def customer_summary(dfs: dict[str, DataFrame], wanted: Sequence[str] | None = N
 
     joined = dfs["customers"].select("customer_id", "customer_name")
     if facts:
-        joined = joined.join(customer_measures(dfs, facts), "customer_id", "left")
+        measures = [measures_of(dfs, t) for t in facts] if by_customer else [customer_measures(dfs, facts)]
+        joined = reduce(lambda a, b: a.join(b, "customer_id", "left"), [joined, *measures])
     if _FORECASTS in needed:
         forecast = next_forecast(dfs[_FORECASTS]).drop("subscription_id", "renewal_arr")
         joined = joined.join(forecast, "customer_id", "left")
