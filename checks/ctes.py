@@ -59,11 +59,11 @@ CTES = {
                CAST(CAST(o_totalprice AS DECIMAL(18,2)) AS DOUBLE) AS amount,
                CASE o_orderstatus WHEN 'F' THEN 'Paid' WHEN 'P' THEN 'Overdue' ELSE 'Open' END AS status,
                CASE WHEN o_orderstatus = 'F'
-                    THEN CAST(o_orderdate AS DATE) + 29 - CAST(8 - o_orderkey % 6 AS INTEGER) END AS paid_date
+                    THEN CAST(o_orderdate AS DATE) + 29 - CAST(o_orderkey % 10 AS INTEGER) END AS paid_date
         FROM orders WHERE o_orderdate >= {START} AND o_orderdate < {END}""",
     "payments": """
         SELECT 'PAY-' || invoice_id AS payment_id, invoice_id, customer_id, paid_date AS payment_date, amount,
-               CASE CAST(customer_id AS BIGINT) % 3 WHEN 0 THEN 'ACH' WHEN 1 THEN 'Wire' ELSE 'Card' END
+               CASE CAST(customer_id AS BIGINT) % 4 WHEN 0 THEN 'transfer' WHEN 1 THEN 'card' WHEN 2 THEN 'cheque' ELSE 'debit' END
                    AS payment_method
         FROM invoices WHERE status = 'Paid'""",
     "metered": """

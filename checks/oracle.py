@@ -213,17 +213,17 @@ BODIES = {
         FROM cloud_costs""",
     "support_load_tier": """
         SELECT subscription_id, contract_tier,
-               CAST(CASE contract_tier WHEN 'AUTOMOBILE' THEN 2.0 WHEN 'MACHINERY' THEN 1.4 ELSE 1.0 END AS DOUBLE)
+               CAST(CASE contract_tier WHEN 'AUTOMOBILE' THEN 1.5 WHEN 'MACHINERY' THEN 1.2 ELSE 1.0 END AS DOUBLE)
                    AS support_load FROM terms""",
     "cost_allocation": """
         SELECT subscription_id, customer_id, cost_month, CAST(compute AS DOUBLE) AS compute_cost,
                CAST(storage AS DOUBLE) AS storage_cost, CAST(support AS DOUBLE) AS support_cost,
                CAST(compute + storage + support AS DOUBLE) AS total_cost
         FROM (SELECT u.subscription_id, u.customer_id, u.usage_month AS cost_month,
-                     CAST(ROUND(CAST(compute_hours AS DECIMAL(18,4)) * 5, 2) AS DECIMAL(18,2)) AS compute,
-                     CAST(720 + 18 * ((usage_month - DATE '2024-01-01') // 5) AS DECIMAL(18,2)) AS storage,
-                     CAST(CASE contract_tier WHEN 'AUTOMOBILE' THEN 2100 WHEN 'MACHINERY' THEN 1470 ELSE 1050 END
-                          + 35 * ((usage_month - DATE '2024-01-01') // 5) AS DECIMAL(18,2)) AS support
+                     CAST(ROUND(CAST(compute_hours AS DECIMAL(18,4)) * 4.2, 2) AS DECIMAL(18,2)) AS compute,
+                     CAST(610 + 12.5 * ((usage_month - DATE '2024-01-01') // 5) AS DECIMAL(18,2)) AS storage,
+                     CAST(CASE contract_tier WHEN 'AUTOMOBILE' THEN 1410 WHEN 'MACHINERY' THEN 1128 ELSE 940 END
+                          + 27 * ((usage_month - DATE '2024-01-01') // 5) AS DECIMAL(18,2)) AS support
               FROM usage_monthly u JOIN terms t ON u.subscription_id = t.subscription_id)""",
     "cost_trend": "SELECT * FROM cost_ends",
     "cost_change": """

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -11,9 +12,6 @@ from ledgerlens.functions.amounts import exact, exact_sum, monthly, number
 from ledgerlens.functions.identifiers import cyclic
 from ledgerlens.functions.rules import PAID, ar_class
 
-PAYMENT_METHODS = ["ACH", "Wire", "Card"]
-
-
 def billing_schedule(subscriptions: DataFrame, start: dt.date, end: dt.date) -> DataFrame:
     """One row per subscription per month from ``start`` to ``end``, both included."""
     months = F.sequence(F.lit(start), F.lit(end), F.expr("interval 1 month"))
@@ -43,15 +41,15 @@ def with_ar_class(invoices: DataFrame) -> DataFrame:
     return invoices.withColumn("ar_class", ar_class(F.col("status")))
 
 
-def payments_from_invoices(invoices: DataFrame, method_index: Column) -> DataFrame:
-    """One payment per paid invoice, on its paid date, methods in turn by ``method_index``."""
+def payments_from_invoices(invoices: DataFrame, method_index: Column, methods: Sequence[str]) -> DataFrame:
+    """One payment per paid invoice, on its paid date, ``methods`` in turn by ``method_index``."""
     return invoices.filter(F.col("status") == PAID).select(
         F.concat(F.lit("PAY-"), "invoice_id").alias("payment_id"),
         "invoice_id",
         "customer_id",
         F.col("paid_date").alias("payment_date"),
         "amount",
-        cyclic(method_index, PAYMENT_METHODS).alias("payment_method"),
+        cyclic(method_index, list(methods)).alias("payment_method"),
     )
 
 

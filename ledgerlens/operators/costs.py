@@ -14,11 +14,11 @@ from ledgerlens.functions.amounts import change_pct, divide, exact, exact_sum, n
 class RateCard:
     """Prices per unit; the support load multiplies the support base by class."""
 
-    compute_rate: str = "5.00"
-    storage_base: str = "720.00"
-    storage_step: str = "18.00"
-    support_base: str = "1050.00"
-    support_step: str = "35.00"
+    compute_rate: str
+    storage_base: str
+    storage_step: str
+    support_base: str
+    support_step: str
     support_load: dict[str, float] = field(default_factory=dict)
     default_load: float = 1.0
 

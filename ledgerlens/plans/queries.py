@@ -22,7 +22,7 @@ from ledgerlens.schema import FOREIGN_KEYS, columns
 from ledgerlens.session import staging_path
 from ledgerlens.sources import files, tables
 from ledgerlens.sources.snapshots import Digest, digest_columns
-from ledgerlens.sources.star import EPOCH, PERIOD_DAYS, TERMS, StarSource
+from ledgerlens.sources.star import EPOCH, PERIOD_DAYS, TERMS, StarSource, days_early
 
 Query = Callable[[StarSource], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -32,7 +32,10 @@ FACTS = (
     "cloud_costs", "renewal_forecasts",
 )
 MODEL_KEYS = ("profile_id", "customer_id", "customer_name")
-CARD = costs.RateCard(support_load={"AUTOMOBILE": 2.0, "MACHINERY": 1.4})
+CARD = costs.RateCard(
+    compute_rate="4.20", storage_base="610.00", storage_step="12.50", support_base="940.00", support_step="27.00",
+    support_load={"AUTOMOBILE": 1.5, "MACHINERY": 1.2},
+)
 
 
 def query(build: Query) -> Query:
@@ -255,8 +258,7 @@ def invoice_due_dates(s):
 
 @query
 def invoice_settlement(s):
-    days_early = 8 - F.col("invoice_id").cast("bigint") % 6
-    settled = billing.with_settlement(s.invoices().drop("paid_date"), days_early)
+    settled = billing.with_settlement(s.invoices().drop("paid_date"), days_early(F.col("invoice_id").cast("bigint")))
     return settled.select("invoice_id", "status", "due_date", "paid_date")
 
 

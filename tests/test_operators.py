@@ -33,7 +33,7 @@ def test_due_and_paid_dates(make):
 
 
 def test_payments_only_for_paid_invoices(company):
-    made = billing.payments_from_invoices(company["invoices"], F.lit(4))
+    made = billing.payments_from_invoices(company["invoices"], F.lit(4), ("ACH", "Wire", "Card"))
     assert rows(made, "payment_id", "payment_date", "payment_method") == [
         ("PAY-I1", day("2026-08-25"), "Wire"),
         ("PAY-I4", day("2026-08-20"), "Wire"),
@@ -161,10 +161,13 @@ def test_bitmaps_count_ids_of_any_size(spark):
     assert usage.id_bitmaps(frame, ["g"], F.col("id"))._jdf.queryExecution().executedPlan().toString().count("partial_bitmap_construct_agg") == 1
 
 
+PRICES = ("5.40", "700.00", "38.00", "1000.00", "105.00")
+
+
 def test_support_load_defaults_to_one(company):
-    card = costs.RateCard(support_load={"Gold": 2.0})
+    card = costs.RateCard(*PRICES, support_load={"Gold": 2.0})
     assert {r.support_load for r in costs.with_support_load(company["subscriptions"], card).collect()} == {2.0}
-    other = costs.RateCard(support_load={"Iron": 2.0})
+    other = costs.RateCard(*PRICES, support_load={"Iron": 2.0})
     assert {r.support_load for r in costs.with_support_load(company["subscriptions"], other).collect()} == {1.0}
 
 
@@ -174,7 +177,7 @@ def test_cost_allocation(make, spark):
         {"subscription_id": "S", "customer_id": "C", "usage_month": day("2026-04-01"), "compute_hours": 10.5},
     )
     loads = spark.createDataFrame([("S", 1.4)], "subscription_id string, support_load double")
-    card = costs.RateCard(compute_rate="5.40")
+    card = costs.RateCard(*PRICES)
     found = costs.cost_allocation(table, loads, card, F.lit(1)).first()
     assert (found.compute_cost, found.storage_cost, found.support_cost) == (56.7, 738.0, 1505.0)
     assert found.total_cost == 2299.7
