@@ -66,6 +66,25 @@ CTES = {
                CASE CAST(customer_id AS BIGINT) % 4 WHEN 0 THEN 'transfer' WHEN 1 THEN 'card' WHEN 2 THEN 'cheque' ELSE 'debit' END
                    AS payment_method
         FROM invoices WHERE status = 'Paid'""",
+    "damaged_payments": """
+        SELECT payment_id, CASE right(invoice_id, 1) WHEN '4' THEN 'X' || invoice_id ELSE invoice_id END AS invoice_id, customer_id,
+               payment_date, CASE right(invoice_id, 1) WHEN '3' THEN CAST(CAST(amount AS DECIMAL(18,2)) + 0.01 AS DOUBLE)
+                                  ELSE amount END AS amount, payment_method
+        FROM payments, range(2) AS r(n)
+        WHERE right(invoice_id, 1) <> '1' AND (n = 0 OR right(invoice_id, 1) = '2')
+        UNION ALL SELECT 'PAY-' || invoice_id, invoice_id, customer_id, due_date, amount, 'card' FROM invoices
+        WHERE status = 'Open' AND right(invoice_id, 1) = '5'""",
+    "damaged_sums": f"""
+        SELECT invoice_id, {cents("amount")} AS paid, COUNT(*) AS n FROM damaged_payments GROUP BY 1""",
+    "damaged_match": """
+        SELECT invoice_id, status, amount AS billed, paid,
+               CASE WHEN amount IS NULL THEN 'payment_without_invoice'
+                    WHEN status <> 'Paid' AND paid IS NULL THEN 'unpaid'
+                    WHEN status <> 'Paid' THEN 'payment_of_unpaid_invoice'
+                    WHEN paid IS NULL THEN 'paid_without_payment'
+                    WHEN n > 1 THEN 'several_payments'
+                    WHEN amount <> paid THEN 'amount_differs' ELSE 'matched' END AS match
+        FROM invoices FULL JOIN damaged_sums USING (invoice_id)""",
     "metered": """
         SELECT CAST(user_id AS VARCHAR) AS subscription_id,
                DATE '2024-01-01' + CAST(5 * ((CAST(ts AS DATE) - DATE '2024-01-01') // 5) AS INTEGER)

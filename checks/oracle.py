@@ -201,6 +201,20 @@ BODIES = {
         SELECT i.invoice_id, i.status, i.amount AS billed, p.amount AS paid, '' AS match
         FROM invoices i FULL JOIN payments p ON i.invoice_id = p.invoice_id
         WHERE i.invoice_id IS NULL OR (i.status = 'Paid') <> (p.invoice_id IS NOT NULL) OR i.amount <> p.amount""",
+    "mismatch_damaged": "SELECT * FROM damaged_match WHERE match NOT IN ('matched', 'unpaid')",
+    "orphans_damaged": """
+        SELECT payment_id, invoice_id, amount FROM damaged_payments p
+        WHERE NOT EXISTS (SELECT 1 FROM invoices i WHERE i.invoice_id = p.invoice_id)""",
+    "duplicates_damaged": """
+        SELECT 'payments' AS table_name, 'payment_id' AS key_columns, payment_id AS key, COUNT(*) AS copies
+        FROM damaged_payments GROUP BY payment_id HAVING COUNT(*) > 1""",
+    "cash_damaged": f"""
+        SELECT customer_id, billed, collected, outstanding,
+               CAST(CAST(billed AS DECIMAL(18,2)) - CAST(collected AS DECIMAL(18,2)) - CAST(outstanding AS DECIMAL(18,2)) AS DOUBLE)
+                   AS difference
+        FROM (SELECT customer_id, COALESCE(billed, 0) AS billed, COALESCE(collected, 0) AS collected, COALESCE(outstanding, 0) AS outstanding
+              FROM billing FULL JOIN (SELECT customer_id, {cents("amount")} AS collected FROM damaged_payments GROUP BY 1) USING (customer_id))
+        WHERE difference <> 0""",
     "invoice_payment_match": f"""
         SELECT CASE WHEN p.invoice_id IS NULL THEN 'unpaid' ELSE 'matched' END AS match, COUNT(*) AS invoices,
                {cents("i.amount")} AS billed, {cents("p.amount")} AS paid

@@ -14,7 +14,7 @@ from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerlens.functions.amounts import exact, number, total
+from ledgerlens.functions.amounts import cents, exact, number, total
 from ledgerlens.functions.identifiers import period_key
 from ledgerlens.operators import billing, costs, customer, facts, ordering, quality, semantic, usage
 from ledgerlens.plans import questions, summary
@@ -295,6 +295,49 @@ def invoice_payment_mismatch(s):
     return billing.invoice_payment_mismatch(s.invoices(), s.payments())
 
 
+def _damaged_payments(s: StarSource) -> DataFrame:
+    """Payments as a careless system might keep them: by the last digit of the invoice some are lost,
+    there twice, a cent off, or name no invoice; and some open invoices have one."""
+    last, payments = F.substring("invoice_id", -1, 1), s.payments()
+    copies = F.when(last == "1", F.array().cast("array<int>")).when(last == "2", F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(1)))
+    kept = payments.select(
+        "payment_id", F.when(last == "4", F.concat(F.lit("X"), "invoice_id")).otherwise(F.col("invoice_id")).alias("invoice_id"), "customer_id",
+        "payment_date", F.when(last == "3", cents(F.col("amount") + 0.01)).otherwise(F.col("amount")).alias("amount"), "payment_method",
+        F.explode(copies),
+    ).drop("col")
+    early = s.invoices().filter((F.col("status") == "Open") & (last == "5")).select(
+        F.concat(F.lit("PAY-"), "invoice_id").alias("payment_id"), "invoice_id", "customer_id", F.col("due_date").alias("payment_date"), "amount",
+        F.lit("card").alias("payment_method"),
+    )
+    return kept.unionByName(early)
+
+
+@query
+def mismatch_damaged(s):
+    """Every kind of mismatch, in payments that have them."""
+    return billing.invoice_payment_mismatch(s.invoices(), _damaged_payments(s))
+
+
+@query
+def orphans_damaged(s):
+    """Payments of invoices that are none."""
+    key = next(k for k in FOREIGN_KEYS if (k.child, k.column) == ("payments", "invoice_id"))
+    return quality.fk_orphans(_damaged_payments(s), s.invoices(), key).select("payment_id", "invoice_id", "amount")
+
+
+@query
+def duplicates_damaged(s):
+    """Payments that are there twice."""
+    return quality.duplicate_keys({"payments": _damaged_payments(s)})
+
+
+@query
+def cash_damaged(s):
+    """Customers whose cash does not add up."""
+    found = quality.reconcile_cash_by_customer({"invoices": s.invoices(), "payments": _damaged_payments(s)})
+    return found.filter("difference <> 0")
+
+
 @query
 def invoice_payment_match(s):
     matched = billing.match_payments(s.invoices(), s.payments())
