@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import datetime as dt
 import tempfile
 import uuid
 
@@ -33,6 +34,20 @@ def staging_path(spark: SparkSession, label: str) -> str:
     return f"{shared_folder(spark).rstrip('/')}/staged-{uuid.uuid4().hex}/{label}"
 
 
+def clear_staged(spark: SparkSession, older_than: dt.timedelta) -> list[str]:
+    """Delete staged results that were last written longer ago than this; their names. What a
+    running job reads must be younger, so give it days on a shared cluster."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(shared_folder(spark))
+    files = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    before = (dt.datetime.now(dt.UTC) - older_than).timestamp() * 1000
+    gone = [
+        s.getPath() for s in files.listStatus(folder) if s.getPath().getName().startswith("staged-") and s.getModificationTime() <= before
+    ]
+    for path in gone:
+        files.delete(path, True)
+    return sorted(p.getName() for p in gone)
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """``df`` written to the shared folder and read from there, so that what
     follows sees the same rows in the same partitions, also after a lost executor."""

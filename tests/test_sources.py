@@ -8,7 +8,7 @@ from conftest import TERMS, rows
 from ledgerlens.operators import quality
 from ledgerlens.plans.summary import load_checked, load_with_summary, with_summary
 from ledgerlens.schema import columns
-from ledgerlens.session import checkpointed, shared_folder, staging_path
+from ledgerlens.session import checkpointed, clear_staged, shared_folder, staging_path
 from ledgerlens.sources import files, tables
 
 
@@ -149,6 +149,18 @@ def test_shared_folder_is_the_configured_one(spark):
     assert os.listdir(named), "checkpoints go there"
 
 
+def test_old_staged_results_can_be_cleared(spark):
+    import datetime as dt
+
+    path = staging_path(spark, "kept")
+    spark.range(3).write.parquet(path)
+    name = path.rstrip("/").split("/")[-2]
+    assert name not in clear_staged(spark, dt.timedelta(hours=1)) and spark.read.parquet(path).count() == 3
+    folder = os.path.dirname(path)
+    os.utime(folder, (1, 1))
+    assert clear_staged(spark, dt.timedelta(days=3650)) == [name] and not os.path.exists(folder)
+
+
 def test_damaged_lines_are_rejected(spark, tmp_path):
     names = ",".join(columns("products"))
     lines = [names, "P1,A,F,10.0", "P2,B", "P3,C,F,1,extra", '"P4","two', 'lines",F,1', "P5,E,F,NaN", "P6,G,F,Infinity", ",H,F,2"]
