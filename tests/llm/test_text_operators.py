@@ -6,6 +6,7 @@ import itertools
 import math
 import re
 import time
+import zlib
 from collections import Counter
 from html.parser import HTMLParser
 
@@ -164,19 +165,65 @@ def test_quality_learns_and_takes_odd_texts(spark, documents, tiny):
     assert line_quality.train(odd, empty).pairs.tolist() == [[0, 0], [0, 0]]
 
 
-def test_toxicity_learns_and_orders_grades(spark, documents):
-    rows = [(Counter({"scum": 1, "the": 3}), 1), (Counter({"the": 2, "of": 1}), 0)] * 60 + [(Counter({"scum": 2, "idiot": 1}), 1)] * 60
-    model = toxicity.fit(rows)
-    assert model.severity("the of") < 0.5 < model.severity("the scum") <= model.severity("scum idiot")
-    assert list(model.thresholds) == sorted(model.thresholds)
-    labels = {r["doc_id"]: r["toxic"] for r in spark.read.parquet("/root/testdata/sf0.1/labels.parquet").collect()}
-    graded = [r for r in op8_toxicity(spark, "/root/testdata/sf0.1").collect() if r["doc_id"] in labels]
-    clean = [r for r in graded if not labels[r["doc_id"]]]
-    toxic = [r for r in graded if labels[r["doc_id"]]]
-    assert sum(r["toxic"] for r in clean) <= 0.01 * len(clean) and sum(r["toxic"] for r in toxic) >= 0.8 * len(toxic)
-    none = toxicity.fit([])
-    odd = toxicity.grade_documents(documents([(1, None), (1, ""), (None, "x")], "severity", "graded"), none).collect()
-    assert len(odd) == 3 and not any(r["toxic"] for r in odd)
+def test_grades_share_weights():
+    rows = [({"scum", "the"}, 1), ({"the", "of"}, 0)] * 60 + [({"scum", "idiot"}, 3)] * 60
+    model = toxicity.fit(rows, ["scum", "idiot"])
+    assert model.severity("the of") < 0.5 < model.severity("the scum") < 2 < model.severity("scum idiot")
+    assert list(model.thresholds) == sorted(model.thresholds) and set(model.weights) == {"scum", "idiot"}
+    assert not toxicity.fit([], []).weights and not toxicity.fit([({"a"}, 2)], ["a"]).weights
+
+
+@settings(max_examples=30, deadline=None)
+@given(st.integers(0, 10_000))
+def test_slope_equals_differences(seed):
+    random = np.random.default_rng(seed)
+    n, features = 25, 6
+    where, what = random.integers(0, n, 60), random.integers(0, features, 60)
+    grade, at = random.integers(0, toxicity.GRADES, n), random.normal(size=features + toxicity.GRADES - 1)
+    value = lambda x: toxicity.slope(x[:features], x[features:], where, what, grade, 0.01)[0]
+    found = toxicity.slope(at[:features], at[features:], where, what, grade, 0.01)[1]
+    step = 1e-5 * np.eye(len(at))
+    assert np.allclose(found, [(value(at + e) - value(at - e)) / 2e-5 for e in step], atol=1e-6)
+
+
+def test_grades_are_thirds_of_what_others_say():
+    assert toxicity.grades_of([]) == [] and toxicity.grades_of([5.0]) == [1]
+    assert toxicity.grades_of([3.0, 1.0, 2.0, 9.0, 8.0, 7.0]) == [2, 1, 1, 3, 3, 2]
+    assert toxicity.grades_of([2.0] * 9) == [1] * 9
+
+
+def test_telling_tokens_equal_plain_counts(spark):
+    random = np.random.default_rng(2)
+    docs = [({w for w in "abcdefgh" if random.random() < (0.7 if toxic and w in "ab" else 0.3)}, toxic) for toxic in [1] * 60 + [0] * 140]
+    rows = [(w, sum(w in d and t for d, t in docs), sum(w in d and not t for d, t in docs)) for w in "abcdefgh"]
+    want = {}
+    for w, n, m in rows:
+        ratio = n * math.log(n * 200 / ((n + m) * 60)) + m * math.log(m * 200 / ((n + m) * 140))
+        if n * 140 > m * 60 and 2 * ratio >= toxicity.LEAST_RATIO:
+            want[w] = (math.log((n + 0.5) / 61) - math.log((m + 0.5) / 141))
+    found = toxicity.telling(spark.createDataFrame(rows, "token string, inside long, outside long"), 60, 140, 10).collect()
+    assert {r["token"]: pytest.approx(r["odds"]) for r in found} == want and set(want) <= set("ab")
+
+
+def test_toxicity_finds_held_out_documents(spark, documents):
+    folder = "/root/testdata/sf0.1"
+    labels = {r["doc_id"]: r["toxic"] for r in spark.read.parquet(f"{folder}/labels.parquet").collect()}
+    unseen = {i: t for i, t in labels.items() if zlib.crc32(str(i).encode()) % 4 == 2}
+    graded = {r["doc_id"]: r for r in op8_toxicity(spark, folder).collect()}
+    toxic, clean = [[graded[i] for i, t in unseen.items() if t == kind] for kind in (1, 0)]
+    assert len(toxic) > 50 and sum(r["toxic"] for r in toxic) >= 0.8 * len(toxic)
+    assert sum(r["toxic"] for r in clean) <= 0.01 * len(clean)
+    assert {r["grade"] for r in toxic} >= {1, 2}, "severity differs among toxic documents"
+
+
+def test_toxicity_of_odd_tables(spark, documents):
+    none = toxicity.fit([], [])
+    odd = documents([(1, None), (1, ""), (None, "x"), (2, "x"), (2, "x")], "severity", "graded", "label", "tokens", "fold")
+    assert Counter(r["doc_id"] for r in toxicity.grade_documents(odd, none).collect()) == {1: 2, None: 1, 2: 2}
+    assert toxicity.grade_documents(odd.limit(0), none).count() == 0
+    labels = spark.createDataFrame([(1, 1), (1, 0), (None, 1), (2, None), (3, 1), (4, 7)], "doc_id long, toxic int")
+    for docs, given_labels in ((odd, labels), (odd.limit(0), labels), (odd, labels.limit(0))):
+        assert not toxicity.train(docs, given_labels).weights
 
 
 def test_toxicity_reads_long_documents_to_their_end(spark, documents):
