@@ -6,8 +6,9 @@ source or one cluster of duplicates conflict: a bin carries a bitmap of its sour
 of its clusters. Bins are ordered by what is left; from the tightest that would fit, the
 search goes on to the next ones until one is compatible, or a new bin is opened.
 
-Rows are dealt by a hash of their number to groups of about ``group_rows`` parts, which are packed
-independently, so no task holds more than a group, whatever the source or cluster.
+Parts are dealt by a hash of what they are, and of which copy among equal rows, to groups of about
+``group_rows``, which are packed independently: no task holds more than a group, whatever
+the source or cluster, and bins depend on the rows alone, not on how they are stored.
 """
 
 from __future__ import annotations
@@ -104,15 +105,16 @@ def pack(
         F.col(key).cast("long").alias("doc_id"), F.greatest(F.coalesce(n_tokens.cast("long"), F.lit(0)), F.lit(0)).alias("size"),
         source.cast("string").alias("source"), cluster.cast("string").alias("cluster"),
     )
-    # Stored, so that texts are read once and the row numbers stay the same in every retry.
-    sized = staged(sized, "sizes").withColumn("row", F.monotonically_increasing_id())
+    # Stored, so that texts are read once. Equal rows are one with the number of its copies.
+    sized = staged(sized.groupBy("doc_id", "size", "source", "cluster").agg(F.count(F.lit(1)).alias("copies")), "sizes")
+    sized = sized.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
     parts = sized.select(
-        "doc_id", "source", "cluster", "size", "row",
+        "doc_id", "source", "cluster", "size", "copy",
         F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(F.lit(0), F.floor((F.col("size") - 1) / capacity)).cast("long"))).alias("at"),
     )
     groups = max(1, -(-parts.count() // group_rows))
     dealt = parts.select(
-        F.pmod(F.xxhash64("row", "at"), F.lit(groups)).alias("grp"), "doc_id", F.col("at").cast("int").alias("part"),
+        F.pmod(F.xxhash64("doc_id", "size", "source", "cluster", "copy", "at"), F.lit(groups)).alias("grp"), "doc_id", F.col("at").cast("int").alias("part"),
         (F.col("at") * capacity).alias("first_token"),
         F.least(F.col("size") - F.col("at") * capacity, F.lit(capacity)).alias("n_tokens"), "source", "cluster",
     )

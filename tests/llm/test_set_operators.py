@@ -259,6 +259,19 @@ def test_packing_keeps_everything_and_every_rule(spark, tiny, documents):
     assert packing.bins_of(packing.pack(odd.limit(0), F.lit(1), F.lit(None), F.lit(None))).count() == 0
 
 
+def test_bins_depend_on_rows_alone(spark, documents):
+    texts = [(i % 60, " ".join(["w"] * (1 + i * 7 % 50))) for i in range(240)] + [(None, "same row again")] * 90 + [(5, "w " * 900)]
+
+    def packed(rows, partitions):
+        df = documents(rows).repartition(partitions)
+        found = packing.pack(df, F.size(F.split("text", " ")), F.lit(None), F.xxhash64("text"), capacity=64, group_rows=50).collect()
+        return Counter(tuple(r) for r in found)
+
+    once = packed(texts, 2)
+    assert packed(texts[::-1], 7) == once and sum(r[0] is not None for r in once) == len(once)
+    assert sum(n for r, n in once.items() if r[1] is None) == 90
+
+
 def brute_rule(url):
     if url is None or "://" not in url:
         return "", "", None
