@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from conftest import TERMS, rows
 
 from ledgerlens.operators import quality
+from ledgerlens.plans.queries import QUERIES
 from ledgerlens.plans.summary import load_checked, load_with_summary, with_summary
 from ledgerlens.schema import columns
 from ledgerlens.session import checkpointed, clear_staged, shared_folder, staging_path
@@ -124,6 +125,44 @@ def test_refused_load_leaves_the_tables(spark, company, tmp_path):
         assert rows(tables.read_table(spark, root, table)) == rows(good[table])
 
 
+def test_known_failures_do_not_hide_another(spark):
+    def report(**checks):
+        lines = [("as_of_date", None, None), *[(c, v, v == 0) for c, v in checks.items()]]
+        return spark.createDataFrame(lines, "metric string, value double, holds boolean")
+
+    known = quality.failed_checks(report(cash=0.0, orphans=4.0))
+    assert known == {"orphans": 4.0}
+    quality.assert_quality(report(cash=0.0, orphans=4.0), known)
+    for other, message in (({"cash": 10.0, "orphans": 4.0}, "^cash: 10.0$"), ({"cash": 0.0, "orphans": 3.0}, "^orphans: 3.0$")):
+        with pytest.raises(quality.QualityError, match=message):
+            quality.assert_quality(report(**other), known)
+    with pytest.raises(quality.QualityError, match="^orphans: 4.0$"):
+        quality.assert_quality(report(cash=0.0, orphans=4.0))
+
+
+class Given:
+    """Finance tables as they are, in place of those derived from a star schema."""
+
+    def __init__(self, spark, dfs):
+        self.spark, self.dfs = spark, dfs
+
+    def tables(self, *names):
+        return dict(self.dfs)
+
+
+@pytest.mark.parametrize("repeated", [[], ["customers", "payments"]])
+def test_a_lossy_load_is_refused_also_where_checks_failed_before(spark, company, repeated):
+    """Cases without a subscription and repeated rows fail checks by themselves."""
+    given = {t: df.union(df) if t in repeated else df for t, df in company.items()}
+    found = rows(QUERIES["load_refused"](Given(spark, given)), "table_name", "row_count", "refused")
+    assert found == [(t, df.count(), True) for t, df in sorted(with_summary(given).items())]
+
+
+def test_a_load_that_lost_nothing_is_not_refused(spark, company):
+    whole = {**company, "payments": company["payments"].filter("payment_id = 'P-4'")}
+    assert {r.refused for r in QUERIES["load_refused"](Given(spark, whole)).collect()} == {False}
+
+
 def test_report_as_json(complete, tmp_path):
     path = str(tmp_path / "report")
     files.export_report(quality.quality_report(complete, TERMS), path)
