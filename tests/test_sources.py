@@ -158,6 +158,20 @@ def test_a_lossy_load_is_refused_also_where_checks_failed_before(spark, company,
     assert found == [(t, df.count(), True) for t, df in sorted(with_summary(given).items())]
 
 
+@pytest.mark.parametrize("name", ["load_interrupted", "load_refused"])
+def test_tables_are_derived_for_the_first_load_only(spark, company, name):
+    derived, invoices = spark.sparkContext.accumulator(0), company["invoices"]
+
+    def seen(batches):
+        for batch in batches:
+            derived.add(batch.num_rows)
+            yield batch
+
+    given = {**company, "invoices": invoices.mapInArrow(seen, invoices.schema)}
+    found = rows(QUERIES[name](Given(spark, given)), "table_name", "row_count")
+    assert dict(found)["invoices"] == 4 and derived.value == 4
+
+
 def test_a_load_that_lost_nothing_is_not_refused(spark, company):
     whole = {**company, "payments": company["payments"].filter("payment_id = 'P-4'")}
     assert {r.refused for r in QUERIES["load_refused"](Given(spark, whole)).collect()} == {False}
